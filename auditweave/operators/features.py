@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F
 
 from auditweave.functions import agents, events, net
@@ -187,10 +187,13 @@ def fit_encoder(df: DataFrame, labeled: bool = False) -> PipelineModel:
         stringOrderType="alphabetAsc",
         handleInvalid="keep",
     )
+    # Codes enter the model as plain numbers, not as categories of a tree.
+    numbers = ", ".join(f"{c}__code + 0.0D AS {c}__num" for c in texts)
+    plain = SQLTransformer(statement=f"SELECT *, {numbers} FROM __THIS__")
     assembler = VectorAssembler(
-        inputCols=[f"{c}__code" if c in texts else c for c in wanted], outputCol="features"
+        inputCols=[f"{c}__num" if c in texts else c for c in wanted], outputCol="features"
     )
-    return Pipeline(stages=[indexer, assembler]).fit(df)
+    return Pipeline(stages=[indexer, plain, assembler]).fit(df)
 
 
 def encode(model: PipelineModel, df: DataFrame) -> DataFrame:

@@ -595,17 +595,16 @@ def entity_stats(
     The window is the one at the last event of the whole table.
     """
     timed = events_df.withColumn("__t", events.micros(F.col(ts)))
-    now = timed.agg(F.max("__t").alias("__now"))
+    now = timed.agg(F.max("__t")).scalar()
     window_us = int(window_seconds * events.MICROS)
     return (
-        timed.join(F.broadcast(now))
-        .groupBy("entity_id")
+        timed.groupBy("entity_id")
         .agg(
             F.count(F.lit(1)).alias("n_events"),
             F.count_distinct("principal").alias("n_principals"),
             F.count_distinct(events.normalize_cloud(F.col("source_cloud"))).alias("n_clouds"),
             F.max("__t").alias("last_seen_us"),
-            F.count_if(F.col("__now") - F.col("__t") <= window_us).alias("window_size"),
+            F.count_if(F.col("__t") >= now - window_us).alias("window_size"),
         )
     )
 
@@ -613,13 +612,18 @@ def entity_stats(
 def state_summary(state: StitchState, now_us: int, window_seconds: float = 60.0) -> DataFrame:
     """One row: known entities, entities active in the window, tracked keys."""
     window_us = int(window_seconds * events.MICROS)
-    entities = state.anchors.agg(F.count(F.lit(1)).alias("known_entities"))
-    keys = state.identity.agg(F.count(F.lit(1)).alias("tracked_identity_keys"))
-    made = state.provenance.agg(F.count(F.lit(1)).alias("tracked_provenance_records"))
+    entities = state.anchors.agg(F.count(F.lit(1)))
+    keys = state.identity.agg(F.count(F.lit(1)))
+    made = state.provenance.agg(F.count(F.lit(1)))
     active = state.activity.where(F.lit(now_us) - F.col("end_us") <= window_us).agg(
-        F.count_distinct("entity_id").alias("entities_with_active_window")
+        F.count_distinct("entity_id")
+    )
+    return state.identity.sparkSession.range(1).select(
+        entities.scalar().alias("known_entities"),
+        active.scalar().alias("entities_with_active_window"),
+        keys.scalar().alias("tracked_identity_keys"),
+        made.scalar().alias("tracked_provenance_records"),
     )
-    return entities.join(active).join(keys).join(made)
 
 
 def entity_members(events_df: DataFrame, *, ts: str = "timestamp") -> DataFrame:

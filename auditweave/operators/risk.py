@@ -362,15 +362,11 @@ def nearest_rank_threshold(
         .agg(F.count(F.lit(1)).alias("n"))
     )
     ranked = ordered.global_prefix(counted, "scaled", {"upto": "n"})
-    size = counted.agg(F.sum("n").alias("total"))
-    wanted = F.least(F.floor(F.col("total") * percentile / 100.0), F.col("total") - 1)
-    return (
-        ranked.crossJoin(F.broadcast(size))
-        .where(F.col("upto") > wanted)
-        .agg(
-            F.round(F.least(F.lit(cap), F.min("scaled")), 4).alias("threshold"),
-            F.max("total").alias("n_benign"),
-        )
+    size = counted.agg(F.sum("n")).scalar()
+    wanted = F.least(F.floor(size * percentile / 100.0), size - 1)
+    return ranked.where(F.col("upto") > wanted).agg(
+        F.round(F.least(F.lit(cap), F.min("scaled")), 4).alias("threshold"),
+        F.max("upto").alias("n_benign"),
     )
 
 
