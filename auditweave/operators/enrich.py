@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 
 from auditweave.functions import agents, events, net
 from auditweave.operators import ordered
-from auditweave.session import broadcast_if_small
+from auditweave.session import broadcast_if_small, cut_lineage
 
 # Words in an ASN organisation that mark a hosting provider.
 HOSTING_KEYWORDS = (
@@ -56,7 +56,7 @@ def join_ip_ranges(
     that passes the size check is broadcast per length and the events are not shuffled;
     a larger one is matched to the distinct addresses only.
     """
-    leveled = _leveled(ranges, kept)
+    leveled = cut_lineage(_leveled(ranges, kept))
     levels = sorted(r[0] for r in leveled.select("__level").distinct().collect())
     small = leveled.limit(max_broadcast + 1).count() <= max_broadcast
     if not levels:

@@ -522,9 +522,17 @@ def _fuzzy(base, nodes, state, params) -> DataFrame:
 # ---------------------------------------------------------------- maintenance
 
 def next_state(
-    resolution: Resolution, state: StitchState | None = None, *, ts: str = "timestamp"
+    resolution: Resolution,
+    state: StitchState | None = None,
+    *,
+    ts: str = "timestamp",
+    in_time_order: bool = False,
 ) -> StitchState:
-    """Tables for the next batch."""
+    """Tables for the next batch.
+
+    ``in_time_order`` promises that later batches hold later events, so that only the
+    newest burst of each entity has to be remembered.
+    """
     ev = resolution.events.withColumn("__t", events.micros(F.col(ts)))
     fed = "federation_id" in ev.columns
     keys = ev.select(
@@ -561,6 +569,10 @@ def next_state(
         anchors = state.anchors.unionByName(anchors)
         activity = state.activity.unionByName(activity)
         clouds = merge_footprints(state.clouds, clouds)
+    if in_time_order:
+        activity = activity.groupBy("entity_id").agg(
+            F.max(F.struct("end_us", "start_us")).alias("s")
+        ).select("entity_id", "s.start_us", "s.end_us")
     return StitchState(identity, provenance, anchors, activity, clouds)
 
 

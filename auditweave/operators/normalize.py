@@ -270,15 +270,21 @@ def parse(df: DataFrame, raw_col: str = "raw", cloud_col: str | None = None) ->
             F.when(F.lit(False), F.lit(None)),
         )
 
-    fields = [n for n in parsed["AWS"]]
-    wide = base.select(
-        "*",
+    fields = list(parsed["AWS"])
+    # Generated rows keep filters on the results from being rewritten into the parsing
+    # expressions, which would then run once per reference.
+    record = F.struct(
         *[by_cloud(n).alias(n) for n in fields],
         r.text("$.ml_labels.threat_category").alias("threat_category"),
         r.missing("$.ml_labels.threat_category").alias("__no_category"),
         r.number("$.ml_labels.severity_score").alias("severity_score"),
-        F.expr("try_variant_get(__v, '$.ml_labels.anomaly_flag', 'boolean')").alias("anomaly_flag"),
+        r.boolean("$.ml_labels.anomaly_flag").alias("anomaly_flag"),
         actor_name(r, F.col("__cloud")).alias("gt_principal"),
+        F.col("__v"),
+        F.col("__cloud"),
+    )
+    wide = base.select(*df.columns, F.explode(F.array(record)).alias("__r")).select(
+        *df.columns, "__r.*"
     )
     ua = F.col("user_agent")
     wide = wide.select(

@@ -93,8 +93,11 @@ def read_ip_ranges(spark: SparkSession, path: str) -> DataFrame:
 def merge_sources(*tables: DataFrame, raw_col: str = "raw") -> DataFrame:
     """Union of raw record tables in event-time order (eventTime, else time, else timestamp)."""
     united = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
-    names = ("eventTime", "time", "timestamp")
-    when = F.coalesce(
-        *[F.nullif(F.get_json_object(F.col(raw_col), f"$.{n}"), F.lit("")) for n in names]
+    times = F.json_tuple(raw_col, "eventTime", "time", "timestamp").alias("__a", "__b", "__c")
+    when = F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in ("__a", "__b", "__c")])
+    return (
+        united.select("*", times)
+        .withColumn("event_time", when)
+        .drop("__a", "__b", "__c")
+        .orderBy("event_time")
     )
-    return united.withColumn("event_time", when).orderBy("event_time")

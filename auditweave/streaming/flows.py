@@ -174,15 +174,27 @@ class IdentityStream:
         resolved = identity.resolve_entities(batch, state, self.params)
         stitched = resolved.events
         prior = state.clouds if state is not None else None
-        scored = risk.score(stitched, params=self.risk_params, prior=prior)
-        scored.write.mode("overwrite").parquet(f"{self.path}/scored/batch_id={batch_id}")
+        # Events of the last window before this batch still count into its risk.
+        fresh = stitched.withColumn("__fresh", F.lit(True))
+        tail = f"{self.path}/state/v={batch_id}/tail"
+        if state is not None:
+            earlier = spark.read.schema(stitched.schema).parquet(tail)
+            fresh = fresh.unionByName(earlier.withColumn("__fresh", F.lit(False)))
+        scored = risk.score(fresh, params=self.risk_params, prior=prior).where("__fresh")
+        scored.drop("__fresh").write.mode("overwrite").parquet(
+            f"{self.path}/scored/batch_id={batch_id}"
+        )
         done = spark.read.parquet(f"{self.path}/scored/batch_id={batch_id}")
         sinks.upsert_latest(
             done.select("entity_id", "timestamp", "event_id", "risk_intensity", "scaled_score",
                         "cloud_span_count", "is_critical"),
             "entity_id", ["timestamp", "event_id"], f"{self.path}/risk_state", batch_id,
         )
-        after = identity.next_state(resolved, state)
+        newest = done.agg(F.max(events.micros(F.col("timestamp")))).scalar()
+        done.select(*stitched.columns).where(
+            events.micros(F.col("timestamp")) >= newest - self.risk_params.window_us
+        ).write.mode("overwrite").parquet(f"{self.path}/state/v={batch_id + 1}/tail")
+        after = identity.next_state(resolved, state, in_time_order=True)
         if self.max_idle_seconds is not None:
             now = done.agg(F.max(events.micros(F.col("timestamp")))).first()[0]
             if now is not None:
