@@ -60,7 +60,8 @@ _READ = "CASE WHEN regexp_matches(action, '(?i)Get|List|Describe|Read') THEN 1 E
 BEHAVIOUR_SQL = f"""SELECT event_id,
   CASE WHEN row_number() OVER (PARTITION BY principal, source_ip ORDER BY t, event_id) = 1
     THEN 1 ELSE 0 END AS is_new_ip_for_user,
-  CASE WHEN row_number() OVER (PARTITION BY principal, k % 5 ORDER BY t, event_id) = 1
+  CASE WHEN row_number() OVER (PARTITION BY principal, CASE k % 5 WHEN 4 THEN 0 ELSE k % 5 END
+    ORDER BY t, event_id) = 1
     THEN 1 ELSE 0 END AS is_new_device_for_user,
   count(*) OVER {_trailing(60)} AS api_call_count_1m,
   round(avg(CASE WHEN status = 'SUCCESS' THEN 0.0 ELSE 1.0 END) OVER {_trailing(300)}, 6)
@@ -131,7 +132,7 @@ _AUTOMATION = (
 def risk_sql(baselines: bool = False) -> str:
     """Risk per event with principals as entities, straight from window frames."""
     novel = (
-        "CASE WHEN len(base) > 0 THEN len(list_filter(life, x -> NOT list_contains(base, x))) "
+        "CASE WHEN len(base) > 0 THEN len(list_filter(life, lambda x: NOT list_contains(base, x))) "
         "ELSE greatest(len(life) - 1, 0) END"
         if baselines
         else "greatest(len(life) - 1, 0)"
@@ -152,7 +153,7 @@ def risk_sql(baselines: bool = False) -> str:
       FROM ev
       WINDOW w60 AS (PARTITION BY principal ORDER BY t RANGE BETWEEN 60000000 PRECEDING AND CURRENT ROW)
     ), n AS (SELECT win.*, {novel} AS novel,
-        list_sum(list_transform(active, x -> x.a * pow(0.5, (win.t - x.t) / 1e6 / 1800.0))) AS decayed
+        list_sum(list_transform(active, lambda x: x.a * pow(0.5, (win.t - x.t) / 1e6 / 1800.0))) AS decayed
       FROM win {join}
     ), m AS (SELECT *, pow(CASE WHEN principal_class = 'human' THEN 3.0 ELSE 1.7 END, novel) AS mult FROM n
     ), r AS (SELECT *, 0.05 + mult * decayed AS risk FROM m)
