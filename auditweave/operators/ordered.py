@@ -339,11 +339,13 @@ class Recent:
     local: Callable[[Column], Column]
     value: Column
     merge: Callable[[Column, Column], Column]
+    others_only: bool = False
 
 
-def recent_sum(value: Column) -> Recent:
+def recent_sum(value: Column, others_only: bool = False) -> Recent:
+    """Sum over the window, without the row itself if ``others_only``."""
     zero = F.lit(0)
-    return Recent(F.sum, value, lambda a, b: F.coalesce(a, zero) + F.coalesce(b, zero))
+    return Recent(F.sum, value, lambda a, b: F.coalesce(a, zero) + F.coalesce(b, zero), others_only)
 
 
 def recent_min(value: Column) -> Recent:
@@ -391,7 +393,6 @@ def recent(
     ascending = (
         Window.partitionBy(*keys, SLICE)
         .orderBy(F.col("__at"), F.col("__own"), *[F.col(c) for c in order])
-        .rowsBetween(_FIRST, Window.currentRow)
     )
     descending = (
         Window.partitionBy(*keys, SLICE)
@@ -401,7 +402,9 @@ def recent(
     halves = []
     for name, spec in specs.items():
         halves.append(
-            spec.local(F.when(F.col("__own"), spec.value)).over(ascending).alias(f"__a_{name}")
+            spec.local(F.when(F.col("__own"), spec.value))
+            .over(ascending.rowsBetween(_FIRST, -1 if spec.others_only else 0))
+            .alias(f"__a_{name}")
         )
         halves.append(
             spec.local(F.when(~F.col("__own"), spec.value)).over(descending).alias(f"__b_{name}")

@@ -169,7 +169,9 @@ def score(
 
     def folds(origin: Column) -> dict[str, Recent]:
         specs = {
-            "__sum": recent_sum(F.col("__a") * F.exp((F.col("__t") - origin) * F.lit(rate))),
+            "__sum": recent_sum(
+                F.col("__a") * F.exp((F.col("__t") - origin) * F.lit(rate)), others_only=True
+            ),
             "__n": recent_sum(F.lit(1)),
             "__clouds": recent_set(F.col("__cloud")),
             "__hinted": recent_max(F.col("__hint").cast("int")),
@@ -183,7 +185,8 @@ def score(
 
     out = ordered.recent(base, [entity], "__t", [order], params.window_us, folds)
     origin = F.col("__window_slice") * (params.window_us + 1)
-    decayed = F.col("__sum") * F.exp(-(F.col("__t") - origin) * F.lit(rate))
+    # The event itself has weight 1 exactly; the others are scaled from the slice start.
+    decayed = F.col("__a") + F.col("__sum") * F.exp(-(F.col("__t") - origin) * F.lit(rate))
 
     if class_from == "window":
         ranked = F.greatest(

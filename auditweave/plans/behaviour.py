@@ -155,22 +155,22 @@ def risk_sql(baselines: bool = False) -> str:
     ), n AS (SELECT win.*, {novel} AS novel,
         list_sum(list_transform(active, lambda x: x.a * pow(0.5, (win.t - x.t) / 1e6 / 1800.0))) AS decayed
       FROM win {join}
-    ), m AS (SELECT *, pow(CASE WHEN principal_class = 'human' THEN 3.0 ELSE 1.7 END, novel) AS mult FROM n
-    ), r AS (SELECT *, 0.05 + mult * decayed AS risk FROM m)
-    SELECT event_id, round(risk, 5) AS risk_intensity, round(risk / (risk + 1), 4) AS scaled_score,
+    ), m AS (SELECT *, pow(CASE WHEN principal_class = 'human' THEN 3e0 ELSE 1.7e0 END, novel) AS mult FROM n
+    ), r AS (SELECT *, 5e-2 + mult * decayed AS risk FROM m)
+    SELECT event_id, round(risk, 6) AS risk_intensity, round(risk / (risk + 1), 4) AS scaled_score,
       len(life) AS cloud_span_count, window_clouds AS window_cloud_span_count,
       novel AS novel_cloud_span_count, array_to_string(life, ',') AS active_clouds,
       round(mult, 4) AS diversity_multiplier, principal_class,
       risk / (risk + 1) >= 0.75 AS is_critical,
-      CASE WHEN risk <= 0.05 * 1.5 THEN 'baseline_only' WHEN novel >= 1 THEN 'cross_cloud_diversity'
-        WHEN decayed > 0.05 * 5 THEN 'high_event_volume' ELSE 'recent_activity_accumulation' END
+      CASE WHEN risk <= 5e-2 * 1.5e0 THEN 'baseline_only' WHEN novel >= 1 THEN 'cross_cloud_diversity'
+        WHEN decayed > 5e-2 * 5e0 THEN 'high_event_volume' ELSE 'recent_activity_accumulation' END
         AS dominant_signal, len(active) AS window_events
     FROM r"""
 
 
 def _risk_columns(scored: DataFrame) -> DataFrame:
     return scored.select(
-        "event_id", F.round("risk_intensity", 5).alias("risk_intensity"), "scaled_score",
+        "event_id", "risk_intensity", "scaled_score",
         "cloud_span_count", "window_cloud_span_count", "novel_cloud_span_count",
         F.array_join("active_clouds", ",").alias("active_clouds"), "diversity_multiplier",
         "principal_class", "is_critical", "dominant_signal", "window_events",
@@ -318,7 +318,7 @@ def benign_rank_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 def latest_risk_per_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = scored_events(spark, sf_dir).select(
         "entity_id", "timestamp", "event_id",
-        F.round("risk_intensity", 5).alias("risk_intensity"), "scaled_score",
+        "risk_intensity", "scaled_score",
         "cloud_span_count", "is_critical",
     )
     latest = sinks.latest_per_key(scored, "entity_id", ["timestamp", "event_id"])
@@ -444,7 +444,7 @@ def latest_engine_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM ev JOIN r USING (event_id)""",
 )
 def latest_risk_gauge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = scored_events(spark, sf_dir).withColumn("risk_intensity", F.round("risk_intensity", 5))
+    scored = scored_events(spark, sf_dir)
     return monitor.latest_risk(scored)
 
 
