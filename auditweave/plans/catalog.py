@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from auditweave.plans import behaviour, evaluation, normalization, stitching  # noqa: F401
+from auditweave.plans import behaviour, evaluation, models, normalization, stitching  # noqa: F401
 from auditweave.plans.registry import ORACLES, QUERIES  # noqa: F401
 
 

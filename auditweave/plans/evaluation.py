@@ -182,15 +182,16 @@ def base_rate_context(spark: SparkSession, sf_dir: str) -> DataFrame:
       count(*) FILTER (WHERE s >= threshold AND y = 0) AS fp,
       count(*) FILTER (WHERE s < threshold AND y = 0) AS tn,
       count(*) FILTER (WHERE s < threshold AND y = 1) AS fn,
-      round(max(roc_auc), 6) AS roc_auc, round(max(pr_auc), 6) AS pr_auc
+      round(max(roc_auc), 4) AS roc_auc, round(max(pr_auc), 4) AS pr_auc
     FROM r JOIN pick USING (signal) JOIN auc USING (signal) WHERE late GROUP BY 1, 2""",
 )
 def ablation_without_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     events_table, calibration = _halves(spark, sf_dir)
     out = evaluate.ablation(events_table, calibration, modes=("isolated",))
-    return _rounded(
-        out.select("signal", "threshold", "calibration_f1", "tp", "fp", "tn", "fn", "roc_auc", "pr_auc"),
-        "calibration_f1", "roc_auc", "pr_auc",
+    return out.select(
+        "signal", "threshold", F.round("calibration_f1", 6).alias("calibration_f1"),
+        "tp", "fp", "tn", "fn",
+        F.round("roc_auc", 4).alias("roc_auc"), F.round("pr_auc", 4).alias("pr_auc"),
     )
 
 
