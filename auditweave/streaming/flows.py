@@ -62,13 +62,14 @@ def write_normalized(stream: DataFrame, good_path: str, dead_path: str, checkpoi
 
 # ------------------------------------------------------------------- features
 
-def stream_features(stream: DataFrame, ttl_hours: float = 48.0, cap: int = 500) -> DataFrame:
+def stream_features(stream: DataFrame, ttl_hours: float | None = None, cap: int = 500) -> DataFrame:
     """Trailing features per user, updated event by event.
 
-    State per user: at most ``cap`` events of the last 24 h (dropped after ``ttl_hours``
-    without activity) and the addresses and devices seen so far.
+    State per user: at most ``cap`` events of the last 24 h and the addresses and devices
+    seen so far. ``ttl_hours`` also drops the events of users idle that long; it needs a
+    continuous trigger, as state expiry keeps an ``availableNow`` query running.
     """
-    if cap < 1 or ttl_hours <= 0:
+    if cap < 1 or (ttl_hours is not None and ttl_hours <= 0):
         raise ValueError("cap and ttl_hours must be positive")
     prepared = features.action_features(features.identity_and_network(stream))
     narrow = prepared.select(
@@ -81,12 +82,13 @@ def stream_features(stream: DataFrame, ttl_hours: float = 48.0, cap: int = 500)
         "resource", "source_ip",
         F.concat_ws("/", "browser_type", "os_type").alias("device"),
     )
-    processor = user_state.UserFeatures(int(ttl_hours * 3_600_000), cap)
+    ttl_ms = int(ttl_hours * 3_600_000) if ttl_hours else None
+    processor = user_state.UserFeatures(ttl_ms, cap)
     return narrow.groupBy("user_id").transformWithStateInPandas(
         statefulProcessor=processor,
         outputStructType=user_state.OUTPUT,
         outputMode="append",
-        timeMode="ProcessingTime",
+        timeMode="ProcessingTime" if ttl_ms else "None",
     )
 
 

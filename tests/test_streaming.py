@@ -74,6 +74,21 @@ def test_history_cap(spark, tmp_path):
     assert [got[str(i)]["api_call_count_1m"] for i in range(10)] == [1, 2, 3, 4, 4, 4, 4, 4, 4, 4]
 
 
+def test_idle_users_expire(spark, tmp_path):
+    path = parts(sequence(spark), str(tmp_path / "src"), 2)
+    stream = spark.readStream.schema(sequence(spark).schema).parquet(path)
+    query = flows.stream_features(stream, ttl_hours=48.0).writeStream.format("memory").queryName("ttl").option(
+        "checkpointLocation", str(tmp_path / "cp")).start()
+    try:
+        for _ in range(60):
+            if spark.table("ttl").count() == 10:
+                break
+            query.awaitTermination(1)
+    finally:
+        query.stop()
+    assert spark.table("ttl").count() == 10
+
+
 def test_sliding_alerts_and_sessions(spark, tmp_path):
     frame = spark.createDataFrame(
         [(i, at(s), True, "apt", "ann") for i, s in enumerate([0, 30, 200, 90_000, 200_000])],
