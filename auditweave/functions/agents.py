@@ -47,10 +47,11 @@ def ua_family(ua: Column) -> Column:
     return hit.otherwise("Other")
 
 
-def ua_version(ua: Column) -> Column:
-    hit = F.when(ua.isNull() | (ua == ""), "Unknown")
-    for pattern, _ in UA_RULES:
-        hit = hit.when(ua.rlike(pattern), F.regexp_extract(ua, pattern, 1))
+def ua_version(ua: Column, family: Column) -> Column:
+    """Version that belongs to an already found family."""
+    hit = F.when(F.lit(False), F.lit(None).cast("string"))
+    for pattern, name in UA_RULES:
+        hit = hit.when(family == name, F.regexp_extract(ua, pattern, 1))
     return hit.otherwise("Unknown")
 
 

@@ -31,6 +31,11 @@ EXTRA_TIME_FORMATS = (
 )
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def micros(ts: Column) -> Column:
     """Event time as UTC epoch microseconds (takes TIMESTAMP and TIMESTAMP_NTZ)."""
     return F.unix_micros(ts.cast("timestamp"))

@@ -17,7 +17,9 @@ HOSTING_KEYWORDS = (
 
 def enrich_user_agent(df: DataFrame, column: str = "user_agent") -> DataFrame:
     ua = F.col(column)
-    return df.withColumns({"ua_family": agents.ua_family(ua), "ua_version": agents.ua_version(ua)})
+    return df.withColumn("ua_family", agents.ua_family(ua)).withColumn(
+        "ua_version", agents.ua_version(ua, F.col("ua_family"))
+    )
 
 
 def _range_key(df: DataFrame, name: str) -> Column:

@@ -38,19 +38,23 @@ UNIFIED_COLUMNS = (
 
 def detect_source(raw: Column) -> Column:
     """Provider with most signature keys; UNKNOWN on none or on a tie."""
-    keys = F.json_object_keys(raw)
-    hits = {
-        cloud: F.size(F.array_intersect(keys, F.array(*map(F.lit, signature))))
-        for cloud, signature in SIGNATURES.items()
-    }
-    best = F.greatest(*hits.values())
-    winners = F.filter(
-        F.array(*[F.when(n == best, F.lit(cloud)) for cloud, n in hits.items()]),
-        lambda c: c.isNotNull(),
-    )
-    return F.when((best > 0) & (F.size(winners) == 1), F.get(winners, F.lit(0))).otherwise(
-        "UNKNOWN"
-    )
+    clouds = F.array(*map(F.lit, SIGNATURES))
+
+    def hits(keys: Column) -> Column:
+        return F.array(
+            *[
+                F.size(F.array_intersect(keys, F.array(*map(F.lit, signature))))
+                for signature in SIGNATURES.values()
+            ]
+        )
+
+    def winner(counts: Column) -> Column:
+        best = F.array_max(counts)
+        alone = F.size(F.filter(counts, lambda n: n == best)) == 1
+        return F.when((best > 0) & alone, F.element_at(clouds, F.array_position(counts, best).cast("int")))
+
+    found = events.let(F.json_object_keys(raw), lambda keys: events.let(hits(keys), winner))
+    return F.coalesce(found, F.lit("UNKNOWN"))
 
 
 # ------------------------------------------------------------- variant access
@@ -67,9 +71,8 @@ class Record:
     def missing(self, path: str) -> Column:
         return self.piece(path).isNull()
 
-    def shape(self, path: str) -> Column:
-        kind = F.schema_of_variant(self.piece(path))
-        return F.regexp_extract(kind, "^[A-Z]+", 0)
+    def schema(self, path: str) -> Column:
+        return F.schema_of_variant(self.piece(path))
 
     def text(self, path: str) -> Column:
         """Any scalar as text."""
@@ -77,7 +80,7 @@ class Record:
 
     def string(self, path: str) -> Column:
         """Text only if the field holds a string."""
-        return F.when(self.shape(path) == "STRING", self.text(path))
+        return F.when(self.schema(path) == "STRING", self.text(path))
 
     def string_or(self, path: str, default: Column) -> Column:
         return F.when(self.missing(path), default).otherwise(self.string(path))
@@ -85,19 +88,28 @@ class Record:
     def number(self, path: str) -> Column:
         return F.expr(f"try_variant_get({self.column}, '{path}', 'double')")
 
-    def truthy(self, path: str) -> Column:
-        """Present and neither null, false, zero, nor empty."""
+    def truthy(self, path: str, likely: str | None = None) -> Column:
+        """Present and neither null, false, zero, nor empty.
+
+        ``likely`` names a part that usually exists, which settles the question early.
+        """
         as_text = F.to_json(self.piece(path))
         empty = as_text.isin("null", "false", "0", "0.0", '""', "[]", "{}")
-        return F.coalesce(~empty, F.lit(False))
+        full = F.coalesce(~empty, F.lit(False))
+        if likely is None:
+            return F.when(self.missing(path), False).otherwise(full)
+        return F.when(~self.missing(path + likely), True).otherwise(full)
 
     def boolean(self, path: str) -> Column:
         """The value of a real JSON boolean, NULL for anything else."""
         value = F.expr(f"try_variant_get({self.column}, '{path}', 'boolean')")
-        return F.when(self.shape(path) == "BOOLEAN", value)
+        return F.when(self.schema(path) == "BOOLEAN", value)
 
-    def not_object(self, path: str) -> Column:
-        return F.coalesce(self.shape(path) != "OBJECT", F.lit(False))
+    def not_object(self, path: str, likely: str) -> Column:
+        """Present but not an object; an existing ``likely`` member settles it early."""
+        return F.when(self.missing(path) | ~self.missing(f"{path}.{likely}"), False).otherwise(
+            ~self.schema(path).startswith("OBJECT")
+        )
 
 
 def _literal(text: str | None, kind: str = "string") -> Column:
@@ -114,7 +126,7 @@ def parse_aws(r: Record) -> dict[str, Column]:
     failed = r.truthy("$.errorCode") | r.truthy("$.errorMessage")
     score = r.number("$.ml_labels.severity_score")
     has_score = ~r.missing("$.ml_labels.severity_score") & (
-        r.shape("$.ml_labels.severity_score") != "VOID"
+        ~F.is_variant_null(r.piece("$.ml_labels.severity_score"))
     )
     return {
         "event_id": r.text("$.eventID"),
@@ -125,7 +137,7 @@ def parse_aws(r: Record) -> dict[str, Column]:
         ),
         "source_ip": r.text("$.sourceIPAddress"),
         "resource": F.when(
-            r.truthy("$.resources"), r.string_or("$.resources[0].ARN", F.lit("None"))
+            r.truthy("$.resources", "[0]"), r.string_or("$.resources[0].ARN", F.lit("None"))
         ).otherwise("None"),
         "action": r.string("$.eventName"),
         "status": F.when(failed, "FAILED").otherwise("SUCCESS"),
@@ -144,7 +156,7 @@ def parse_aws(r: Record) -> dict[str, Column]:
             r.text("$.userIdentity.principalId"),
         ),
         "created_principal_name": r.text("$.requestParameters.userName"),
-        "__broken": r.not_object("$.userIdentity") | r.not_object("$.ml_labels"),
+        "__broken": r.not_object("$.userIdentity", "type") | r.not_object("$.ml_labels", "severity_score"),
     }
 
 
@@ -164,18 +176,18 @@ def parse_azure(r: Record) -> dict[str, Column]:
         ),
         "source_ip": r.text("$.properties.ipAddress"),
         "resource": F.when(
-            r.truthy("$.properties.targetResources"),
+            r.truthy("$.properties.targetResources", "[0]"),
             F.coalesce(
                 F.nullif(r.string(f"{first_target}.displayName"), F.lit("")),
                 r.string_or(f"{first_target}.id", F.lit("Unknown")),
             ),
         ).otherwise("Unknown"),
         "action": F.when(
-            r.shape("$.operationName") == "OBJECT", r.string("$.operationName.value")
+            ~r.missing("$.operationName.value"), r.string("$.operationName.value")
         ).otherwise(r.string("$.operationName")),
         "status": F.when(failed, "FAILED").otherwise("SUCCESS"),
         "severity": events.severity_from_score(r.number("$.ml_labels.severity_score")),
-        "mfa_authenticated": r.truthy("$.properties.mfaDetail"),
+        "mfa_authenticated": r.truthy("$.properties.mfaDetail", ".authMethod"),
         "device_compliant_status": F.when(compliant, "Compliant")
         .when(~compliant, "NonCompliant")
         .otherwise("Unknown"),
@@ -186,7 +198,7 @@ def parse_azure(r: Record) -> dict[str, Column]:
             upn, r.text("$.properties.appId"), r.text("$.properties.userId")
         ),
         "created_principal_name": _literal(None),
-        "__broken": r.not_object("$.properties") | r.not_object("$.ml_labels"),
+        "__broken": r.not_object("$.properties", "id") | r.not_object("$.ml_labels", "severity_score"),
     }
 
 
@@ -219,11 +231,11 @@ def parse_gcp(r: Record) -> dict[str, Column]:
         ).otherwise("User"),
         "principal_key": events.first_text(email, r.text(f"{identity}.principalSubject")),
         "created_principal_name": r.text("$.protoPayload.request.accountId"),
-        "__broken": r.not_object("$.protoPayload")
-        | r.not_object("$.ml_labels")
-        | r.not_object("$.protoPayload.status")
-        | r.not_object(identity)
-        | r.not_object("$.protoPayload.requestMetadata")
+        "__broken": r.not_object("$.protoPayload", "methodName")
+        | r.not_object("$.ml_labels", "severity_score")
+        | r.not_object("$.protoPayload.status", "code")
+        | r.not_object(identity, "principalEmail")
+        | r.not_object("$.protoPayload.requestMetadata", "callerIp")
         | null_score,
     }
 
@@ -294,14 +306,21 @@ def parse(df: DataFrame, raw_col: str = "raw", cloud_col: str | None = None) ->
         events.parse_time(F.col("__time")).alias("timestamp"),
         _literal(None).alias("destination_ip"),
         F.col("__v").alias("raw_log"),
-        agents.ua_family(ua).alias("ua_family"),
-        agents.ua_version(ua).alias("ua_version"),
+        events.let(
+            agents.ua_family(ua),
+            lambda family: F.struct(
+                family.alias("family"), agents.ua_version(ua, family).alias("version")
+            ),
+        ).alias("__ua"),
         F.when(F.col("__no_category"), "Normal").otherwise(F.col("threat_category")).alias(
             "threat_category"
         ),
         "severity_score", "anomaly_flag", "gt_principal",
         F.coalesce(F.col("__broken"), F.lit(False)).alias("__broken"),
     )
+    wide = wide.select(
+        "*", F.col("__ua.family").alias("ua_family"), F.col("__ua.version").alias("ua_version")
+    ).drop("__ua")
     ip = F.col("source_ip")
     rules = [
         F.when(~F.col("source_cloud").isin(*SIGNATURES), F.concat(

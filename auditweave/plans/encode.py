@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from auditweave.session import spread
+
 BAD_TIME_K, BAD_IP_K, NO_SIGNATURE_K, TIED_K = 13, 17, 19, 23
 ISO = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
 
@@ -129,4 +131,4 @@ def encode(events: DataFrame, cloud: str | None = None) -> DataFrame:
         raw = F.when(F.col("source_cloud") == "AWS", aws_record()).when(
             F.col("source_cloud") == "AZURE", azure_record()
         ).otherwise(gcp_record())
-    return events.select(F.col("event_id").alias("src_event_id"), raw.alias("raw"))
+    return spread(events).select(F.col("event_id").alias("src_event_id"), raw.alias("raw"))

@@ -10,13 +10,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from auditweave.operators import classifier, explain, features, iforest, monitor
 from auditweave.plans.adapter import EV, audit_events
 from auditweave.plans.registry import query
-from auditweave.session import cut_lineage
+from auditweave.session import cut_lineage, spread
 
 NUMERIC = [c for c in features.BASE_FEATURES if c not in features.CATEGORICAL]
 
 
 def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cut_lineage(features.features(audit_events(spark, sf_dir)))
+    return spread(cut_lineage(features.features(audit_events(spark, sf_dir))))
 
 
 @query("iforest_scores")

@@ -67,6 +67,18 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     return df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores when a stored table has fewer partitions than there are.
+
+    Only for tables that are read or checkpointed: asking a planned query for its
+    partitions would run its shuffles. Large tables pass through unchanged.
+    """
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < wanted:
+        return df.repartition(wanted)
+    return df
+
+
 def ship_by_value(module: ModuleType) -> None:
     """Send a module's functions inside the task, so workers need no installed package."""
     cloudpickle.register_pickle_by_value(module)

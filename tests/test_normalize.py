@@ -134,7 +134,7 @@ def test_user_agents(spark):
         "Go-http-client/1.1": ("Go-http-client", "1.1"),
     }
     frame = spark.createDataFrame([(k,) for k in cases], "ua string")
-    got = frame.select(agents.ua_family(F.col("ua")), agents.ua_version(F.col("ua"))).collect()
+    got = frame.select(agents.ua_family(F.col("ua")), agents.ua_version(F.col("ua"), agents.ua_family(F.col("ua")))).collect()
     assert [tuple(r) for r in got] == list(cases.values())
 
 
