@@ -311,11 +311,11 @@ def resolve_entities(
         )
     else:
         nodes = nodes.withColumn("by_memory", F.lit(False))
-    nodes = cut_lineage(
-        nodes.withColumn(
-            "founded_id", _entity_id(F.col("node"), F.col("first_us"), F.col("first_id"))
-        )
+    nodes = nodes.withColumn(
+        "founded_id", _entity_id(F.col("node"), F.col("first_us"), F.col("first_id"))
     )
+    if links is not None or state is not None:
+        nodes = cut_lineage(nodes)
 
     decisions = _fuzzy(base, nodes, state, params)
 

@@ -207,7 +207,10 @@ def _carried(
 def mark_first(
     sliced: Sliced, at: str, order: Sequence[str], flags: dict[str, Sequence[str]]
 ) -> Sliced:
-    """Per flag: is this the key's first row with these column values (NULL is a value)?"""
+    """Per flag: is this the key's first row with these column values (NULL is a value)?
+
+    One shuffle by key and slice serves every flag and whatever follows on the same key.
+    """
     rows = sliced.df.withColumn("__mark", F.lit(None).cast("string"))
     for name, columns in flags.items() if sliced.any_hot else ():
         groups = sliced.df.where(F.col(HOT)).groupBy(KEY, HOT, SLICE, *columns).agg(
@@ -223,6 +226,7 @@ def mark_first(
             ),
             allowMissingColumns=True,
         )
+    rows = rows.repartition(KEY, SLICE) if sliced.any_hot else rows.repartition(KEY)
     for name, columns in flags.items():
         window = (
             Window.partitionBy(KEY, SLICE, *columns)
@@ -378,17 +382,15 @@ def recent(
     ``folds`` receives the slice start, so values can be scaled to a nearby origin.
     """
     width = window_us + 1
-    base = df.select("*", F.floor(F.col(at) / width).cast("long").alias("__s"))
-    own = base.select(
-        *df.columns, F.col("__s").alias(SLICE), F.col(at).alias("__at"), F.lit(True).alias("__own")
-    )
-    needed = base.select(
-        *df.columns,
-        (F.col("__s") + 1).alias(SLICE),
-        (F.col(at) + width).alias("__at"),
-        F.lit(False).alias("__own"),
+    number = F.floor(F.col(at) / width).cast("long")
+
+    def copy(slice_no: Column, time: Column, own: bool) -> Column:
+        return F.struct(slice_no.alias(SLICE), time.alias("__at"), F.lit(own).alias("__own"))
+
+    copies = F.array(
+        copy(number, F.col(at), True), copy(number + 1, F.col(at) + F.lit(width), False)
     )
-    rows = own.unionByName(needed)
+    rows = df.select("*", F.explode(copies).alias("__copy")).select(*df.columns, "__copy.*")
     specs = folds(F.col(SLICE) * width)
     ascending = (
         Window.partitionBy(*keys, SLICE)
@@ -436,6 +438,7 @@ def global_prefix(
     buckets; each bucket is summed on its own and starts from the total of the buckets
     before it, so no task sees the whole order.
     """
+    df = cut_lineage(df)
     probabilities = [i / buckets for i in range(1, buckets)]
     bounds = sorted(set(df.approxQuantile(order_by, probabilities, 1.0 / (4 * buckets))))
     splits = [float("-inf"), *bounds, float("inf")]
