@@ -12,7 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from auditweave.operators import evaluate, features
-from auditweave.session import cut_lineage
+from auditweave.session import broadcast_if_small, cut_lineage
 
 NORMAL = "Normal"
 
@@ -53,17 +53,14 @@ class PhaseModel:
 
 
 def balanced_weights(df: DataFrame, label: str) -> DataFrame:
-    """Add ``weight`` = n / (classes * rows of the class).
-
-    One row per class is broadcast; the classes are the label vocabulary.
-    """
+    """Add ``weight`` = n / (classes * rows of the class)."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
     totals = counts.agg(F.struct(F.sum("__n").alias("n"), F.count(F.lit(1)).alias("k"))).scalar()
     weights = counts.withColumn("__t", totals).select(
         F.col(label).alias("__label"),
         (F.col("__t.n") / (F.col("__t.k") * F.col("__n"))).alias("weight"),
     )
-    return df.join(F.broadcast(weights), F.col(label) == F.col("__label")).drop("__label")
+    return df.join(broadcast_if_small(weights, 10_000), F.col(label) == F.col("__label")).drop("__label")
 
 
 def background_sample(df: DataFrame, n: int = 100, seed: int = 42, row_id: str = "event_id") -> DataFrame:

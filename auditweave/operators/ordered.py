@@ -25,6 +25,7 @@ from auditweave.session import broadcast_if_small, cut_lineage
 
 HOT_ROWS = 2_000_000
 SLICE_US = 60 * 1_000_000
+SHORT_LIST = 1_000
 KEY, HOT, SLICE, CARRY = "__key", "__hot", "__slice", "__carry"
 _FIRST = Window.unboundedPreceding
 
@@ -65,26 +66,35 @@ def with_slices(
     ``hot_rows=None`` skips the count for input known to have no hot key.
     """
     keyed = df.withColumn(KEY, _key_column(df, keys))
-    hot = None
-    if hot_rows is not None:
-        hot = cut_lineage(
-            keyed.groupBy(KEY)
-            .agg(F.count(F.lit(1)).alias("__n"))
-            .where(F.col("__n") > hot_rows)
-            .select(KEY, F.lit(True).alias(HOT))
-        )
-    if hot is None or hot.isEmpty():
+    hot = None if hot_rows is None else _hot_keys(keyed, hot_rows)
+    if hot is None:
         return Sliced(
             keyed.withColumns({HOT: F.lit(False), SLICE: F.lit(0).cast("long")}), False, slice_us
         )
     flagged = (
-        keyed.join(broadcast_if_small(hot), KEY, "left")
+        keyed.join(hot, KEY, "left")
         .withColumn(HOT, F.coalesce(F.col(HOT), F.lit(False)))
         .withColumn(SLICE, slice_of(F.col(at), slice_us))
     )
     return Sliced(flagged, True, slice_us)
 
 
+def _hot_keys(keyed: DataFrame, hot_rows: int) -> DataFrame | None:
+    """Keys with more rows than ``hot_rows``, or None. A short list becomes a literal table."""
+    hot = (
+        keyed.groupBy(KEY)
+        .agg(F.count(F.lit(1)).alias("__n"))
+        .where(F.col("__n") > hot_rows)
+        .select(KEY, F.lit(True).alias(HOT))
+    )
+    found = hot.limit(SHORT_LIST + 1).collect()
+    if not found:
+        return None
+    if len(found) <= SHORT_LIST:
+        return F.broadcast(keyed.sparkSession.createDataFrame(found, hot.schema))
+    return broadcast_if_small(cut_lineage(hot))
+
+
 def slice_of(at: Column, slice_us: int) -> Column:
     return F.when(F.col(HOT), F.floor(at / F.lit(slice_us))).otherwise(F.lit(0)).cast("long")
 

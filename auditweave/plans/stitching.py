@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from auditweave.functions import events
-from auditweave.operators import identity, purity
+from auditweave.operators import identity, ordered, purity
 from auditweave.plans.adapter import EV, audit_events
 from auditweave.plans.registry import query
 
@@ -120,6 +120,23 @@ _SIM = f"""pairs AS (SELECT event_id, ua_family AS fa, ua_version AS va, is_know
     CASE WHEN ka = kb THEN 0.20 ELSE 0 END AS type FROM pairs WHERE fb IS NOT NULL)"""
 
 
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attributes a_* of each event and b_* of the one before; clouds are sliced when hot."""
+    ev = audit_events(spark, sf_dir)
+    own = ev.select(
+        "event_id", "home_cloud", events.micros(F.col("timestamp")).alias("t"),
+        *[c.alias(f"a_{n}") for n, c in identity.attributes(ev).items()],
+    )
+    attributes = F.struct(*[F.col(f"a_{n}").alias(n) for n in identity.ATTRIBUTES])
+    before = ordered.running(
+        ordered.with_slices(own, ["home_cloud"], "t"), "t", ["event_id"],
+        {"b": ordered.latest(attributes)}, exclusive=True,
+    ).plain()
+    return before.where(F.col("b").isNotNull()).select(
+        "*", *[F.col(f"b.{n}").alias(f"b_{n}") for n in identity.ATTRIBUTES]
+    )
+
+
 @query(
     "similarity_breakdown",
     f"""WITH {EV}, {_SIM}
@@ -128,16 +145,7 @@ _SIM = f"""pairs AS (SELECT event_id, ua_family AS fa, ua_version AS va, is_know
 )
 def similarity_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each event against the one before it in the same home cloud."""
-    ev = audit_events(spark, sf_dir)
-    own = ev.select(
-        "event_id", "home_cloud", "timestamp",
-        *[c.alias(f"a_{n}") for n, c in identity.attributes(ev).items()],
-    )
-    before = Window.partitionBy("home_cloud").orderBy("timestamp", "event_id")
-    pairs = own.select(
-        "*", F.lag("event_id").over(before).alias("__prev"),
-        *[F.lag(f"a_{n}").over(before).alias(f"b_{n}") for n in identity.ATTRIBUTES],
-    ).where(F.col("__prev").isNotNull())
+    pairs = _pairs(spark, sf_dir)
     parts = identity.similarity_breakdown(identity.side("a_"), identity.side("b_"))
     return pairs.select("event_id", parts.alias("p")).select("event_id", "p.*")
 
@@ -148,16 +156,7 @@ def similarity_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT round(CAST(ua + proxy + ip + type AS DOUBLE), 4) AS score, count(*) AS n FROM sims GROUP BY 1""",
 )
 def similarity_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = audit_events(spark, sf_dir)
-    own = ev.select(
-        "event_id", "home_cloud", "timestamp",
-        *[c.alias(f"a_{n}") for n, c in identity.attributes(ev).items()],
-    )
-    before = Window.partitionBy("home_cloud").orderBy("timestamp", "event_id")
-    pairs = own.select(
-        "*", F.lag("event_id").over(before).alias("__prev"),
-        *[F.lag(f"a_{n}").over(before).alias(f"b_{n}") for n in identity.ATTRIBUTES],
-    ).where(F.col("__prev").isNotNull())
+    pairs = _pairs(spark, sf_dir)
     score = identity.similarity(identity.side("a_"), identity.side("b_"))
     return pairs.groupBy(score.alias("score")).agg(F.count(F.lit(1)).alias("n"))
 
