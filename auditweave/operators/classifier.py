@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
@@ -12,7 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from auditweave.operators import evaluate, features
-from auditweave.session import broadcast_if_small, cut_lineage
+from auditweave.session import broadcast_if_small, cut_lineage, run_together
 
 NORMAL = "Normal"
 
@@ -190,15 +190,15 @@ def leave_one_group_out(
 ) -> DataFrame:
     """Hold each group out in turn: train on the others plus noise, test on it plus benign.
 
-    The groups are looped on the driver (there are few); every fold is a Spark job.
+    There are few groups; their folds are independent Spark jobs that run side by side.
     """
     is_attack = F.col("is_attack") == 1
     groups = [
         r[0]
         for r in attacks.where(is_attack & (F.col(group) != noise)).select(group).distinct().orderBy(group).collect()
     ]
-    folds = []
-    for held in groups:
+
+    def fold(held: str) -> DataFrame:
         others = attacks.where(is_attack & ~F.col(group).isin(held, noise))
         negatives = attacks.where(F.col(group) == noise).withColumn(label, F.lit(NORMAL))
         model = fit_phase(others.unionByName(negatives), label, **fit_options)
@@ -220,7 +220,7 @@ def leave_one_group_out(
             )
         )
         flagged = F.count_if(positive & (F.col("predicted_phase") != NORMAL))
-        folds.append(
+        return cut_lineage(
             scored.agg(
                 F.lit(held).alias("held_out"),
                 F.lit(others.count()).alias("n_train_attack"),
@@ -235,7 +235,8 @@ def leave_one_group_out(
                 top.scalar().alias("top_buckets"),
             )
         )
-    table = cut_lineage(reduce(DataFrame.unionByName, folds))
+
+    table = reduce(DataFrame.unionByName, run_together(partial(fold, g) for g in groups))
     mean = table.agg(
         F.lit("MEAN").alias("held_out"), F.avg("roc_auc").alias("roc_auc"), F.avg("pr_auc").alias("pr_auc")
     )

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from auditweave.functions.events import safe_ratio
 from auditweave.operators import identity, ordered, risk
-from auditweave.session import cut_lineage
+from auditweave.session import cut_lineage, run_together
 
 
 def _counts(df: DataFrame, score: str, y: str) -> DataFrame:
@@ -261,29 +261,36 @@ def ablation(
         require_disjoint(
             calibration, calibration_warmup, "event_id", "calibration events and warm-up"
         )
-    rows = []
-    for mode in modes:
-        if mode == "isolated":
-            tables = [(events, None), (calibration, None)]
-        else:
-            tables = [
-                stitch_for_evaluation(events, warmup, mode),
-                stitch_for_evaluation(calibration, calibration_warmup, mode),
-            ]
-        for signal in signals:
-            scored, tuned = (run_mode(t, c, mode, signal) for t, c in tables)
-            scored = cut_lineage(scored.select("scaled_score", y))
-            point = cut_lineage(sweep(tuned, "scaled_score", y, metric))
-            curve = pr_curve(scored, "scaled_score", y)
-            rows.append(
-                confusion(scored, "scaled_score", y, point).select(
-                    F.lit(signal).alias("signal"),
-                    F.lit(mode).alias("mode"),
-                    point.select("threshold").scalar().alias("threshold"),
-                    point.select("f1").scalar().alias("calibration_f1"),
-                    "tp", "fp", "tn", "fn", "accuracy", "precision", "recall", "f1", "fpr",
-                    roc_auc(curve).scalar().alias("roc_auc"),
-                    average_precision(curve).scalar().alias("pr_auc"),
-                )
+    tables = {("isolated", 0): (events, None), ("isolated", 1): (calibration, None)}
+    wanted = [
+        (mode, side) for mode in modes if mode != "isolated" for side in (0, 1)
+    ]
+    sides = ((events, warmup), (calibration, calibration_warmup))
+    stitched = run_together(
+        partial(stitch_for_evaluation, *sides[side], mode) for mode, side in wanted
+    )
+    tables |= dict(zip(wanted, stitched, strict=True))
+
+    def row(mode: str, signal: str) -> DataFrame:
+        scored, tuned = (
+            cut_lineage(
+                run_mode(*tables[(mode, side)], mode, signal).select("scaled_score", y)
+            )
+            for side in (0, 1)
+        )
+        point = cut_lineage(sweep(tuned, "scaled_score", y, metric))
+        curve = cut_lineage(pr_curve(scored, "scaled_score", y))
+        return cut_lineage(
+            confusion(scored, "scaled_score", y, point).select(
+                F.lit(signal).alias("signal"),
+                F.lit(mode).alias("mode"),
+                point.select("threshold").scalar().alias("threshold"),
+                point.select("f1").scalar().alias("calibration_f1"),
+                "tp", "fp", "tn", "fn", "accuracy", "precision", "recall", "f1", "fpr",
+                roc_auc(curve).scalar().alias("roc_auc"),
+                average_precision(curve).scalar().alias("pr_auc"),
             )
+        )
+
+    rows = run_together(partial(row, mode, signal) for mode in modes for signal in signals)
     return reduce(DataFrame.unionByName, rows)

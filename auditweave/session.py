@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import tempfile
-
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 from types import ModuleType
 
-from pyspark import cloudpickle
+from pyspark import cloudpickle, inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 BROADCAST_ROWS = 1_000_000
@@ -82,3 +83,10 @@ def spread(df: DataFrame) -> DataFrame:
 def ship_by_value(module: ModuleType) -> None:
     """Send a module's functions inside the task, so workers need no installed package."""
     cloudpickle.register_pickle_by_value(module)
+
+
+def run_together(jobs: Iterable[Callable], workers: int = 4) -> list:
+    """Results of independent driver functions whose Spark jobs may overlap."""
+    with ThreadPoolExecutor(workers) as pool:
+        futures = [pool.submit(inheritable_thread_target(job)) for job in jobs]
+        return [f.result() for f in futures]
