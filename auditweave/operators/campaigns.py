@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from auditweave.functions.events import MICROS, micros, safe_ratio
 from auditweave.operators import evaluate, ordered
+from auditweave.session import cut_lineage
 
 BENIGN_NOISE = "benign_noise"
 HOUR_US = 3600 * MICROS
@@ -93,16 +94,16 @@ def per_campaign(steps: DataFrame, threshold) -> DataFrame:
 
 def campaign_recall(steps: DataFrame, threshold) -> DataFrame:
     """Campaigns caught, recall, median first step and median fraction passed; one row."""
-    caught = per_campaign(steps, threshold)
-    return caught.agg(
-        F.count(F.lit(1)).alias("n_campaigns"),
-        F.count_if("caught").alias("campaigns_detected"),
-        F.median("first_detect_step").alias("median_first_detect_step"),
-        F.round(F.median(F.col("first_detect_step") / F.col("n_steps")), 3).alias(
-            "median_frac_through"
-        ),
-    ).withColumn(
-        "campaign_recall", safe_ratio(F.col("campaigns_detected"), F.col("n_campaigns"))
+    caught = cut_lineage(per_campaign(steps, threshold))
+    passed = caught.withColumn("__part", F.col("first_detect_step") / F.col("n_steps"))
+    counts = caught.agg(
+        F.count(F.lit(1)).alias("n_campaigns"), F.count_if("caught").alias("campaigns_detected")
+    )
+    return counts.select(
+        "*",
+        ordered.exact_median(caught, "first_detect_step").scalar().alias("median_first_detect_step"),
+        F.round(ordered.exact_median(passed, "__part").scalar(), 3).alias("median_frac_through"),
+        safe_ratio(F.col("campaigns_detected"), F.col("n_campaigns")).alias("campaign_recall"),
     )
 
 

@@ -468,8 +468,15 @@ def _fuzzy(base, nodes, state, params) -> DataFrame:
         F.min(F.struct(F.col("__t").alias("t"), F.col("__id").alias("id"))).alias("__from"),
         F.max("__t").alias("__to"),
     )
-    activity = hourly.join(labels, F.col("__node") == F.col("__lnode")).select(
-        "label", F.col("__from.t").alias("a"), F.col("__from.id").alias("i"), F.col("__to").alias("b")
+    # Per entity and hour, so that the window below stays short for any number of nodes.
+    activity = (
+        hourly.join(labels, F.col("__node") == F.col("__lnode"))
+        .groupBy("label", "__h")
+        .agg(F.min("__from").alias("__from"), F.max("__to").alias("__to"))
+        .select(
+            "label", F.col("__from.t").alias("a"), F.col("__from.id").alias("i"),
+            F.col("__to").alias("b"),
+        )
     )
     if state is not None:
         activity = activity.unionByName(

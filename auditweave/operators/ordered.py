@@ -441,16 +441,21 @@ def global_prefix(
     *,
     descending: bool = False,
     buckets: int = 200,
+    stored: bool = False,
+    small_rows: int = 100_000,
 ) -> DataFrame:
     """Running sums over a whole table in the order of one numeric, distinct column.
 
     Quantile bounds (a constant number of values on the driver) cut the column into
     buckets; each bucket is summed on its own and starts from the total of the buckets
-    before it, so no task sees the whole order.
+    before it, so no task sees the whole order. Up to ``small_rows`` rows need no bounds.
+    ``stored`` says that the table is read or checkpointed already.
     """
-    df = cut_lineage(df)
-    probabilities = [i / buckets for i in range(1, buckets)]
-    bounds = sorted(set(df.approxQuantile(order_by, probabilities, 1.0 / (4 * buckets))))
+    df = df if stored else cut_lineage(df)
+    bounds = []
+    if df.limit(small_rows + 1).count() > small_rows:
+        probabilities = [i / buckets for i in range(1, buckets)]
+        bounds = sorted(set(df.approxQuantile(order_by, probabilities, 1.0 / (4 * buckets))))
     splits = [float("-inf"), *bounds, float("inf")]
     if len(splits) < 3:
         splits = [float("-inf"), 0.0, float("inf")]
@@ -487,6 +492,20 @@ def global_prefix(
     )
 
 
+def exact_median(df: DataFrame, column: str) -> DataFrame:
+    """One row ``median``: mean of the two middle values, NULLs left out."""
+    counted = cut_lineage(
+        df.where(F.col(column).isNotNull())
+        .groupBy(F.col(column).cast("double").alias("v"))
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    last = counted.agg(F.sum("n") - 1).scalar()
+    ranked = global_prefix(counted, "v", {"upto": "n"}, stored=True)
+    low = F.min(F.when(F.col("upto") > F.floor(last / 2), F.col("v")))
+    high = F.min(F.when(F.col("upto") > F.ceil(last / 2), F.col("v")))
+    return ranked.agg(((low + high) / 2).alias("median"))
+
+
 def sessionize(
     df: DataFrame,
     keys: Sequence[str],

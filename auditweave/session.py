@@ -23,6 +23,7 @@ def build_session(app: str = "auditweave", master: str | None = None, **conf) ->
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         **conf,
     }
     for key, value in settings.items():
@@ -87,6 +88,7 @@ def ship_by_value(module: ModuleType) -> None:
 
 def run_together(jobs: Iterable[Callable], workers: int = 4) -> list:
     """Results of independent driver functions whose Spark jobs may overlap."""
+    wrap = inheritable_thread_target(SparkSession.active())
     with ThreadPoolExecutor(workers) as pool:
-        futures = [pool.submit(inheritable_thread_target(job)) for job in jobs]
+        futures = [pool.submit(wrap(job)) for job in jobs]
         return [f.result() for f in futures]

@@ -108,9 +108,19 @@ def test_running_folds_survive_slicing(spark):
 
 def test_global_prefix_matches_a_plain_window(spark):
     frame = spark.range(500).select((F.col("id") * 7 % 501).cast("double").alias("x"), F.lit(1).alias("n"))
-    out = ordered.global_prefix(frame, "x", {"upto": "n"}, descending=True, buckets=13)
-    got = {r["x"]: r["upto"] for r in out.collect()}
-    assert [got[x] for x in sorted(got, reverse=True)] == list(range(1, 501))
+    for limit in (10, 100_000):
+        out = ordered.global_prefix(frame, "x", {"upto": "n"}, descending=True, buckets=13, small_rows=limit)
+        got = {r["x"]: r["upto"] for r in out.collect()}
+        assert [got[x] for x in sorted(got, reverse=True)] == list(range(1, 501))
+
+
+def test_exact_median(spark):
+    for values in ([3.0], [1.0, 2.0], [5.0, 1.0, 1.0, 9.0, None], [2.0, 2.0, 7.0], list(map(float, range(101)))):
+        frame = spark.createDataFrame([(v,) for v in values], "x double")
+        kept = sorted(v for v in values if v is not None)
+        middle = (kept[(len(kept) - 1) // 2] + kept[len(kept) // 2]) / 2
+        assert ordered.exact_median(frame, "x").first()[0] == middle
+    assert ordered.exact_median(spark.createDataFrame([], "x double"), "x").first()[0] is None
 
 
 def test_sessionize_strict_gap_and_slices(spark):
