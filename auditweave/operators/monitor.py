@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from auditweave.functions.events import MICROS, micros, normalize_cloud
+from auditweave.functions.events import micros, normalize_cloud
 
+# Tag, job label and shape of a report line.
 LINE_TAG = "[CRITICAL XAI REPORT]"
+LINE_JOB = "security-triage-pipeline"
 LINE_PATTERN = (
     r"entity=(\S+) principal=(\S+) action=(.*?) risk=([\d.]+) phase=(\S+) :: (.*) :: shap=(\{.*\})"
 )
@@ -127,7 +129,7 @@ def alert_lines(alerts: DataFrame, text: Column | None = None, ts: str = "timest
         F.lit(" :: "), clean, F.lit(" :: shap="), impacts,
     )
     return alerts.select(
-        F.lit("security-triage").alias("job"),
+        F.lit(LINE_JOB).alias("job"),
         normalize_cloud(F.col("source_cloud")).alias("cloud"),
         F.coalesce(F.col("predicted_phase"), F.lit("Normal")).alias("phase"),
         micros(F.col(ts)).alias("ts_us"),
@@ -161,7 +163,3 @@ def narration_summary(telemetry: DataFrame) -> DataFrame:
         F.avg("elapsed_seconds").alias("avg_latency"),
         F.avg("prompt_chars").alias("avg_prompt_chars"),
     )
-
-
-def seconds(us: Column) -> Column:
-    return us / MICROS

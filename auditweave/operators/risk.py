@@ -344,11 +344,6 @@ def contributions(
     )
 
 
-def principal_class_expr(ptype: Column, hinted: Column) -> Column:
-    automated = F.coalesce(F.upper(ptype).isin(*agents.RISK_AUTOMATION_TYPES), F.lit(False))
-    return F.when(automated | hinted, "automation").otherwise("human")
-
-
 def nearest_rank_threshold(
     df: DataFrame,
     column: str = "risk_intensity",
