@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from auditweave.llm import bpe, fingerprint, near_dedup, token_files
+from auditweave.llm import bpe, fingerprint, mixing, near_dedup, suffixes, token_files, url_filter
 from auditweave.llm.common import shared_path, table
 
 QUERIES: dict = {}
@@ -27,6 +27,12 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+@query("op1_repeated_passages")
+def op1_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that an earlier document has, one row per passage."""
+    return suffixes.repeated_passages(_documents(spark, sf_dir))
+
+
 @query("op2_fingerprints")
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint of each document and of its edit with the next document's beginning."""
@@ -62,3 +68,18 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, path).select(
         "doc_id", "start", F.size("ids").cast("long").alias("n_tokens"), token_files.crc32(F.col("ids")).alias("ids_crc32")
     )
+
+
+@query("op8_url_filter", url_filter.ORACLE)
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, longest rule and verdict of each page."""
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.judge(pages, url_filter.default_rules(pages))
+
+
+@query("op9_mix")
+def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words taken of each document when sources weigh 1, 2, 3 in turn."""
+    sized = mixing.sizes_of(_documents(spark, sf_dir))
+    found = mixing.mix_table(sized, mixing.plan_mix(sized))
+    return found.select("doc_id", "size", "source_size", "target", "taken", "source", "shards")
