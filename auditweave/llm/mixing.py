@@ -24,6 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from auditweave.llm.common import free_name, slim, stored
+from auditweave.session import broadcast_if_small
 
 WEIGHTS = (1.0, 2.0, 3.0)
 EPOCHS = 3
@@ -200,7 +201,7 @@ class Mix:
         """One row of ``docs`` per taken copy, with its ``shard``; sources are joined, texts dealt once."""
         goal = self.goals.select(*[F.col(c).alias(f"__{c}") for c in ("source", "number", "full_epochs", "upto", "bits")])
         place = _order(F.col(f"`{doc_id}`"), F.col(f"`{source}`"), F.col(f"`{text}`"), self.seed)
-        placed = docs.join(F.broadcast(goal), F.col(f"`{source}`").eqNullSafe(F.col("__source")))
+        placed = docs.join(broadcast_if_small(goal), F.col(f"`{source}`").eqNullSafe(F.col("__source")))
         placed = placed.withColumn("__place", place)
         taken = F.col("__full_epochs") + (F.col("__place") < F.col("__upto")).cast("int")
         block = F.expr(f"shiftright(__place, {_HASH_BITS} - __bits)")
@@ -209,7 +210,7 @@ class Mix:
             "__copy", F.expr("shiftleft(cast(__epoch as bigint), __bits)") + block
         )
         dealt = self.blocks.select(F.col("number").alias("__number"), F.col("copy").alias("__copy"), F.col("shard").alias(shard))
-        return rows.join(dealt, ["__number", "__copy"]).select(*[f"`{c}`" for c in docs.columns], shard, "__epoch", "__place")
+        return rows.join(broadcast_if_small(dealt), ["__number", "__copy"]).select(*[f"`{c}`" for c in docs.columns], shard, "__epoch", "__place")
 
     def write_order(self, copies: DataFrame, shard: str = "shard") -> DataFrame:
         """Copies by shard, shuffled inside each: one shard lies in one partition."""
@@ -274,7 +275,7 @@ def mix_table(sized: DataFrame, mix: Mix) -> DataFrame:
     row = free_name(sized.columns, "__row")
     numbered = stored(sized.withColumn(row, F.monotonically_increasing_id()), "numbered")
     goal = mix.goals.select(F.col("source").alias("__source"), "source_size", "target", "number", "full_epochs", "upto", "bits")
-    placed = numbered.join(F.broadcast(goal), F.col("source").eqNullSafe(F.col("__source")))
+    placed = numbered.join(broadcast_if_small(goal), F.col("source").eqNullSafe(F.col("__source")))
     count = F.col("full_epochs") + (F.col("place") < F.col("upto")).cast("int")
     block = F.expr(f"shiftright(place, {_HASH_BITS} - bits)")
     rows = placed.withColumn("copies", count).withColumn(

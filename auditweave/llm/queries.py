@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from auditweave.llm import bpe, fingerprint, mixing, near_dedup, suffixes, token_files, url_filter
+from auditweave.llm import bpe, fingerprint, lm_score, mixing, multi_index, near_dedup, quality, suffixes, token_files, url_filter
 from auditweave.llm.common import shared_path, table
 
 QUERIES: dict = {}
@@ -60,6 +60,12 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+@query("op5_neighbours")
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors by cosine of every fiftieth vector."""
+    return multi_index.neighbours(table(spark, sf_dir, "embeddings"))
+
+
 @query("op6_token_files")
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of each document, written to ORC and read back from the files."""
@@ -70,6 +76,12 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op7_lm_score")
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masked pseudo-likelihood of each whole text under a network trained on all of them."""
+    return lm_score.pseudo_likelihood(_documents(spark, sf_dir))
+
+
 @query("op8_url_filter", url_filter.ORACLE)
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host, path, longest rule and verdict of each page."""
@@ -83,3 +95,14 @@ def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = mixing.sizes_of(_documents(spark, sf_dir))
     found = mixing.mix_table(sized, mixing.plan_mix(sized))
     return found.select("doc_id", "size", "source_size", "target", "taken", "source", "shards")
+
+
+@query("op10_quality")
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of each whole text, learned from labels that are not held out."""
+    docs = _documents(spark, sf_dir)
+    net = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, net, keep=["doc_id"]).select(
+        "doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= quality.CUT).cast("int").alias("predicted"),
+    )
