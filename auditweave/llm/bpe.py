@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 from auditweave.llm.common import BATCH_BYTES, free_name, kept_in_worker
 
 _BLANKS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-CACHE_ENTRIES = 400_000  # chunks, and as many words, of a Python worker; about 250 bytes each
+CACHE_ENTRIES = 250_000  # chunks, and as many words, of a Python worker; about 250 bytes each
 _PLACE_BITS = 32  # of a queue entry; the rank is above
 _PLACE = (1 << _PLACE_BITS) - 1
 
@@ -150,13 +150,21 @@ def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at, step)
 
 
-def encode(df: DataFrame, path: str, text: str = "text", output: str = "ids", keep: list[str] | None = None) -> DataFrame:
-    """Add the ids of each whole text; ``keep`` names the columns to carry (default all)."""
+def encode(
+    df: DataFrame, path: str, text: str = "text", output: str = "ids", decoded: str | None = None, keep: list[str] | None = None
+) -> DataFrame:
+    """Add the ids of each whole text, and in ``decoded``, if named, what they decode to.
+
+    ``keep`` names the columns to carry (default all). Decoding in the same pass needs no
+    second Python worker beside the one that encodes.
+    """
     source = _source(path)
     kept = df.columns if keep is None else keep
-    body = free_name([*kept, output], "__text")
+    names = [*kept, output, *([decoded] if decoded else [])]
+    body = free_name(names, "__text")
     rows = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias(body))
-    schema = df.select(*[F.col(f"`{c}`") for c in kept], F.array(F.lit(0)).alias(output)).schema
+    added = [F.array(F.lit(0)).alias(output), *([F.lit("").alias(decoded)] if decoded else [])]
+    schema = df.select(*[F.col(f"`{c}`") for c in kept], *added).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = kept_in_worker(f"bpe_{zlib.crc32(source.encode())}", lambda: WordBpe(source))
@@ -165,8 +173,10 @@ def encode(df: DataFrame, path: str, text: str = "text", output: str = "ids", ke
                 found = [bpe.encode(t or "") for t in batch.column(len(kept)).to_pylist()]
                 ends = np.cumsum([0, *map(len, found)]) // 4
                 values = pa.array(np.frombuffer(b"".join(found), dtype="<i4"))
-                ids = pa.ListArray.from_arrays(pa.array(ends, type=pa.int32()), values)
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], ids], names=[*kept, output])
+                columns = [*batch.columns[: len(kept)], pa.ListArray.from_arrays(pa.array(ends, type=pa.int32()), values)]
+                if decoded:
+                    columns.append(pa.array([bpe.decode(np.frombuffer(f, dtype="<i4")) for f in found], type=pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return rows.mapInArrow(run, schema)
 

@@ -43,9 +43,8 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of each whole text and the text that they decode to."""
     path = public_tokenizers.path("word_bpe_49k.json")
-    encoded = bpe.encode(_documents(spark, sf_dir), path, keep=["doc_id"])
-    decoded = bpe.decode(encoded, path, keep=["doc_id", "ids"])
-    return decoded.select(
+    encoded = bpe.encode(_documents(spark, sf_dir), path, decoded="decoded", keep=["doc_id"])
+    return encoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),

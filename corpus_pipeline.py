@@ -40,9 +40,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and digests of the ids and of the text they decode to."""
     path = public_tokenizers.path("word_bpe_49k.json")
-    encoded = bpe.encode(docs, path, keep=["doc_id", "source"])
-    decoded = bpe.decode(encoded, path, keep=["doc_id", "source", "ids"])
-    return decoded.select(
+    encoded = bpe.encode(docs, path, decoded="decoded", keep=["doc_id", "source"])
+    return encoded.select(
         "doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids",
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
