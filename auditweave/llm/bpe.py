@@ -13,7 +13,6 @@ from __future__ import annotations
 import heapq
 import json
 import unicodedata
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,10 +20,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from auditweave.llm.common import BATCH_BYTES, free_name, kept_in_worker
+from auditweave.llm.common import BATCH_BYTES, free_name
 
 _BLANKS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-CACHE_ENTRIES = 250_000  # chunks, and as many words, of a Python worker; about 250 bytes each
+CACHE_ENTRIES = 150_000  # chunks, and as many words, of a task; about 250 bytes each
 _PLACE_BITS = 32  # of a queue entry; the rank is above
 _PLACE = (1 << _PLACE_BITS) - 1
 
@@ -167,7 +166,7 @@ def encode(
     schema = df.select(*[F.col(f"`{c}`") for c in kept], *added).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = kept_in_worker(f"bpe_{zlib.crc32(source.encode())}", lambda: WordBpe(source))
+        bpe = WordBpe(source)
         for whole in batches:
             for batch in _pieces(whole):
                 found = [bpe.encode(t or "") for t in batch.column(len(kept)).to_pylist()]
@@ -190,7 +189,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", output: str = "decoded",
     schema = df.select(*[F.col(f"`{c}`") for c in kept], F.lit("").alias(output)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = kept_in_worker(f"bpe_{zlib.crc32(source.encode())}", lambda: WordBpe(source))
+        bpe = WordBpe(source)
         for whole in batches:
             for batch in _pieces(whole):
                 lists = batch.column(len(kept))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from auditweave.session import ensure_checkpoint_dir
 
 BATCH_BYTES = 4 << 20
+ARROW_ROWS = "1000"
 FILTER_BITS = 1 << 24
 _BITMAP_BITS = 32_768  # size of one bitmap of bitmap_construct_agg
 
@@ -34,6 +35,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table; texts are long, so Arrow batches of this session hold few rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
