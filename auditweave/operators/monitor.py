@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from auditweave.functions.events import micros, normalize_cloud
 
-# Tag, job label and shape of a report line.
+# Tag, job label, absent value and shape of a report line.
 LINE_TAG = "[CRITICAL XAI REPORT]"
 LINE_JOB = "security-triage-pipeline"
+LINE_ABSENT = "None"
 LINE_PATTERN = (
-    r"entity=(\S+) principal=(\S+) action=(.*?) risk=([\d.]+) phase=(\S+) :: (.*) :: shap=(\{.*\})"
+    r"entity=(\S+) principal=(\S+) action=(.*?) risk=([\d.]+|None) phase=(\S+) :: (.*) :: shap=(\{.*\})"
 )
 
 
@@ -103,29 +104,38 @@ def latest_risk(scored: DataFrame, ts: str = "timestamp", order: str = "event_id
     return scored.agg(_latest(newest, ts, order).alias("r")).select("r.*")
 
 
+def _said(value: Column) -> Column:
+    """The value in a line; a missing one is spelled out, so that no line gets lost."""
+    return F.coalesce(value, F.lit(LINE_ABSENT))
+
+
+def _score_text(column: str) -> Column:
+    return _said(F.when(F.col(column).isNotNull(), F.format_string("%.4f", F.col(column))))
+
+
 def alert_text() -> Column:
     """Structured summary used where no narrative exists."""
     return F.concat(
-        F.lit("phase="), F.col("predicted_phase"),
-        F.lit(" dominant_signal="), F.col("dominant_signal"),
-        F.lit(" clouds="), F.array_join("active_clouds", ","),
-        F.lit(" scaled_score="), F.format_string("%.4f", F.col("scaled_score")),
+        F.lit("phase="), _said(F.col("predicted_phase")),
+        F.lit(" dominant_signal="), _said(F.col("dominant_signal")),
+        F.lit(" clouds="), _said(F.array_join("active_clouds", ",")),
+        F.lit(" scaled_score="), _score_text("scaled_score"),
     )
 
 
 def alert_lines(alerts: DataFrame, text: Column | None = None, ts: str = "timestamp") -> DataFrame:
     """One report line per alert with low-cardinality labels for the sink's partitions."""
-    body = alert_text() if text is None else text
+    body = alert_text() if text is None else _said(text)
     clean = F.trim(F.regexp_replace(F.regexp_replace(body, "\n", " "), '"', "'"))
     impacts = (
-        F.to_json("attributions") if "attributions" in alerts.columns else F.lit("{}")
+        F.coalesce(F.to_json("attributions"), F.lit("{}")) if "attributions" in alerts.columns else F.lit("{}")
     )
     line = F.concat(
-        F.lit(f"{LINE_TAG} entity="), F.col("entity_id"),
-        F.lit(" principal="), F.coalesce(F.col("principal"), F.col("entity_id")),
-        F.lit(" action="), F.col("action"),
-        F.lit(" risk="), F.format_string("%.4f", F.col("scaled_score")),
-        F.lit(" phase="), F.col("predicted_phase"),
+        F.lit(f"{LINE_TAG} entity="), _said(F.col("entity_id")),
+        F.lit(" principal="), _said(F.coalesce(F.col("principal"), F.col("entity_id"))),
+        F.lit(" action="), _said(F.col("action")),
+        F.lit(" risk="), _score_text("scaled_score"),
+        F.lit(" phase="), _said(F.col("predicted_phase")),
         F.lit(" :: "), clean, F.lit(" :: shap="), impacts,
     )
     return alerts.select(
@@ -151,7 +161,7 @@ def parse_alert_lines(
             "ts_us", "cloud", "phase",
             *[F.regexp_extract("line", LINE_PATTERN, i + 1).alias(n) for i, n in enumerate(names)],
         )
-        .withColumn("risk", F.col("risk").cast("double"))
+        .withColumn("risk", F.col("risk").try_cast("double"))
         .orderBy(F.col("ts_us").desc())
     )
 
