@@ -12,11 +12,8 @@ from auditweave.operators import ordered
 from auditweave.operators.ordered import Recent, recent_max, recent_min, recent_set, recent_sum
 
 LN2 = 0.6931471805599453
-# Types counted one by one when the class is taken from the window; others share one slot.
-KNOWN_PRINCIPAL_TYPES = (
-    "IAMUSER", "ASSUMEDROLE", "ROOT", "FEDERATEDUSER", "AWSSERVICE", "AWSACCOUNT", "ROLE",
-    "USER", "SERVICEPRINCIPAL", "SERVICEACCOUNT", "IDENTITYCENTERUSER", "SAMLUSER",
-)
+# Principal types are a vocabulary of the clouds; more than this many are an error in the column.
+MAX_PRINCIPAL_TYPES = 500
 
 
 @dataclass(frozen=True)
@@ -126,9 +123,17 @@ def active_window(
     )
 
 
-def _type_slot(column: Column, types: tuple[str, ...]) -> Column:
-    name = F.upper(F.coalesce(column, F.lit("")))
-    return F.when(name == "", None).when(name.isin(*types), name).otherwise("OTHER")
+def _types_of(df: DataFrame, name: Column) -> list[str]:
+    """The types that occur, each of which gets counters of its own."""
+    found = df.select(name.alias("type")).where(F.col("type").isNotNull()).distinct()
+    types = sorted(r["type"] for r in found.limit(MAX_PRINCIPAL_TYPES + 1).collect())
+    if len(types) > MAX_PRINCIPAL_TYPES:
+        raise ValueError(f"more than {MAX_PRINCIPAL_TYPES} principal types; use class_from='event'")
+    return types
+
+
+def _least(columns: list[Column]) -> Column:
+    return F.least(*columns) if len(columns) > 1 else columns[0]
 
 
 def score(
@@ -141,7 +146,6 @@ def score(
     order: str = "event_id",
     prior: DataFrame | None = None,
     class_from: str = "event",
-    principal_types: tuple[str, ...] = KNOWN_PRINCIPAL_TYPES,
     hot_rows: int = ordered.HOT_ROWS,
     slice_us: int = ordered.SLICE_US,
 ) -> DataFrame:
@@ -149,12 +153,14 @@ def score(
 
     ``baselines`` (entity, clouds) lists the clouds that are normal per entity.
     ``class_from="event"`` classifies by the event's own principal type,
-    ``"window"`` by the most frequent type among the active events (ties: earliest).
+    ``"window"`` by the most frequent type among the active events (ties: earliest by time
+    and ``order``); it reads the distinct types of the table first.
     """
     skew = {"hot_rows": hot_rows, "slice_us": slice_us}
     traced = lifetime_clouds(df, entity, ts, order, prior, **skew)
     kept = [c for c in df.columns if c != "lifetime_clouds"]
     ptype = F.col("principal_type") if "principal_type" in df.columns else F.lit(None).cast("string")
+    kind = F.nullif(F.upper(ptype), F.lit(""))
     agent = [F.nullif(F.col(c), F.lit("")) for c in ("ua_family", "user_agent") if c in df.columns]
     base = traced.select(
         "*",
@@ -162,10 +168,10 @@ def score(
         _known_cloud().alias("__cloud"),
         clean_anomaly(df).alias("__a"),
         agents.automation_hint(F.coalesce(*agent) if agent else F.lit("")).alias("__hint"),
-        _type_slot(ptype, principal_types).alias("__type"),
+        kind.alias("__type"),
     )
     rate = LN2 / params.half_life_seconds / events.MICROS
-    slots = [*principal_types, "OTHER"]
+    slots = _types_of(df, kind) if class_from == "window" else []
 
     def folds(origin: Column) -> dict[str, Recent]:
         specs = {
@@ -176,11 +182,11 @@ def score(
             "__clouds": recent_set(F.col("__cloud")),
             "__hinted": recent_max(F.col("__hint").cast("int")),
         }
-        if class_from == "window":
-            for i, slot in enumerate(slots):
-                mine = F.col("__type") == slot
-                specs[f"__n{i}"] = recent_sum(F.when(mine, 1))
-                specs[f"__f{i}"] = recent_min(F.when(mine, F.col("__t")))
+        for i, slot in enumerate(slots):
+            mine = F.col("__type") == slot
+            place = F.struct(F.col("__t").alias("t"), F.col(order).alias("o"))
+            specs[f"__n{i}"] = recent_sum(F.when(mine, 1))
+            specs[f"__f{i}"] = recent_min(F.when(mine, place))
         return specs
 
     out = ordered.recent(base, [entity], "__t", [order], params.window_us, folds)
@@ -188,18 +194,20 @@ def score(
     # The event itself has weight 1 exactly; the others are scaled from the slice start.
     decayed = F.col("__a") + F.col("__sum") * F.exp(-(F.col("__t") - origin) * F.lit(rate))
 
-    if class_from == "window":
-        ranked = F.greatest(
-            *[
-                F.struct(
-                    F.col(f"__n{i}").alias("n"),
-                    (-F.coalesce(F.col(f"__f{i}"), F.lit(2**62))).alias("f"),
-                    F.lit(slot).alias("type"),
+    if slots:
+        most = F.greatest(F.lit(0).cast("long"), *[F.col(f"__n{i}") for i in range(len(slots))])
+        first = _least(
+            [
+                F.when(
+                    (most > 0) & (F.col(f"__n{i}") == most),
+                    F.struct(F.col(f"__f{i}").alias("first"), F.lit(slot).alias("type")),
                 )
                 for i, slot in enumerate(slots)
             ]
         )
-        deciding = F.when(ranked["n"] > 0, ranked["type"])
+        deciding = first["type"]
+    elif class_from == "window":
+        deciding = F.lit(None).cast("string")
     else:
         deciding = F.upper(ptype)
     automated = F.coalesce(deciding.isin(*agents.RISK_AUTOMATION_TYPES), F.lit(False))

@@ -195,30 +195,31 @@ def entity_risk_with_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _risk_columns(risk.score(ev, baselines=risk.footprints(quiet)))
 
 
-_TYPES = ("IAMUser", "User", "ServiceAccount", "AssumedRole", "Mystery")
+_TYPES = ("IAMUser", "User", "ServiceAccount", "AssumedRole", "Mystery", "Puzzle", "Riddle")
 
 
 @query(
     "principal_class_from_window",
-    f"""WITH {EV}, c AS (SELECT event_id, home_cloud, t,
-      CASE k % 5 WHEN 0 THEN 'IAMUSER' WHEN 1 THEN 'USER' WHEN 2 THEN 'SERVICEACCOUNT'
-        WHEN 3 THEN 'ASSUMEDROLE' ELSE 'MYSTERY' END AS pt FROM ev),
-    g AS (SELECT c.event_id, o.pt, count(*) AS n, min(o.t) AS first_t FROM c JOIN c o
-      ON c.home_cloud = o.home_cloud AND o.t BETWEEN c.t - 600000000 AND c.t GROUP BY 1, 2),
-    m AS (SELECT event_id, arg_max(pt, struct_pack(n := n, f := -first_t)) AS pt FROM g GROUP BY 1)
+    f"""WITH {EV}, c AS (SELECT event_id, home_cloud, t // 600000000 * 600000000 AS t,
+      CASE k % 7 WHEN 0 THEN 'IAMUSER' WHEN 1 THEN 'USER' WHEN 2 THEN 'SERVICEACCOUNT'
+        WHEN 3 THEN 'ASSUMEDROLE' WHEN 4 THEN 'MYSTERY' WHEN 5 THEN 'PUZZLE' ELSE 'RIDDLE' END AS pt FROM ev),
+    g AS (SELECT c.event_id, o.pt, count(*) AS n, min(struct_pack(t := o.t, e := o.event_id)) AS first FROM c JOIN c o
+      ON c.home_cloud = o.home_cloud AND o.t >= c.t - 3600000000 AND (o.t, o.event_id) <= (c.t, c.event_id)
+      GROUP BY 1, 2),
+    m AS (SELECT event_id, arg_max(pt, struct_pack(n := n, t := -first.t, e := -first.e)) AS pt FROM g GROUP BY 1)
     SELECT event_id, CASE WHEN pt IN ('SERVICEACCOUNT', 'ASSUMEDROLE') THEN 'automation'
       ELSE 'human' END AS principal_class FROM m""",
 )
 def principal_class_from_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entities as wide as a cloud and a ten-minute window, so that types really mix."""
+    """Entities as wide as a cloud, one-hour windows and times to ten minutes: types mix, times tie."""
     ev = audit_events(spark, sf_dir)
-    types = F.element_at(F.array(*[F.lit(t) for t in _TYPES]), F.col("k") % 5 + 1)
+    types = F.element_at(F.array(*[F.lit(t) for t in _TYPES]), F.col("k") % 7 + 1)
     mixed = ev.select(
-        "event_id", "timestamp", "source_cloud", "anomaly_score",
+        "event_id", F.window("timestamp", "10 minutes")["start"].alias("timestamp"), "source_cloud", "anomaly_score",
         F.col("home_cloud").alias("entity_id"), types.alias("principal_type"),
     )
     return risk.score(
-        mixed, params=risk.RiskParams(window_seconds=600.0), class_from="window"
+        mixed, params=risk.RiskParams(window_seconds=3600.0), class_from="window"
     ).select("event_id", "principal_class")
 
 
@@ -448,15 +449,19 @@ def latest_risk_gauge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return monitor.latest_risk(scored)
 
 
-_LINE = """concat('[CRITICAL XAI REPORT] entity=', principal, ' principal=', principal, ' action=', action,
+# Some actions, phases and texts are missing.
+_ACTION = "CASE WHEN k % 7 = 0 THEN 'None' ELSE action END"
+_PHASE = "CASE WHEN k % 5 <> 0 THEN predicted_phase END"
+_SEEN = "CASE WHEN k % 3 = 0 THEN 'None' ELSE concat('seen ''', user_agent, ''' from ', source_ip) END"
+_LINE = f"""concat('[CRITICAL XAI REPORT] entity=', principal, ' principal=', principal, ' action=', {_ACTION},
   ' risk=', printf('%.4f', round((0.05 + anomaly_score) / (1.05 + anomaly_score), 4)),
-  ' phase=', predicted_phase, ' :: seen ''', user_agent, ''' from ', source_ip, ' :: shap={}')"""
+  ' phase=', coalesce({_PHASE}, 'None'), ' :: ', {_SEEN}, ' :: shap={{}}')"""
 
 
 @query(
     "alert_report_lines",
     f"""WITH {EV}
-    SELECT source_cloud AS cloud, predicted_phase AS phase, t AS ts_us, {_LINE} AS line
+    SELECT source_cloud AS cloud, coalesce({_PHASE}, 'Normal') AS phase, t AS ts_us, {_LINE} AS line
     FROM ev WHERE {_ISO_CRITICAL}""",
 )
 def alert_report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -464,19 +469,26 @@ def alert_report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    alerts = _alerts(spark, sf_dir).where("is_critical").withColumn("entity_id", F.col("principal"))
-    text = F.concat(
+    alerts = _alerts(spark, sf_dir).where("is_critical").withColumns(
+        {
+            "entity_id": F.col("principal"),
+            "action": F.when(F.col("k") % 7 != 0, F.col("action")),
+            "predicted_phase": F.when(F.col("k") % 5 != 0, F.col("predicted_phase")),
+        }
+    )
+    seen = F.concat(
         F.lit('seen "'), F.col("user_agent"), F.lit('"\nfrom '), F.col("source_ip"), F.lit(" ")
     )
+    text = F.when(F.col("k") % 3 != 0, seen)
     return monitor.alert_lines(alerts, text)
 
 
 @query(
     "parsed_alert_lines",
     f"""WITH {EV}
-    SELECT t AS ts_us, source_cloud AS cloud, predicted_phase AS phase, principal AS entity, principal,
-      action, round((0.05 + anomaly_score) / (1.05 + anomaly_score), 4) AS risk,
-      predicted_phase AS phase_line, concat('seen ''', user_agent, ''' from ', source_ip) AS narrative,
+    SELECT t AS ts_us, source_cloud AS cloud, coalesce({_PHASE}, 'Normal') AS phase, principal AS entity,
+      principal, {_ACTION} AS action, round((0.05 + anomaly_score) / (1.05 + anomaly_score), 4) AS risk,
+      coalesce({_PHASE}, 'None') AS phase_line, {_SEEN} AS narrative,
       '{{}}' AS shap
     FROM ev WHERE {_ISO_CRITICAL} AND source_cloud IN ('AWS', 'AZURE')""",
 )
