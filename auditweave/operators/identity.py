@@ -32,7 +32,7 @@ from auditweave.session import cut_lineage, ship_by_value
 ship_by_value(replay)
 
 # Families that say nothing, and tools that count as automation.
-UNINFORMATIVE_FAMILIES = ("Unknown", "Other")
+UNINFORMATIVE_FAMILIES = ("Unknown", "Other", "")
 UNINFORMATIVE_VERSIONS = ("Unknown", "Other", "")
 AUTOMATION_FAMILIES = (
     "Boto3", "aws-cli", "aws-sdk-go", "Terraform", "azure-cli", "google-cloud-sdk", "pulumi",
@@ -404,7 +404,7 @@ def _in_play() -> Column:
     family = F.col("ua_family")
     version_known = F.coalesce(~F.col("ua_version").isin(*UNINFORMATIVE_VERSIONS), F.lit(False))
     return (
-        F.coalesce(~family.isin(*UNINFORMATIVE_FAMILIES, ""), F.lit(False))
+        F.coalesce(~family.isin(*UNINFORMATIVE_FAMILIES), F.lit(False))
         & (F.col("proxy") | (version_known & F.col("kind").isNotNull()))
     )
 
@@ -419,7 +419,7 @@ def _fuzzy(base, nodes, state, params) -> DataFrame:
     """(decided, decision, owner, similarity) for every root principal that may match."""
     fine = _uses_default_weights(params)
     family_known = F.coalesce(
-        ~F.col("ua_family").isin(*UNINFORMATIVE_FAMILIES, ""), F.lit(False)
+        ~F.col("ua_family").isin(*UNINFORMATIVE_FAMILIES), F.lit(False)
     )
     roots = nodes.where(
         (F.col("root") == F.col("node")) & F.col("known_entity").isNull()
