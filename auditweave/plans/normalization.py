@@ -115,7 +115,7 @@ def parse_gcp(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def normalize_mixed_clouds(spark: SparkSession, sf_dir: str) -> DataFrame:
     good, _ = normalize.normalize(encode(audit_events(spark, sf_dir)))
-    return good.where(F.col("event_id").isNotNull()).select(
+    return good.select(
         F.col("src_event_id").alias("event_id"),
         events.micros(F.col("timestamp")).alias("ts_us"),
         *_PARSED[2:],
@@ -330,22 +330,29 @@ def bridge_normalized_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_AFTER_ALL = 4_000_000_000_000_000  # microseconds, later than any event; exact in a double
+
+
 @query(
     "merge_sources_by_time",
     f"""WITH {EV}
-    SELECT event_id, row_number() OVER (ORDER BY t, event_id) AS position
-    FROM ev WHERE k <> {BAD_TIME_K}""",
+    SELECT event_id, row_number() OVER (
+      ORDER BY CASE WHEN k <> {BAD_TIME_K} THEN t END NULLS LAST, event_id) AS position FROM ev""",
 )
 def merge_sources_by_time(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three providers' records in one event-time order; positions show that order."""
+    """Three providers' records in one event-time order; positions show that order.
+
+    Records whose time cannot be read come last, by their ids.
+    """
     from auditweave.operators import ordered
 
-    ev = audit_events(spark, sf_dir).where(F.col("k") != BAD_TIME_K)
+    ev = audit_events(spark, sf_dir)
     parts = [encode(ev.where(F.col("source_cloud") == c), c) for c in files.CLOUDS]
     merged = files.merge_sources(*parts)
     at = merged.select(
         F.col("src_event_id").alias("event_id"),
-        events.micros(events.parse_time(F.col("event_time"))).cast("double").alias("at"),
+        F.coalesce(events.micros(events.parse_time(F.col("event_time"))), _AFTER_ALL + F.col("src_event_id"))
+        .cast("double").alias("at"),
         F.lit(1).alias("one"),
     )
     per_time = at.groupBy("at").agg(F.sum("one").alias("n"))

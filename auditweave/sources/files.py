@@ -91,7 +91,10 @@ def read_ip_ranges(spark: SparkSession, path: str) -> DataFrame:
 
 
 def merge_sources(*tables: DataFrame, raw_col: str = "raw") -> DataFrame:
-    """Union of raw record tables in event-time order (eventTime, else time, else timestamp)."""
+    """Union of raw record tables in event-time order (eventTime, else time, else timestamp).
+
+    Records without a time come last.
+    """
     united = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
     times = F.json_tuple(raw_col, "eventTime", "time", "timestamp").alias("__a", "__b", "__c")
     when = F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in ("__a", "__b", "__c")])
@@ -99,5 +102,5 @@ def merge_sources(*tables: DataFrame, raw_col: str = "raw") -> DataFrame:
         united.select("*", times)
         .withColumn("event_time", when)
         .drop("__a", "__b", "__c")
-        .orderBy("event_time")
+        .orderBy(F.col("event_time").asc_nulls_last())
     )
