@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
 from auditweave.functions import agents, events, net
@@ -31,7 +33,7 @@ def _range_key(df: DataFrame, name: str) -> Column:
 def _leveled(ranges: DataFrame, kept: list[str]) -> DataFrame:
     """Ranges with the longest hex prefix their two ends share.
 
-    Ranges do not overlap, so at most 15 of them share one (level, prefix): each has to
+    Of ranges that do not overlap at most 15 share one (level, prefix): each has to
     straddle one of the 15 borders between the 16 children of that prefix.
     """
     low, high = F.col("__low"), F.col("__high")
@@ -49,14 +51,23 @@ def _leveled(ranges: DataFrame, kept: list[str]) -> DataFrame:
     )
 
 
+def _overlap(leveled: DataFrame) -> bool:
+    """Whether two ranges share an address. Only for tables that passed the size check."""
+    before = Window.orderBy("__low", "__high").rowsBetween(Window.unboundedPreceding, -1)
+    seen = leveled.select("__low", F.max("__high").over(before).alias("__reach"))
+    return not seen.where(F.col("__low") <= F.col("__reach")).isEmpty()
+
+
 def join_ip_ranges(
     df: DataFrame, column: str, ranges: DataFrame, kept: list[str], max_broadcast: int = 1_000_000
 ) -> DataFrame:
-    """Left join to non-overlapping ``(start_ip, end_ip, ...)``; IPv4 and IPv6.
+    """Left join to ``(start_ip, end_ip, ...)``; IPv4 and IPv6. Every row stays one row.
 
     One equi-join per prefix length in use (a handful), never a theta join. A table
-    that passes the size check is broadcast per length and the events are not shuffled;
-    a larger one is matched to the distinct addresses only.
+    that passes the size check and has no overlaps is broadcast per length and the events
+    are not shuffled; any other is matched to the distinct addresses only. Of several
+    ranges that hold an address the innermost counts: the one that starts last, then the
+    one that ends first, then the smallest values.
     """
     leveled = cut_lineage(_leveled(ranges, kept))
     levels = sorted(r[0] for r in leveled.select("__level").distinct().collect())
@@ -64,28 +75,41 @@ def join_ip_ranges(
     if not levels:
         return df.select("*", *[F.lit(None).cast(ranges.schema[c].dataType).alias(c) for c in kept])
 
-    def match(source: DataFrame, broadcast: bool) -> DataFrame:
-        out = source.withColumn("__key", net.ip_key(F.col(column)))
+    inside = F.col("__key").between(F.col("__low"), F.col("__high"))
+    if small and not _overlap(leveled):
+        out = df.withColumn("__key", net.ip_key(F.col(column)))
         for level in levels:
             part = leveled.where(F.col("__level") == level).select(
                 "__prefix", "__low", "__high", *[F.col(c).alias(f"__{level}_{c}") for c in kept]
             )
-            part = F.broadcast(part) if broadcast else part
             out = out.join(
-                part,
-                (F.substring("__key", 1, level) == F.col("__prefix"))
-                & F.col("__key").between(F.col("__low"), F.col("__high")),
-                "left",
+                F.broadcast(part), (F.substring("__key", 1, level) == F.col("__prefix")) & inside, "left"
             ).drop("__prefix", "__low", "__high")
         return out.select(
-            *source.columns,
+            *df.columns,
             *[F.coalesce(*[F.col(f"__{level}_{c}") for level in levels]).alias(c) for c in kept],
         )
 
-    if small:
-        return match(df, True)
-    known = match(df.select(column).where(F.col(column).isNotNull()).distinct(), False)
-    return df.join(known, column, "left").select(*df.columns, *kept)
+    asked = df.select(F.col(column).alias("__ip")).where(F.col("__ip").isNotNull()).distinct()
+    asked = cut_lineage(asked.withColumn("__key", net.ip_key(F.col("__ip"))))
+    hits = [
+        asked.join(
+            F.broadcast(part) if small else part,
+            (F.substring("__key", 1, level) == F.col("__prefix")) & inside,
+        )
+        for level in levels
+        for part in [leveled.where(F.col("__level") == level)]
+    ]
+    # digits turned round, so that the smallest end and the smallest values are the largest key
+    ends_first = F.translate("__high", "0123456789abcdef", "fedcba9876543210")
+    innermost = F.max(F.struct("__low", ends_first.alias("__end"))).over(Window.partitionBy("__ip"))
+    known = (
+        reduce(DataFrame.unionByName, hits)
+        .select("__ip", "__low", ends_first.alias("__end"), *kept, innermost.alias("__best"))
+        .where((F.col("__low") == F.col("__best.__low")) & (F.col("__end") == F.col("__best.__end")))
+        .groupBy("__ip").agg(F.min(F.struct(*kept)).alias("__range"))
+    )
+    return df.join(known, F.col(column) == F.col("__ip"), "left").select(*df.columns, "__range.*")
 
 
 def enrich_ip(

@@ -249,12 +249,12 @@ def ip_validation_and_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {EV}
     SELECT event_id,
       (k % 11 = 0 OR (k // 10) % 4 = 1) AS is_known_proxy_or_tor,
-      CASE (k // 10) % 4 WHEN 0 THEN 'DE' WHEN 1 THEN 'US' WHEN 2 THEN 'JP' ELSE 'Unknown' END
-        AS geo_country
+      CASE (k // 10) % 4 WHEN 0 THEN 'DE' WHEN 1 THEN 'US' WHEN 2 THEN 'JP'
+        ELSE CASE WHEN k < 60 THEN 'FR' ELSE 'Unknown' END END AS geo_country
     FROM ev""",
 )
 def ip_reputation_and_geo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exit list and address ranges both come from the addresses in the table."""
+    """Exit list and address ranges come from the addresses in the table; one range holds others."""
     ev = audit_events(spark, sf_dir).drop("is_known_proxy_or_tor")
     tor = ev.where(F.col("k") % 11 == 0).select(F.col("source_ip").alias("ip")).distinct()
     block = F.floor(F.col("k") / 10).cast("int")
@@ -266,7 +266,11 @@ def ip_reputation_and_geo(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(F.col("b") % 4 == 1, "DigitalOcean LLC").otherwise("Home ISP").alias("asn_org"),
         )
     )
-    out = enrich.enrich_ip(ev, "source_ip", tor, ranges)
+    around = ev.select(
+        F.lit("203.0.113.0").alias("start_ip"), F.lit("203.0.113.59").alias("end_ip"),
+        F.lit("FR").alias("country"), F.lit("Home ISP").alias("asn_org"),
+    ).distinct()
+    out = enrich.enrich_ip(ev, "source_ip", tor, ranges.unionByName(around))
     return out.select("event_id", "is_known_proxy_or_tor", "geo_country")
 
 

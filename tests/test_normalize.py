@@ -175,3 +175,17 @@ def test_ranges_with_odd_borders_and_both_families(spark):
     frame = spark.createDataFrame([(i,) for i in ips], "ip string")
     got = {r["ip"]: r["country"] for r in enrich.join_ip_ranges(frame, "ip", ranges, ["country"]).collect()}
     assert [got[i] for i in ips] == [None, "A", "A", "B", "B", "C", None]
+
+
+def test_nested_ranges_keep_one_row_per_event(spark):
+    ranges = spark.createDataFrame(
+        [("8.8.0.0", "8.8.255.255", "A"), ("8.8.0.0", "8.8.200.255", "B"), ("8.8.4.0", "8.8.4.255", "C"),
+         ("8.8.4.0", "8.8.4.255", "D")],
+        "start_ip string, end_ip string, country string",
+    )
+    ips = ["8.8.250.1", "8.8.1.1", "8.8.4.4", "8.8.4.4", "9.9.9.9", None]
+    frame = spark.createDataFrame(list(enumerate(ips)), "event_id int, ip string")
+    for limit in (1_000_000, 0):
+        out = enrich.join_ip_ranges(frame, "ip", ranges, ["country"], max_broadcast=limit).collect()
+        assert sorted((r["event_id"], r["country"]) for r in out) == [
+            (0, "A"), (1, "B"), (2, "C"), (3, "C"), (4, None), (5, None)]
