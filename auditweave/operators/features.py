@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F
@@ -26,12 +28,11 @@ BASE_FEATURES = (
 LABELED_ONLY_FEATURES = (
     "device_compliant_status", "geo_country", "is_known_proxy_or_tor", "is_internal_ip",
 )
+# Text columns that are encoded where they are among the features.
 CATEGORICAL = (
-    "source_cloud", "action", "device_compliant_status", "os_type", "geo_country",
+    "source_cloud", "action", "user_id", "device_compliant_status", "browser_type", "os_type", "geo_country",
     "account_type", "principal_type", "is_known_proxy_or_tor", "ua_family", "ua_version",
 )
-# Encoded when a caller keeps them; the default column sets drop both.
-OPTIONAL_CATEGORICAL = ("user_id", "browser_type")
 
 
 def feature_columns(labeled: bool = False) -> list[str]:
@@ -177,10 +178,13 @@ def split_features(df: DataFrame, labeled: bool = False, keys: tuple[str, ...] =
     return df.select(*keys, *wanted), y
 
 
-def fit_encoder(df: DataFrame, labeled: bool = False) -> PipelineModel:
-    """Alphabetical codes per text column (unseen values get one code at the end) + vector."""
-    wanted = feature_columns(labeled)
-    texts = [c for c in (*CATEGORICAL, *OPTIONAL_CATEGORICAL) if c in wanted]
+def fit_encoder(df: DataFrame, labeled: bool = False, also: Sequence[str] = ()) -> PipelineModel:
+    """Alphabetical codes per text column (unseen values get one code at the end) + vector.
+
+    ``also`` keeps further columns, such as ``user_id`` and ``browser_type``.
+    """
+    wanted = [*feature_columns(labeled), *also]
+    texts = [c for c in CATEGORICAL if c in wanted]
     indexer = StringIndexer(
         inputCols=texts,
         outputCols=[f"{c}__code" for c in texts],

@@ -100,12 +100,14 @@ def feature_targets_isolated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return y
 
 
-_CODED = ("source_cloud", "action", "principal_type", "ua_family", "os_type")
+_CODED = ("source_cloud", "action", "user_id", "principal_type", "ua_family", "browser_type", "os_type")
 
 
 @query(
     "categorical_codes",
-    f"""WITH {EV}, f AS (SELECT event_id, source_cloud, action, principal_type, ua_family,
+    f"""WITH {EV}, f AS (SELECT event_id, source_cloud, action, CAST(user_id AS VARCHAR) AS user_id, principal_type, ua_family,
+      CASE WHEN user_agent LIKE '%Chrome%' THEN 'Chrome' WHEN user_agent LIKE '%Firefox%' THEN 'Firefox'
+        WHEN user_agent LIKE '%Safari%' THEN 'Safari' ELSE 'Unknown' END AS browser_type,
       CASE WHEN user_agent LIKE '%Windows%' THEN 'Windows' WHEN user_agent LIKE '%Mac%'
         THEN 'Mac' WHEN user_agent LIKE '%Linux%' THEN 'Linux' ELSE 'Unknown' END AS os_type FROM ev)
     SELECT event_id, """
@@ -116,7 +118,7 @@ _CODED = ("source_cloud", "action", "principal_type", "ua_family", "os_type")
 )
 def categorical_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     feats = features.features(audit_events(spark, sf_dir))
-    encoded = features.encode(features.fit_encoder(feats), feats)
+    encoded = features.encode(features.fit_encoder(feats, also=["user_id", "browser_type"]), feats)
     return encoded.select("event_id", *[F.col(f"{c}__code").alias(c) for c in _CODED])
 
 
