@@ -52,30 +52,32 @@ def fit(
     trees: int = 200,
     psi: int = 256,
     seed: int = 42,
-    pool_rows: int = 16_384,
 ) -> IsolationForest:
-    """Each tree sees ``psi`` rows drawn from a uniform pool chosen by hash.
+    """Each tree sees ``psi`` rows drawn by hash from the whole table.
 
-    The table is scanned twice (count, draw) and never shuffled; only the pool is.
+    The table is scanned twice (count, draw) and never shuffled; only drawn rows are. A tree
+    that got too few rows, which is unlikely, makes the draw start again with twice the chance.
     """
     n = df.count()
     if n == 0:
         raise ValueError("cannot fit on an empty table")
     psi = min(psi, n)
-    pool_rows = max(pool_rows, 4 * psi)
-    pool = df.select(
+    rows = df.select(
         F.col(row_id).alias("row_id"), F.array(*[F.col(c).cast("double") for c in columns]).alias("x")
     )
-    if n > pool_rows:
-        pool = pool.where(_draw(F.col("row_id"), F.lit(seed)) < pool_rows / n)
-    chance = min(1.0, 1.6 * psi / min(n, pool_rows) + 8.0 / min(n, pool_rows))
-    drawn = (
-        pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-        .withColumn("draw", _draw(F.col("row_id"), F.col("tree"), F.lit(seed + 1)))
-        .where(F.col("draw") < chance)
+    draws = F.transform(
+        F.sequence(F.lit(0), F.lit(trees - 1)),
+        lambda tree: F.struct(tree.alias("tree"), _draw(F.col("row_id"), tree, F.lit(seed + 1)).alias("draw")),
     )
     ranked = Window.partitionBy("tree").orderBy("draw", "row_id")
-    samples = drawn.withColumn("__r", F.row_number().over(ranked)).where(F.col("__r") <= psi)
+    chance = 1.6 * psi / n + 30.0 / n
+    while True:
+        taken = F.inline(F.filter(draws, lambda d: d["draw"] < chance))  # noqa: B023 (used at once)
+        drawn = rows.select("row_id", "x", taken)
+        samples = cut_lineage(drawn.withColumn("__r", F.row_number().over(ranked)).where(F.col("__r") <= psi))
+        if chance >= 1.0 or samples.count() == psi * trees:
+            break
+        chance *= 2
     nodes = samples.select("tree", "row_id", "draw", "x").groupBy("tree").applyInPandas(
         forest_kernel.tree_builder(psi, seed), forest_kernel.NODE_SCHEMA
     )

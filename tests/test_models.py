@@ -52,9 +52,9 @@ def test_forest_ranks_outliers_and_is_reproducible(spark, tmp_path):
             i: r["if_anomaly_score"] for i, r in got.items()}
 
 
-def test_pool_sampling_of_a_larger_table(spark):
+def test_every_tree_draws_from_the_whole_table(spark):
     frame = spark.range(30_000).select(F.col("id").alias("event_id"), (F.col("id") % 97).alias("a"), (F.col("id") % 13).alias("b"))
-    fit = iforest.fit(frame, ["a", "b"], trees=10, psi=64, pool_rows=1_000)
+    fit = iforest.fit(frame, ["a", "b"], trees=10, psi=64)
     assert fit.psi == 64 and fit.nodes.select("tree").distinct().count() == 10
 
 
