@@ -62,15 +62,15 @@ def write_normalized(stream: DataFrame, good_path: str, dead_path: str, checkpoi
 
 # ------------------------------------------------------------------- features
 
-def stream_features(stream: DataFrame, ttl_hours: float | None = None, cap: int = 500) -> DataFrame:
+def stream_features(stream: DataFrame, ttl_hours: float | None = None) -> DataFrame:
     """Trailing features per user, updated event by event.
 
-    State per user: at most ``cap`` events of the last 24 h and the addresses and devices
-    seen so far. ``ttl_hours`` also drops the events of users idle that long; it needs a
+    State per user: the events of the last 24 h and the addresses and devices seen so far.
+    An event that comes late sees the kept events up to its own time. ``ttl_hours`` also drops the events of users idle that long; it needs a
     continuous trigger, as state expiry keeps an ``availableNow`` query running.
     """
-    if cap < 1 or (ttl_hours is not None and ttl_hours <= 0):
-        raise ValueError("cap and ttl_hours must be positive")
+    if ttl_hours is not None and ttl_hours <= 0:
+        raise ValueError("ttl_hours must be positive")
     prepared = features.action_features(features.identity_and_network(stream))
     narrow = prepared.select(
         F.col("user_id").cast("string").alias("user_id"),
@@ -83,7 +83,7 @@ def stream_features(stream: DataFrame, ttl_hours: float | None = None, cap: int
         F.concat_ws("/", "browser_type", "os_type").alias("device"),
     )
     ttl_ms = int(ttl_hours * 3_600_000) if ttl_hours else None
-    processor = user_state.UserFeatures(ttl_ms, cap)
+    processor = user_state.UserFeatures(ttl_ms)
     return narrow.groupBy("user_id").transformWithStateInPandas(
         statefulProcessor=processor,
         outputStructType=user_state.OUTPUT,

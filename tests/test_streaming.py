@@ -65,13 +65,14 @@ def test_feature_stream_equals_batch_on_the_events(spark, sf_dir, tmp_path):
     feature_parity(spark, ev, tmp_path, "events_features", 3)
 
 
-def test_history_cap(spark, tmp_path):
-    data = [(i, at(i), "u", "GetX", "SUCCESS", "1.1.1.1", "r", "AWS") for i in range(10)]
+def test_busy_user_keeps_a_whole_day(spark, tmp_path):
+    data = [(i, at(2 * i), "u", "GetX", "SUCCESS", f"1.1.{i // 200}.{i % 200}", f"r{i}", "AWS") for i in range(5_000)]
     frame = spark.createDataFrame(data, SCHEMA)
     path = parts(frame, str(tmp_path / "src"), 2)
     stream = spark.readStream.schema(frame.schema).parquet(path)
-    got = by(run_to_table(flows.stream_features(stream, cap=4), "capped", tmp_path))
-    assert [got[str(i)]["api_call_count_1m"] for i in range(10)] == [1, 2, 3, 4, 4, 4, 4, 4, 4, 4]
+    got = by(run_to_table(flows.stream_features(stream), "busy", tmp_path))
+    assert [got[str(i)]["api_call_count_1m"] for i in range(5_000)] == [min(i + 1, 30) for i in range(5_000)]
+    assert [got[str(i)]["unique_ips_last_24h"] for i in range(5_000)] == list(range(1, 5_001))
 
 
 def test_idle_users_expire(spark, tmp_path):
