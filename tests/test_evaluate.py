@@ -129,3 +129,15 @@ def test_alert_line_round_trip(spark):
     assert (got["entity"], got["action"], got["risk"], got["phase_line"], got["narrative"], got["cloud"]) == (
         "ent", "Put It", 0.8907, "Impact", "says 'hi' there", "AZURE")
     assert monitor.parse_alert_lines(lines, clouds=["AWS"]).isEmpty()
+
+
+def test_alert_lines_survive_missing_fields(spark):
+    alert = spark.createDataFrame(
+        [(1, at(0), "e", None, None, None, None, None, None, "AWS")],
+        "event_id int, timestamp timestamp, entity_id string, principal string, action string, "
+        "predicted_phase string, dominant_signal string, active_clouds array<string>, scaled_score double, "
+        "source_cloud string",
+    )
+    for text in (None, F.lit(None).cast("string")):
+        got = rows(monitor.parse_alert_lines(monitor.alert_lines(alert, text)))[0]
+        assert (got["phase"], got["action"], got["risk"], got["principal"]) == ("Normal", "None", None, "e")

@@ -114,3 +114,14 @@ def test_recalibration(spark):
 def test_parameter_checks(bad):
     with pytest.raises(ValueError):
         risk.RiskParams(**bad)
+
+
+def test_window_class_counts_unlisted_types(spark):
+    kinds = ["Role", "Foo", "Bar", "Foo", "Role", "Bar", "Role"]
+    got = run(spark, [event(i, i, kind=k) for i, k in enumerate(kinds)], class_from="window")
+    assert got[6]["principal_class"] == "automation"
+    # ties at equal times go by the order of events: Zed came first, so it decides
+    got = run(spark, [event(0, 0, kind="Zed"), event(1, 0, kind="Role")], class_from="window")
+    assert got[1]["principal_class"] == "human"
+    got = run(spark, [event(0, 0, kind=None), event(1, 100, kind="")], class_from="window")
+    assert [got[i]["principal_class"] for i in (0, 1)] == ["human", "human"]
