@@ -129,9 +129,11 @@ def build(vectors: DataFrame, sample: int = SAMPLE, max_cells: int = MAX_CELLS,
     rank = F.row_number().over(Window.partitionBy("vector").orderBy("id"))
     entries = stored(vectors.dropDuplicates(["id", "vector"]).withColumn("rank", rank).where(F.col("rank") <= top + 1).drop("rank"), "entries")
     drawn = entries.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(sample).select("vector").collect()
-    points = np.array([r["vector"] for r in drawn], dtype=np.float64).reshape(len(drawn), -1)
-    if not len(points):
-        return MultiIndex(np.zeros((1, 1)), np.zeros((1, 1))), entries.select(F.lit(0).alias("cell"), "id", "vector")
+    if not drawn:
+        index = MultiIndex(np.zeros((1, 1)), np.zeros((1, 1)))
+        index.place({})
+        return index, entries.select(F.lit(0).cast("long").alias("cell"), "id", "vector")
+    points = np.array([r["vector"] for r in drawn], dtype=np.float64)
     points /= np.linalg.norm(points, axis=1)[:, None]
     cut = (points.shape[1] + 1) // 2
     k = max(1, min(max_cells, math.isqrt(entries.count())))
