@@ -30,9 +30,9 @@ def pr_curve(df: DataFrame, score: str, y: str) -> DataFrame:
 
     Columns: threshold, n, n_pos, flagged, tp, fp, precision, recall, f1, positives, total.
     """
-    counts = _counts(df, score, y)
+    counts = cut_lineage(_counts(df, score, y))
     both = ordered.global_prefix(
-        counts, "threshold", {"flagged": "n", "tp": "n_pos"}, descending=True
+        counts, "threshold", {"flagged": "n", "tp": "n_pos"}, descending=True, stored=True
     )
     totals = counts.agg(F.struct(F.sum("n").alias("total"), F.sum("n_pos").alias("positives")))
     out = both.withColumn("__t", totals.scalar()).select(

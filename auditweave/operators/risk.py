@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from auditweave.functions import agents, events
 from auditweave.operators import ordered
 from auditweave.operators.ordered import Recent, recent_max, recent_min, recent_set, recent_sum
+from auditweave.session import cut_lineage
 
 LN2 = 0.6931471805599453
 # Principal types are a vocabulary of the clouds; more than this many are an error in the column.
@@ -362,12 +363,12 @@ def nearest_rank_threshold(
     if not 0 < percentile <= 100:
         raise ValueError("percentile must lie in (0, 100]")
     value = events.finite(F.col(column), 0.0)
-    counted = (
+    counted = cut_lineage(
         df.select((value / (value + 1.0)).alias("scaled"))
         .groupBy("scaled")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    ranked = ordered.global_prefix(counted, "scaled", {"upto": "n"})
+    ranked = ordered.global_prefix(counted, "scaled", {"upto": "n"}, stored=True)
     size = counted.agg(F.sum("n")).scalar()
     wanted = F.least(F.floor(size * percentile / 100.0), size - 1)
     return ranked.where(F.col("upto") > wanted).agg(
