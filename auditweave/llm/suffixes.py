@@ -5,8 +5,9 @@
 2. Kept suffixes are sorted by their first 26 words, then their first 50, then by document
    and position (a range sort, so a passage in a third of all documents spreads over many
    tasks). Neighbours with equal beginnings are compared: each links to the first of its
-   run, the first of each run to the first suffix that begins with the same 26 words, and
-   where three or more runs begin alike, to the first document with the same 50 words.
+   run, the first of each run to the first suffix that begins with the same 26 words. Where
+   three or more suffixes begin alike, every stretch of 50 words around each of them links
+   to the first document that has it.
 3. Links on one diagonal merge to stretches; both texts are read again around a stretch,
    it is checked and extended word by word to the left and to the right.
 
@@ -33,7 +34,7 @@ from auditweave.llm.words import Reader
 
 MIN_WORDS = 50
 _WORD = r"[^\x20\x09-\x0D]+"
-_LINK, _HEAD, _EDGE = 0, 1, 2
+_LINK, _HEAD, _EDGE, _CROWD = 0, 1, 2, 3
 
 
 def _widths(min_words: int) -> tuple[int, int]:
@@ -98,11 +99,35 @@ def _suffixes(docs: DataFrame, min_words: int) -> DataFrame:
     return docs.mapInArrow(run, "beginning long, more int, doc long, pos int")
 
 
+class _Crowds:
+    """Rows of one partition, sorted by beginning, that are in a crowd; ``held`` are undecided."""
+
+    def __init__(self) -> None:
+        self.held: list[np.ndarray] = []
+        self.last: int | None = None  # the last beginning, if its rows are given out at once
+        self.begun = False
+
+    def of(self, *columns: np.ndarray) -> list[np.ndarray]:
+        if self.held:
+            columns = tuple(np.concatenate(c) for c in zip(self.held, columns))
+        begin = columns[0]
+        starts = np.flatnonzero(np.append(True, begin[1:] != begin[:-1]))
+        sizes = np.diff(np.append(starts, len(begin)))
+        crowd = sizes >= 3
+        crowd[0] |= not self.begun or (self.last is not None and begin[0] == self.last)
+        self.begun = True
+        self.last = int(begin[-1]) if crowd[-1] else None
+        self.held = [] if crowd[-1] else [c[starts[-1] :] for c in columns]
+        rows = np.repeat(crowd, sizes)
+        return [c[rows] for c in columns]
+
+
 def _neighbours(suffixes: DataFrame) -> DataFrame:
-    """Compare sorted suffixes: links to the first of a run, and the runs' first rows.
+    """Compare sorted suffixes: links to the first of a run, the runs' first rows, and crowds.
 
     The first run of a partition may have begun in the one before and its last may go on,
-    so their first rows are marked as edges.
+    so their first rows are marked as edges. A crowd is three or more suffixes that begin
+    alike; for the same reason the first and the last beginning of a partition count as one.
     """
     names = ["kind", "beginning", "more", "doc", "pos", "to_doc", "to_pos"]
     order = ["beginning", "more", "doc", "pos"]
@@ -111,16 +136,25 @@ def _neighbours(suffixes: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting = None  # the first row of the last run and whether it is wanted already
         opened = False
+        crowd = _Crowds()
+
+        kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32()]
 
         def batch(rows):
             columns = list(zip(*rows)) if rows else [[] for _ in names]
-            kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32()]
             return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, kinds)], names=names)
 
+        def crowded(rows):
+            n = len(rows[0]) if rows else 0
+            if n:
+                own = [pa.array(c, type=t) for c, t in zip((np.full(n, _CROWD), *rows), kinds)]
+                yield pa.RecordBatch.from_arrays([*own, *[pa.nulls(n, t) for t in kinds[5:]]], names=names)
+
         for part in batches:
             if not part.num_rows:
                 continue
             begin, more, doc, pos = (c.to_numpy(zero_copy_only=False) for c in part.columns)
+            yield from crowded(crowd.of(begin, more, doc, pos))
             n = len(begin)
             starts = np.ones(n, dtype=bool)
             starts[1:] = (begin[1:] != begin[:-1]) | (more[1:] != more[:-1])
@@ -165,6 +199,7 @@ def _neighbours(suffixes: DataFrame) -> DataFrame:
                 yield batch(heads)
         if waiting:
             yield batch([(_EDGE, *waiting[:4], None, None)])
+        yield from crowded(crowd.held)
 
     return ranged.mapInArrow(run, "kind int, beginning long, more int, doc long, pos int, to_doc long, to_pos int")
 
@@ -178,19 +213,14 @@ def _to_first(heads: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def _by_window(docs: DataFrame, heads: DataFrame, min_words: int) -> DataFrame:
-    """Links for beginnings with three heads or more, where the earliest may not share most.
+def _by_window(docs: DataFrame, crowd: DataFrame, min_words: int) -> DataFrame:
+    """Links for suffixes of which three or more begin alike; the earliest may not share most.
 
-    Every stretch of ``min_words`` words around such a head is hashed and linked to the
-    earliest document that has it.
+    Every stretch of ``min_words`` words around each of them is hashed and linked to the
+    earliest document that has it. Of two suffixes alike one links to the other already.
     """
     gram, _ = _widths(min_words)
-    crowded = heads.groupBy("beginning").agg(F.count(F.lit(1)).alias("n")).where("n > 2").select("beginning")
-    asked = (
-        heads.join(crowded, "beginning", "left_semi").select("doc", "pos").distinct()
-        .groupBy("doc").agg(F.collect_list("pos").alias("asked"))
-    )
-    asked = stored(asked, "crowded")
+    asked = stored(crowd.groupBy("doc").agg(F.collect_list("pos").alias("asked")), "crowded")
     texts = probably_listed(docs, F.col("doc_id"), asked, "doc").dropDuplicates(["doc_id"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,11 +327,11 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     others = source.select("doc_id").where(F.col("doc_id").isNotNull()).join(leading, "doc_id", "left_anti").distinct()
     unique = without(source.where(F.col("doc_id").isNotNull()), F.col("doc_id"), stored(others, "others"), "doc_id")
     seen = stored(_neighbours(stored(_suffixes(unique, min_words), "suffixes")), "neighbours")
-    heads, edges = seen.where(F.col("kind") != _LINK), seen.where(F.col("kind") == _EDGE)
+    heads, edges = seen.where(F.col("kind").isin(_HEAD, _EDGE)), seen.where(F.col("kind") == _EDGE)
     links = (
         seen.where(F.col("kind") == _LINK).select("doc", "pos", "to_doc", "to_pos")
         .union(_to_first(heads, ["beginning"])).union(_to_first(edges, ["beginning", "more"]))
-        .union(_by_window(unique, heads, min_words))
+        .union(_by_window(unique, seen.where(F.col("kind") == _CROWD), min_words))
         .distinct()
     )
     stretches = stored(_stretches(links, gram), "stretches")

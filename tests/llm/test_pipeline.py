@@ -92,6 +92,37 @@ def test_passages_are_cut_once(stages):
         assert r.n_chars == len(r.text or "")
 
 
+def test_passages_of_edited_copies(spark):
+    draw, rows = np.random.default_rng(11), []
+    for group in range(60):
+        base = [f"g{group}w{i}" for i in range(80)]
+        for copy in range(int(draw.integers(3, 7))):
+            words = list(base)
+            words[int(draw.integers(80))] = f"new{group}x{copy}"
+            rows.append((len(rows), " ".join(words)))
+    # the earliest shares 39 words with each of the others, these share 56
+    base = [f"b{i}" for i in range(60)]
+    rows += [(1000 + at, " ".join("changed" if i == at else w for i, w in enumerate(base))) for at in (1, 3)]
+    rows.append((999, " ".join("changed" if i == 20 else w for i, w in enumerate(base))))
+    # a document that has the beginning of a passage twice, the whole of it at the second place
+    line = [f"c{i}" for i in range(60)]
+    rows.append((2000, " ".join([*line[10:40], "x", "y", *line])))
+    rows.append((2001, " ".join(["z", *line, "q"])))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got, wanted, held = defaultdict(set), defaultdict(set), set()
+    for r in suffixes.repeated_passages(frame).collect():
+        got[r.doc_id].update(range(r.start_word, r.end_word))
+    for i, text in sorted(rows):
+        words = text.split()
+        windows = [tuple(words[at : at + 50]) for at in range(len(words) - 49)]
+        for at, window in enumerate(windows):
+            if window in held:
+                wanted[i].update(range(at, at + 50))
+        held.update(windows)
+    assert len(wanted) > 50
+    assert got == wanted
+
+
 def test_encoding_equals_the_library(stages):
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     library.no_truncation()
