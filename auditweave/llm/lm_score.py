@@ -4,9 +4,11 @@ Every word is predicted from the two words before and the two after it; a docume
 is the sum of the logarithms of these conditional probabilities.
 
 Word counts cover all documents: they are summed in Spark, the ``vocabulary`` most frequent
-words are known by themselves and all others by one of 256 hash groups. The network
-predicts one of 128 classes (frequent words alone, others by hash); a word's share in its
-class comes from the counts, so probabilities of all words are proper. It is trained in
+words are known to the network by themselves and all others by one of 256 hash groups. The
+network predicts one of 128 classes (frequent words alone, others by hash); a word's share
+in its class is its own count over the class's, for rare words by a join with the counts,
+so probabilities of all words are proper. Words that were not counted share the one
+occurrence that every group has more. The network is trained in
 numpy on masked words of every document: in each round every task runs gradient steps over
 its documents from the common weights, and the weights are averaged by the number of masked
 words. Weights are cut into pieces that Spark deals out, so no task sees all of them.
@@ -58,9 +60,13 @@ def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[list[byte
 
 
 class Vocabulary:
-    """Ids, classes and within-class probabilities of words."""
+    """Ids, classes and within-class probabilities of words.
 
-    def __init__(self, words: np.ndarray, counts: np.ndarray, group_words: np.ndarray, group_counts: np.ndarray) -> None:
+    ``share`` of a group is that of one occurrence; ``table`` has the counts of its words.
+    """
+
+    def __init__(self, words: np.ndarray, counts: np.ndarray, group_counts: np.ndarray, table: DataFrame | None = None) -> None:
+        self.table = table
         order = np.lexsort((words, -counts))
         rank = np.empty(len(words), dtype=np.int64)
         rank[order] = np.arange(len(words))
@@ -76,9 +82,12 @@ class Vocabulary:
         # one more occurrence for every group, so that words of later texts have a probability
         mass = np.concatenate([counts[order], group_counts + 1, [0]]).astype(np.float64)
         total = np.bincount(self.classes, weights=mass, minlength=CLASSES)
-        spread = np.concatenate([np.ones(n), group_words + 1, [1]])
+        single = np.concatenate([counts[order], np.ones(GROUPS), [0]])
         with np.errstate(divide="ignore", invalid="ignore"):
-            self.share = np.log(mass / total[self.classes] / spread)
+            self.share = np.log(single / total[self.classes])
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"table": None}  # tasks have no tables
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         group = (len(self.words) + (mix(hashes) % np.uint64(GROUPS)).astype(np.int64))
@@ -97,20 +106,19 @@ def vocabulary(counts: DataFrame, size: int = VOCABULARY) -> Vocabulary:
     known = np.sort(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, mass = np.zeros(GROUPS, dtype=np.int64), np.zeros(GROUPS, dtype=np.int64)
+        mass = np.zeros(GROUPS, dtype=np.int64)
         for batch in batches:
             hashes, count = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
             rare = ~np.isin(hashes, known)
             group = (mix(hashes[rare]) % np.uint64(GROUPS)).astype(np.int64)
-            n += np.bincount(group, minlength=GROUPS)
             mass += np.bincount(group, weights=count[rare], minlength=GROUPS).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(GROUPS)), pa.array(n), pa.array(mass)], names=["g", "n", "mass"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(GROUPS)), pa.array(mass)], names=["g", "mass"])
 
-    groups = counts.mapInArrow(run, "g long, n long, mass long").groupBy("g").agg(F.sum("n").alias("n"), F.sum("mass").alias("mass")).collect()
-    group_words, group_counts = np.zeros(GROUPS), np.zeros(GROUPS)
+    groups = counts.mapInArrow(run, "g long, mass long").groupBy("g").agg(F.sum("mass").alias("mass")).collect()
+    group_counts = np.zeros(GROUPS)
     for r in groups:
-        group_words[r["g"]], group_counts[r["g"]] = r["n"], r["mass"]
-    return Vocabulary(words, found, group_words, group_counts)
+        group_counts[r["g"]] = r["mass"]
+    return Vocabulary(words, found, group_counts, counts)
 
 
 class WindowNet:
@@ -245,16 +253,18 @@ def _steps(net: WindowNet, held: list[np.ndarray], targets: list[np.ndarray], tu
 
 def score(docs: DataFrame, vocab: Vocabulary, net: WindowNet) -> DataFrame:
     """``doc_id``, ``n_words``, ``log_likelihood`` (natural logarithm) and its mean per word."""
-    names = ["doc_id", "n_words", "log_likelihood", "mean_log_likelihood"]
+    names = ["doc_id", "n_words", "total", "rare", "times"]
 
-    def of(reader: Reader, text: bytes) -> tuple[int, float]:
-        ids, total = vocab.ids(reader.words(text)[2]), 0.0
+    def of(reader: Reader, text: bytes) -> tuple[int, float, np.ndarray, np.ndarray]:
+        hashes = reader.words(text)[2]
+        ids, total = vocab.ids(hashes), 0.0
         for begin in range(0, len(ids), 4_096):
             at = np.arange(begin, min(begin + 4_096, len(ids)))
             scores = net.forward(contexts(ids, vocab.pad, at))[3]
             own = ids[at]
             total += float(scores[np.arange(len(at)), vocab.classes[own]].sum(dtype=np.float64) + vocab.share[own].sum())
-        return len(ids), total
+        rare, times = np.unique(hashes[ids >= len(vocab.words)], return_counts=True)
+        return len(ids), total, rare.view(np.int64), times
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader()
@@ -263,13 +273,22 @@ def score(docs: DataFrame, vocab: Vocabulary, net: WindowNet) -> DataFrame:
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
                 found = [of(reader, (t or "").encode("utf-8", "surrogatepass")) for t in part.column(1).to_pylist()]
+                sizes, totals, rare, times = zip(*found)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([n for n, _ in found], type=pa.int64()), pa.array([x for _, x in found], type=pa.float64()),
-                     pa.array([x / n if n else None for n, x in found], type=pa.float64())],
+                    [part.column(0), pa.array(sizes, type=pa.int64()), pa.array(totals, type=pa.float64()),
+                     pa.array(rare, type=pa.list_(pa.int64())), pa.array(times, type=pa.list_(pa.int64()))],
                     names=names,
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_words long, log_likelihood double, mean_log_likelihood double")
+    scored = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_words long, total double, rare array<long>, times array<long>")
+    scored = stored(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
+    # a rare word counted n times has n times the share of one occurrence
+    rare = scored.select("row", F.inline(F.arrays_zip("rare", "times")).alias("word", "times"))
+    own = rare.join(vocab.table.where("n > 1"), "word").groupBy("row").agg(F.sum(F.col("times") * F.log("n")).alias("own"))
+    total = F.col("total") + F.coalesce("own", F.lit(0.0))
+    return scored.join(own, "row", "left").select(
+        "doc_id", "n_words", total.alias("log_likelihood"), F.when(F.col("n_words") > 0, total / F.col("n_words")).alias("mean_log_likelihood")
+    )
 
 
 def pseudo_likelihood(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = VOCABULARY, rounds: int = ROUNDS, seed: int = 1) -> DataFrame:

@@ -198,6 +198,23 @@ def test_lm_scores(spark, sf_dir):
     assert lm_score.pseudo_likelihood(empty).count() == 0
 
 
+def test_lm_scores_use_the_count_of_each_rare_word(spark):
+    times = {f"w{i}": i + 1 for i in range(300)}
+    docs = spark.createDataFrame([(i, " ".join([w] * n)) for i, (w, n) in enumerate(times.items())], "doc_id long, text string")
+    vocab = lm_score.vocabulary(lm_score.word_counts(docs), 10)
+    net = lm_score.train(docs, vocab)
+    alone = [*times, "never"]
+    frame = spark.createDataFrame([*enumerate(alone), (500, "w7"), (None, "w7 w7")], "doc_id long, text string")
+    got = {r.doc_id: r.log_likelihood for r in lm_score.score(frame, vocab, net).collect()}
+    by_class = defaultdict(list)
+    for i, word in enumerate(alone):
+        own = vocab.classes[vocab.ids(lm_score.Reader().words(word.encode())[2])[0]]
+        by_class[own].append(got[i] - np.log(times.get(word, 1)))
+    assert max(map(len, by_class.values())) > 5 and len(got) == len(alone) + 2 and got[500] == pytest.approx(got[7])
+    for values in by_class.values():
+        assert values == pytest.approx([values[0]] * len(values), abs=1e-4)
+
+
 def test_operators_take_empty_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     assert near_dedup.drop_near_duplicates(empty).count() == 0
