@@ -7,7 +7,7 @@ needed. Scores depend on the text alone.
 
 The network is fitted in numpy on at most ``sample`` labelled documents (those with the
 smallest hashes of their ids, half of them of each label if there are enough), of each at
-most ``SAMPLE_PASSAGES`` passages evenly spread. Scoring uses all passages of all texts.
+most ``passages`` passages evenly spread (``None``: all). Scoring uses all passages of all texts.
 
 Defined cases: null and empty texts are one passage without words and get a score as any
 other; labels other than 0 and 1 and labels without a document are ignored; a document
@@ -163,24 +163,33 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE, seed: int = 1) -> AttentionNet:
+def drawn(known: DataFrame, sample: int = SAMPLE, seed: int = 1) -> DataFrame:
+    """(doc_id, label) of at most ``sample`` rows, of each label in turn the smallest hashes.
+
+    Each task keeps ``sample`` rows of a label at most, so the ranked rows are twice that.
+    """
+    place = F.xxhash64(F.lit(seed), F.col("doc_id"))
+    least = [known.where(F.col("label") == x).orderBy(place, "doc_id").limit(sample) for x in (0, 1)]
+    rank = F.row_number().over(Window.partitionBy("label").orderBy(place, "doc_id"))
+    return least[0].union(least[1]).withColumn("rank", rank).orderBy("rank", "label").limit(sample).select("doc_id", "label")
+
+
+def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE, seed: int = 1, passages: int | None = SAMPLE_PASSAGES) -> AttentionNet:
     """Fit on at most ``sample`` labelled documents that are not held out."""
     known = (
         slim(labels, doc_id="doc_id", label=label)
         .where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~held_out(F.col("doc_id")))
         .groupBy("doc_id").agg(F.min("label").alias("label"))
     )
-    place = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    rank = F.row_number().over(Window.partitionBy("label").orderBy(place, "doc_id"))
-    drawn = known.withColumn("rank", rank).where(F.col("rank") <= sample).orderBy("rank", "label").limit(sample)
-    chosen = drawn.select("doc_id", "label")
+    chosen = drawn(known, sample, seed)
     texts = slim(docs, doc_id=doc_id, text=text).join(F.broadcast(chosen), "doc_id")  # at most `sample` rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maker = Passages()
         for batch in batches:
             bags = [maker.of(t) for t in batch.column(1).to_pylist()]
-            bags = [b if len(b) <= SAMPLE_PASSAGES else b[np.linspace(0, len(b) - 1, SAMPLE_PASSAGES).astype(int)] for b in bags]
+            if passages is not None:
+                bags = [b if len(b) <= passages else b[np.linspace(0, len(b) - 1, passages).astype(int)] for b in bags]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array([b.tobytes() for b in bags], type=pa.binary())],
                 names=["doc_id", "label", "bag"],

@@ -3,6 +3,7 @@
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from auditweave.llm import bpe, fingerprint, mixing, near_dedup, quality, suffixes, token_files, url_filter
@@ -102,3 +103,25 @@ def test_quality_without_labels(spark, docs):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     scores = quality.score(docs, quality.fit(docs, labels), keep=["doc_id"]).collect()
     assert len(scores) == 10 and np.allclose([r.score for r in scores], 0.5)
+
+
+def test_quality_draws_the_smallest_hashes_of_each_label(spark):
+    rows = [(i, int(i % 7 == 0)) for i in range(500)]
+    known = spark.createDataFrame(rows, "doc_id long, label int")
+    found = quality.drawn(known, 40)
+    assert "TakeOrderedAndProject" in (plan := found._jdf.queryExecution().executedPlan().toString())
+    assert plan.rindex("TakeOrderedAndProject(limit=40") > plan.index("Window")  # cut before the rows are ranked
+    places = {r.doc_id: r.place for r in known.select("doc_id", F.xxhash64(F.lit(1), "doc_id").alias("place")).collect()}
+    wanted = {(i, x) for x in (0, 1) for i in sorted((i for i, y in rows if y == x), key=lambda i: (places[i], i))[:20]}
+    assert {tuple(r) for r in found.collect()} == wanted
+
+
+def test_quality_takes_all_passages_if_asked(spark, monkeypatch):
+    sizes = []
+    monkeypatch.setattr(quality.AttentionNet, "fit", lambda self, bags, labels, **_: sizes.append(sorted(map(len, bags))) or self)
+    frame = spark.createDataFrame([(1, "word " * 128 * 100), (2, "other " * 128 * 3)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    assert not any(r.held for r in frame.select(quality.held_out(F.col("doc_id")).alias("held")).collect())
+    quality.fit(frame, labels)
+    quality.fit(frame, labels, passages=None)
+    assert sizes == [[3, 64], [3, 100]]
