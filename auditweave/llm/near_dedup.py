@@ -8,7 +8,10 @@
    bounded text size, one block pair per group, only links between components are emitted.
 
 So every pair of texts that shares a bucket and is not already connected is verified; a
-pair at the threshold shares no bucket with probability below 1e-8. Nothing is capped: a
+pair at the threshold shares no bucket with probability below 1e-8 if its registers are
+independent. Those of a few shingles are not, so sets of up to ``FEW`` shingles also have
+exact buckets: of n shingles that can differ in d, any d + 1 hold a common one, and the
+d + 1 with the smallest hashes are the set's buckets. Such pairs are never missed. Nothing is capped: a
 bucket of any size is cut into more blocks. Per bucket one row per member is shuffled,
 never a row per pair.
 
@@ -34,6 +37,7 @@ from auditweave.llm.words import Reader
 WORDS, NUMERATOR, DENOMINATOR = 5, 80, 100
 BLOCK_CHARS = 1 << 20
 MISSED = 1e-8
+FEW = 20
 _SIGMAS = 6.5
 _EDGES = "a long, b long"
 _EDGE_SCHEMA = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -49,14 +53,21 @@ def band_rows(similarity: float, registers: int = REGISTERS) -> int:
     return max(fits, default=1)
 
 
-def sketches(docs: DataFrame, words: int, seed: int) -> DataFrame:
-    """``doc_id``, ``key`` and ``check`` of the text, ``n_shingles``, ``registers`` (null if empty)."""
+def exact_keys(shingles: np.ndarray, numerator: int, denominator: int) -> np.ndarray:
+    """Smallest hashes of a sorted set; two sets at the threshold have one of them in common."""
+    n = len(shingles)
+    return shingles[: n - -(-numerator * n // denominator) + 1]
+
+
+def sketches(docs: DataFrame, words: int, seed: int, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
+    """``doc_id``, ``key`` and ``check`` of the text, ``n_shingles``, ``registers`` (null if empty), ``exact`` (if few)."""
     rows = slim(docs, doc_id="doc_id", text="text").select(
         "doc_id", text_key(F.col("text"), seed).alias("key"), text_key(F.col("text"), seed + 1).alias("check"), "text"
     )
     schema = pa.schema([
         ("doc_id", pa.int64()), ("key", pa.int64()), ("check", pa.int64()),
         ("n_shingles", pa.int64()), ("registers", pa.binary()),
+        ("exact", pa.list_(pa.int64())),
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,24 +83,29 @@ def sketches(docs: DataFrame, words: int, seed: int) -> DataFrame:
                         *part.columns[:3],
                         pa.array([len(s) for s in sets], type=pa.int64()),
                         pa.array([r.tobytes() if len(s) else None for s, r in zip(sets, found)], type=pa.binary()),
+                        pa.array(
+                            [exact_keys(s, numerator, denominator).view(np.int64) if 0 < len(s) <= FEW else None for s in sets],
+                            type=pa.list_(pa.int64()),
+                        ),
                     ],
                     schema=schema,
                 )
 
-    return rows.mapInArrow(run, "doc_id long, key long, check long, n_shingles long, registers binary")
+    return rows.mapInArrow(run, "doc_id long, key long, check long, n_shingles long, registers binary, exact array<long>")
 
 
 def buckets(signed: DataFrame, rows: int) -> DataFrame:
-    """(bucket, key): one row for each band of each sketch."""
+    """(bucket, key): one row for each band of each sketch and for each exact key."""
     bands = REGISTERS // rows
     piece = lambda i: F.xxhash64(i, F.substring(F.col("registers"), i * (2 * rows) + 1, F.lit(2 * rows)))
+    exact = F.transform(F.coalesce("exact", F.array().cast("array<long>")), lambda h: F.xxhash64(F.lit(-1), h))
     return signed.where(F.col("n_shingles") > 0).select(
-        "key", F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), piece)).alias("bucket")
+        "key", F.explode(F.concat(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), piece), exact)).alias("bucket")
     )
 
 
 def _likely(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """Pairs whose joint likelihood estimate is not clearly below the threshold."""
+    """Pairs whose joint likelihood estimate is not clearly below the threshold, or of few shingles."""
     margin = _SIGMAS * (similarity * (1.0 - similarity) / REGISTERS) ** 0.5
     a = nodes.select(F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("registers").alias("r_a"))
     b = nodes.select(F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("registers").alias("r_b"))
@@ -102,7 +118,7 @@ def _likely(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
                 left = np.frombuffer(b"".join(rows["r_a"]), dtype=np.uint16).reshape(-1, sketch.m)
                 right = np.frombuffer(b"".join(rows["r_b"]), dtype=np.uint16).reshape(-1, sketch.m)
                 n_a, n_b = np.array(rows["n_a"], dtype=float), np.array(rows["n_b"], dtype=float)
-                fits = sketch.similarity(left, right, n_a, n_b) >= similarity - margin
+                fits = (sketch.similarity(left, right, n_a, n_b) >= similarity - margin) | (np.maximum(n_a, n_b) <= FEW)
                 yield batch.filter(pa.array(fits)).select(["a", "b"])
 
     return pairs.join(a, "a").join(b, "b").mapInArrow(run, _EDGES)
@@ -210,7 +226,7 @@ def near_duplicates(
     """
     similarity = numerator / denominator
     source = slim(docs, doc_id=doc_id, text=text)
-    signed = stored(sketches(source, words, seed), "sketches")
+    signed = stored(sketches(source, words, seed, numerator, denominator), "sketches")
     clash = signed.groupBy("key").agg(F.min("check").alias("lo"), F.max("check").alias("hi")).where("lo != hi")
     if not clash.isEmpty():
         raise ValueError("two texts share a 64-bit hash; call again with another seed")

@@ -125,3 +125,22 @@ def test_quality_takes_all_passages_if_asked(spark, monkeypatch):
     quality.fit(frame, labels)
     quality.fit(frame, labels, passages=None)
     assert sizes == [[3, 64], [3, 100]]
+
+
+def test_near_duplicates_of_few_shingles(spark):
+    # 4 and 5 shingles, 4 in common; their sketches have no band in common
+    words = [f"s166840t{j}" for j in range(9)]
+    frame = spark.createDataFrame([(1, " ".join(words[:8])), (2, " ".join(words)), (3, "x y z")], "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(frame).collect()}
+    assert found == {1: 1, 2: 1, 3: 3}
+    draw = np.random.default_rng(2)
+    for n in range(1, near_dedup.FEW + 1):
+        for share in (80, 85):
+            for _ in range(20):
+                a = np.unique(draw.integers(0, 2**63, n, dtype=np.uint64))
+                other = draw.integers(0, 2**63, n, dtype=np.uint64)
+                common = int(draw.integers(0, n + 1))
+                b = np.unique(np.concatenate([a[draw.permutation(len(a))[:common]], other[: draw.integers(0, n - common + 1)]]))
+                both = len(np.intersect1d(a, b))
+                if len(b) and 100 * both >= share * (len(a) + len(b) - both):
+                    assert np.intersect1d(near_dedup.exact_keys(a, share, 100), near_dedup.exact_keys(b, share, 100)).size
