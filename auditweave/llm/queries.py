@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from auditweave.llm import bpe, fingerprint, lm_score, mixing, multi_index, near_dedup, quality, suffixes, token_files, url_filter
+from auditweave.llm import bpe, centroids, fill_middle, fingerprint, hilbert, lm_score, mixing, multi_index, near_dedup, quality, suffixes, token_files, url_filter
 from auditweave.llm.common import shared_path, table
 
 QUERIES: dict = {}
@@ -105,3 +105,25 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score",
         (F.col("score") >= quality.CUT).cast("int").alias("predicted"),
     )
+
+
+@query("op11_fill_in_middle", fill_middle.ORACLE)
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Form, parts and digests of each text turned into a fill-in-the-middle example."""
+    found = fill_middle.fill_in_middle(_documents(spark, sf_dir))
+    return found.select(
+        F.col("id").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fill_middle.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+@query("op12_centroids", centroids.oracle())
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster, distance and inertia of each whole vector after three rounds."""
+    return centroids.assignment_table(centroids.cluster(table(spark, sf_dir, "embeddings")))
+
+
+@query("op13_shards")
+def op13_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of each document along a Hilbert curve over language, source and size."""
+    return hilbert.shard_table(_documents(spark, sf_dir))
