@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from auditweave.sources.json_arrays import read_json_arrays
+
 CLOUDS = ("AWS", "AZURE", "GCP")
 # File name patterns of a split, per kind.
 SPLIT_PATTERNS = {"benign": "{cloud}_benign*.json", "attack": "{cloud}_attack.json"}
@@ -39,23 +41,6 @@ def discover_split(spark: SparkSession, base_dir: str, kind: str) -> dict[str, s
     return paths
 
 
-def read_json_arrays(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Files that each hold one JSON array: a row per element as text in ``raw``.
-
-    A file is one task, as a JSON document cannot be split; long logs belong into JSON
-    lines or many files.
-    """
-    whole = (
-        spark.read.format("json")
-        .option("singleVariantColumn", "v")
-        .option("multiLine", True)
-        .load(path)
-    )
-    return whole.select(F.expr("explode(cast(v as array<variant>))").alias("v")).select(
-        F.to_json("v").alias("raw")
-    )
-
-
 def read_json_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """One JSON record per line, unparsed, in ``raw``."""
     return spark.read.text(path).where(F.trim("value") != "").withColumnRenamed("value", "raw")
