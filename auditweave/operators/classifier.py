@@ -6,12 +6,12 @@ from dataclasses import dataclass
 from functools import partial, reduce
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from auditweave.operators import evaluate, features
+from auditweave.operators import boosting, evaluate, features
 from auditweave.session import broadcast_if_small, cut_lineage, run_together
 
 NORMAL = "Normal"
@@ -22,7 +22,7 @@ class PhaseModel:
     """Fitted encoder and classifier with everything needed to apply them later."""
 
     encoder: PipelineModel
-    classifier: PipelineModel
+    classifier: PipelineModel | boosting.BoostedTrees
     class_names: list[str]
     feature_columns: list[str]
     background: DataFrame | None = None
@@ -30,21 +30,27 @@ class PhaseModel:
 
     def save(self, path: str) -> None:
         self.encoder.write().overwrite().save(f"{path}/encoder")
-        self.classifier.write().overwrite().save(f"{path}/classifier")
         spark = SparkSession.getActiveSession()
+        boosted = isinstance(self.classifier, boosting.BoostedTrees)
+        if boosted:
+            self.classifier.save(spark, f"{path}/classifier")
+        else:
+            self.classifier.write().overwrite().save(f"{path}/classifier")
         spark.createDataFrame(
-            [(self.class_names, self.feature_columns, self.threshold)],
-            "class_names array<string>, feature_columns array<string>, threshold double",
+            [(self.class_names, self.feature_columns, self.threshold, boosted)],
+            "class_names array<string>, feature_columns array<string>, threshold double, boosted boolean",
         ).write.mode("overwrite").parquet(f"{path}/settings")
         if self.background is not None:
             self.background.write.mode("overwrite").parquet(f"{path}/background")
 
     @staticmethod
     def load(spark: SparkSession, path: str, background: bool = True) -> PhaseModel:
-        settings = spark.read.parquet(f"{path}/settings").first()
+        settings = spark.read.parquet(f"{path}/settings").first().asDict()
         return PhaseModel(
             PipelineModel.load(f"{path}/encoder"),
-            PipelineModel.load(f"{path}/classifier"),
+            boosting.BoostedTrees.load(spark, f"{path}/classifier")
+            if settings.get("boosted")
+            else PipelineModel.load(f"{path}/classifier"),
             list(settings["class_names"]),
             list(settings["feature_columns"]),
             spark.read.parquet(f"{path}/background") if background else None,
@@ -86,7 +92,10 @@ def fit_phase(
     seed: int = 42,
     background_rows: int = 100,
 ) -> PhaseModel:
-    """Fit on feature rows (see ``features.features``) with balanced class weights."""
+    """Fit on feature rows (see ``features.features``) with balanced class weights.
+
+    ``algorithm`` is ``forest`` or ``boosted``, where ``trees`` counts the rounds.
+    """
     encoder = features.fit_encoder(df, labeled)
     encoded = features.encode(encoder, df)
     indexer = StringIndexer(
@@ -102,19 +111,18 @@ def fit_phase(
             labelCol="__class", featuresCol="features", weightCol="weight",
             numTrees=trees, maxDepth=depth, seed=seed,
         )
+        fitted = PipelineModel([stage.fit(training)])
     elif algorithm == "boosted":
-        stage = OneVsRest(
-            classifier=GBTClassifier(maxIter=trees, maxDepth=depth, seed=seed),
-            labelCol="__class", featuresCol="features", weightCol="weight",
+        fitted = boosting.fit(
+            training, "__class", classes=len(indexer.labels), weight="weight", rounds=trees, depth=depth
         )
     else:
         raise ValueError(f"unknown algorithm {algorithm!r}")
-    fitted = stage.fit(training)
     background = cut_lineage(
         background_sample(training.select("event_id", "features"), background_rows, seed)
     )
     return PhaseModel(
-        encoder, PipelineModel([fitted]), list(indexer.labels),
+        encoder, fitted, list(indexer.labels),
         features.feature_columns(labeled), background,
     )
 
@@ -122,12 +130,7 @@ def fit_phase(
 def probabilities(model: PhaseModel, encoded: DataFrame, output: str = "probs") -> DataFrame:
     """Class probabilities as an array, in the order of ``class_names``."""
     out = model.classifier.transform(encoded)
-    if "probability" in out.columns:
-        probs = vector_to_array("probability")
-    else:
-        raw = F.transform(vector_to_array("rawPrediction"), F.exp)
-        total = F.aggregate(raw, F.lit(0.0), lambda a, b: a + b)
-        probs = F.transform(raw, lambda v: v / total)
+    probs = vector_to_array("probability")
     return out.withColumn(output, probs).drop("probability", "rawPrediction", "prediction")
 
 

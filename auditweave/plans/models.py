@@ -1,6 +1,6 @@
 """Queries over the models and their explanations.
 
-Forests and sampled attributions have no SQL counterpart; tests check their properties.
+Forests and attributions have no SQL counterpart; tests compare them with brute force.
 """
 
 from __future__ import annotations
@@ -97,7 +97,7 @@ def _explained(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, classifier.
         table.drop("anomaly_score", "predicted_phase", "phase_confidence"), model
     )
     alerts = cut_lineage(scored.where(F.col("predicted_phase") != classifier.NORMAL))
-    return cut_lineage(explain.attribute(alerts, model, orders=4)), model
+    return cut_lineage(explain.attribute(alerts, model)), model
 
 
 @query("alert_attributions")
