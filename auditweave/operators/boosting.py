@@ -229,6 +229,33 @@ def best_splits(gains: DataFrame) -> DataFrame:
     )
 
 
+def root_gains(
+    df: DataFrame,
+    label: str,
+    *,
+    classes: int,
+    features: str = "features",
+    weight: str | None = None,
+    lam: float = 1.0,
+    min_child: float = 1.0,
+    bins: int = 64,
+) -> DataFrame:
+    """(class, feature, gain): the best first split by each feature, which tells what separates the classes."""
+    edges = bin_edges(df, features, bins)
+    state = cut_lineage(_binned(df, label, features, weight, edges, classes))
+    mass = state.agg(F.sum("weight")).first()[0] or 1.0
+    unit = _unit(mass)
+    width = max([len(e) for e in edges] + [0]) + 1
+    sums = level_sums(state, _Round.blank(classes, 0), np.ones((classes, 1), dtype=bool), 0, width, unit).where("class >= 0")
+    gains = split_gains(sums, unit, lam, min_child)
+    return gains.groupBy("class", "feature").agg(F.max("gain").alias("gain")).where(F.col("gain").isNotNull())
+
+
+def _unit(mass: float) -> float:
+    """Whole numbers per unit of a derivative: sums over all rows stay below 2^62."""
+    return min(2.0**32, 2.0**61 / mass)
+
+
 def _advanced(state: DataFrame, grown: _Round, depth: int) -> DataFrame:
     """Rows with the margins after a round."""
 
@@ -267,7 +294,7 @@ def fit(
     if not mass or not edges:
         return model
     width = max(len(e) for e in edges) + 1
-    unit = min(2.0**32, 2.0**61 / mass)
+    unit = _unit(mass)
     for _ in range(rounds):
         grown = _Round.blank(classes, depth)
         open_nodes = np.ones((classes, 1), dtype=bool)

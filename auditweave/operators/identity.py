@@ -11,8 +11,9 @@ identity) and on activity sessions (one row per node and burst), not on events.
 Fuzzy decisions depend on earlier ones, but only inside a block: without an equal,
 known user-agent family no pair reaches the threshold, and inside a family only
 profiles that can reach it together share a block. A block is replayed in time order
-by one streaming pass that keeps counts of active entities per profile instead of
-comparing pairs.
+by a streaming pass that keeps counts of active entities per profile instead of
+comparing pairs; large blocks are cut into time segments that are replayed side by side
+(``segments``).
 
 A federation key and a principal with the same text are the same identity. An
 identity that is itself re-pointed keeps its earlier events where they were.
@@ -26,7 +27,7 @@ from types import SimpleNamespace
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from auditweave.functions import agents, events
-from auditweave.operators import ordered, replay
+from auditweave.operators import ordered, replay, segments
 from auditweave.session import cut_lineage, ship_by_value
 
 ship_by_value(replay)
@@ -252,6 +253,7 @@ def resolve_entities(
     order: str = "event_id",
     hot_rows: int = ordered.HOT_ROWS,
     slice_us: int = ordered.SLICE_US,
+    segment_rows: int = segments.SEGMENT_ROWS,
 ) -> Resolution:
     """Add ``entity_id``, ``method``, ``is_new`` and ``similarity`` to every event."""
     skew = {"hot_rows": hot_rows, "slice_us": slice_us}
@@ -317,7 +319,7 @@ def resolve_entities(
     if links is not None or state is not None:
         nodes = cut_lineage(nodes)
 
-    decisions = _fuzzy(base, nodes, state, params)
+    decisions = _fuzzy(base, nodes, state, params, segment_rows)
 
     tops = nodes.select(
         F.col("node").alias("__top"),
@@ -415,7 +417,7 @@ def _uses_default_weights(params: StitchParams) -> bool:
     return all(getattr(params, n) == getattr(d, n) for n in names)
 
 
-def _fuzzy(base, nodes, state, params) -> DataFrame:
+def _fuzzy(base, nodes, state, params, segment_rows) -> DataFrame:
     """(decided, decision, owner, similarity) for every root principal that may match."""
     fine = _uses_default_weights(params)
     family_known = F.coalesce(
@@ -511,16 +513,9 @@ def _fuzzy(base, nodes, state, params) -> DataFrame:
         no_text.alias("ua_family"), no_text.alias("ua_version"), no_flag.alias("proxy"),
         no_text.alias("kind"), no_text.alias("source_ip"), "until", "last_burst",
     )
-    rows = (
-        founding.unionByName(active)
-        .repartition("block")
-        .sortWithinPartitions(
-            "block", F.col("at").asc_nulls_first(), F.col("oid").asc_nulls_first(), "step"
-        )
-        .drop("oid")
-    )
     settings = SimpleNamespace(**asdict(params), lookback_us=params.lookback_us)
-    return rows.mapInPandas(replay.replay_blocks(settings), replay.RESULT_SCHEMA).select(
+    decided = segments.decide(founding.unionByName(active), settings, segment_rows)
+    return decided.select(
         F.expr("substr(label, 3)").alias("decided"), F.col("method").alias("decision"),
         "owner", "similarity",
     )

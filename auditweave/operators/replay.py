@@ -1,8 +1,10 @@
-"""Ordered replay of fuzzy decisions inside one block (see ``identity``).
+"""Ordered replay of fuzzy decisions inside one segment of a block (see ``segments``).
 
-Rows arrive sorted by (block, time, id, step): step 0 introduces an identity, step 1
-opens one of its activity sessions. Memory holds the identities that still have
-sessions ahead of them; rows stream through in Arrow batches.
+Rows arrive sorted by (block, seg, time, id, step): step -1 brings an entity that is active
+when the segment begins, step 0 introduces an identity, step 1 opens one of its activity
+sessions. A session whose identity was introduced in an earlier segment names its entity.
+Memory holds active entities and identities with sessions ahead of them; rows stream
+through in Arrow batches.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ import heapq
 
 import pandas as pd
 
-RESULT_SCHEMA = "label string, method string, owner string, similarity double"
+RESULT_SCHEMA = "block string, seg bigint, label string, method string, owner string, similarity double"
 _SILENT_FAMILIES = ("Unknown", "Other", "", None)
 _SILENT_VERSIONS = ("Unknown", "Other", "", None)
 
@@ -103,8 +105,8 @@ class Block:
         self.live[entity] = self.live.get(entity, 0) + 1
         return method, entity, score
 
-    def open_session(self, label, end, last):
-        entity = self.owner[label]
+    def activate(self, entity, end):
+        """The entity is active until ``end`` and the lookback after it."""
         if entity not in self.until:
             profile, ip = self.profile[entity]
             self.active.setdefault(profile, set()).add(entity)
@@ -115,36 +117,49 @@ class Block:
         elif end > self.until[entity]:
             self.until[entity] = end
             heapq.heappush(self.heap, (end, entity))
+
+    def open_session(self, label, end, last):
+        entity = self.owner[label]
+        self.activate(entity, end)
         if last:
             del self.owner[label]
             self.live[entity] -= 1
 
 
+_COLUMNS = (
+    "block", "seg", "label", "at", "step", "must_found", "ua_family", "ua_version", "proxy", "kind",
+    "source_ip", "until", "last_burst", "entity",
+)
+
+
 def replay_blocks(params):
-    """Function for ``mapInPandas``; state restarts with every block."""
+    """Function for ``mapInPandas``; state restarts with every segment."""
 
     def run(batches):
         current, block = None, None
         for batch in batches:
             out = []
-            for row in batch.itertuples(index=False):
-                if row.block != current:
-                    current, block = row.block, Block(params)
-                if row.at == row.at and row.at is not None:
-                    block.expire(row.at)
-                if row.step == 0:
-                    profile = (
-                        _text(row.ua_family), _text(row.ua_version), bool(row.proxy), _text(row.kind)
-                    )
-                    method, entity, score = block.introduce(
-                        row.label, profile, _text(row.source_ip), bool(row.must_found)
-                    )
-                    if not row.must_found:
-                        out.append((row.label, method, entity, score))
-                elif row.label in block.owner:
-                    block.open_session(row.label, int(row.until), bool(row.last_burst))
-            yield pd.DataFrame(out, columns=["label", "method", "owner", "similarity"]).astype(
-                {"similarity": "float64"}
-            )
+            for (
+                name, seg, label, at, step, must_found, family, version, proxy, kind, ip, until, last, entity
+            ) in zip(*[batch[c].tolist() for c in _COLUMNS]):
+                if (name, seg) != current:
+                    current, block = (name, seg), Block(params)
+                if at == at and at is not None:
+                    block.expire(at)
+                entity = _text(entity)
+                if step == 0 or entity is not None:
+                    profile, ip = (_text(family), _text(version), bool(proxy), _text(kind)), _text(ip)
+                if step == 0:
+                    method, owner, score = block.introduce(label, profile, ip, bool(must_found))
+                    if not must_found:
+                        out.append((name, seg, label, method, owner, score))
+                elif entity is not None:
+                    block.profile.setdefault(entity, (profile, ip))
+                    block.activate(entity, int(until))
+                elif label in block.owner:
+                    block.open_session(label, int(until), bool(last))
+            yield pd.DataFrame(
+                out, columns=["block", "seg", "label", "method", "owner", "similarity"]
+            ).astype({"similarity": "float64", "seg": "int64"})
 
     return run

@@ -11,10 +11,7 @@ from auditweave.plans.registry import query
 from auditweave.sources import sinks
 
 
-@query(
-    "feature_row_columns",
-    f"""WITH {EV}
-    SELECT event_id, CAST(extract(hour FROM ts) AS INT) AS hour_of_day,
+ROW_SQL = """SELECT event_id, CAST(extract(hour FROM ts) AS INT) AS hour_of_day,
       CAST(isodow(ts) - 1 AS INT) AS day_of_week,
       CASE WHEN isodow(ts) >= 6 THEN 1 ELSE 0 END AS is_weekend,
       CASE WHEN hour(ts) < 6 OR hour(ts) >= 22 THEN 1 ELSE 0 END AS is_night_access,
@@ -34,8 +31,10 @@ from auditweave.sources import sinks
         AS action_sensitivity_score,
       CASE WHEN status = 'SUCCESS' THEN 1 ELSE 0 END AS login_result_success,
       1 AS is_internal_ip
-    FROM ev""",
-)
+    FROM ev"""
+
+
+@query("feature_row_columns", f"WITH {EV} {ROW_SQL}")
 def feature_row_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = features.action_features(
         features.identity_and_network(features.temporal(audit_events(spark, sf_dir)))
@@ -86,6 +85,41 @@ def feature_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_WINDOWED = (
+    "is_new_device_for_user", "api_call_count_1m", "error_rate_5m", "read_vs_write_ratio",
+    "unique_resources_accessed", "unique_ips_last_24h", "privileged_actions_last_24h",
+)
+
+
+def _matrix_sql(labeled: bool) -> str:
+    """The feature columns by name, from the row columns, the windows and the event itself."""
+    wanted = ", ".join(
+        {"action": "ev.action", "source_cloud": "ev.source_cloud"}.get(c, f"w.{c}" if c in _WINDOWED else f"r.{c}")
+        for c in features.feature_columns(labeled)
+    )
+    return (
+        f"WITH {EV}, r AS ({ROW_SQL}), w AS ({BEHAVIOUR_SQL}) SELECT event_id, {wanted} "
+        "FROM ev JOIN r USING (event_id) JOIN w USING (event_id)"
+    )
+
+
+def _matrix(spark: SparkSession, sf_dir: str, labeled: bool) -> DataFrame:
+    x, _ = features.split_features(features.features(audit_events(spark, sf_dir)), labeled)
+    return x.withColumns({c: F.round(c, 6) for c in ("error_rate_5m", "read_vs_write_ratio")})
+
+
+@query("feature_matrix", _matrix_sql(labeled=False))
+def feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X of unlabeled operation, 24 columns."""
+    return _matrix(spark, sf_dir, labeled=False)
+
+
+@query("feature_matrix_labeled", _matrix_sql(labeled=True))
+def feature_matrix_labeled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X with the four columns that only vary on labeled data, 28 columns."""
+    return _matrix(spark, sf_dir, labeled=True)
+
+
 @query(
     "feature_targets_isolated",
     f"""WITH {EV}

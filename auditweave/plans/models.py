@@ -5,9 +5,10 @@ Forests and attributions have no SQL counterpart; tests compare them with brute
 
 from __future__ import annotations
 
+from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from auditweave.operators import classifier, explain, features, iforest, monitor
+from auditweave.operators import boosting, classifier, explain, features, iforest, monitor
 from auditweave.plans.adapter import EV, audit_events
 from auditweave.plans.registry import query
 from auditweave.session import cut_lineage, spread
@@ -90,6 +91,100 @@ def leave_one_scenario_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.leave_one_group_out(attacks, table.where(~attack & ~early), trees=10, depth=4)
 
 
+@query("boosted_phase_scores")
+def boosted_phase_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``phase_scores``, by boosted trees."""
+    table = feature_table(spark, sf_dir).drop("anomaly_score", "predicted_phase", "phase_confidence")
+    first_half = table.where(F.col("timestamp") < F.lit("2024-01-15").cast("timestamp"))
+    model = classifier.fit_phase(first_half, algorithm="boosted", trees=4, depth=3)
+    return classifier.score_phase(table, model).select(
+        "event_id", "threat_category", "predicted_phase", "predicted_phase_index",
+        "phase_confidence", "anomaly_score",
+    )
+
+
+# One round of one split per class on five whole-number columns: small enough for SQL to search every
+# split and to attribute every score.
+_WHOLE = {
+    "hour": ("hour(timestamp)", "hour(ts)"),
+    "weekday": ("weekday(timestamp)", "isodow(ts) - 1"),
+    "k": ("k", "k"),
+    "amount": ("floor(value / 10)", "floor(value / 10)"),
+    "person": ("user_no % 31", "user_id % 31"),
+}
+_ROOTS = f"""WITH {EV}, c AS (SELECT threat_category, row_number() OVER (ORDER BY threat_category) - 1 AS y, n,
+    sum(n) OVER () / (count(*) OVER () * n) AS w, count(*) OVER () AS classes FROM (
+      SELECT threat_category, count(*) AS n FROM ev GROUP BY 1)),
+  rows AS (SELECT event_id, y, w, 1e0 / classes AS p, classes, unnest([{', '.join(f"struct_pack(f := {i}, v := CAST({sql} AS DOUBLE))" for i, (_, sql) in enumerate(_WHOLE.values()))}],
+    recursive := true) FROM ev JOIN c USING (threat_category)),
+  cells AS (SELECT o.y AS class, f, v, sum(rows.w * (p - CASE WHEN rows.y = o.y THEN 1 ELSE 0 END)) AS g, sum(rows.w * p * (1 - p)) AS h
+    FROM rows CROSS JOIN (SELECT y FROM c) o GROUP BY 1, 2, 3),
+  cuts AS (SELECT *, sum(g) OVER up AS gl, sum(h) OVER up AS hl, sum(g) OVER cell AS gt, sum(h) OVER cell AS ht, max(v) OVER cell AS top
+    FROM cells WINDOW cell AS (PARTITION BY class, f), up AS (PARTITION BY class, f ORDER BY v)),
+  gains AS (SELECT *, gl * gl / (hl + 1) + (gt - gl) * (gt - gl) / (ht - hl + 1) - gt * gt / (ht + 1) AS gain FROM cuts
+    WHERE v < top AND hl >= 1 AND ht - hl >= 1),
+  stumps AS (SELECT class, f, v, gain, -0.3 * gl / (hl + 1) AS low, -0.3 * (gt - gl) / (ht - hl + 1) AS high, hl / ht AS share FROM gains
+    QUALIFY row_number() OVER (PARTITION BY class ORDER BY round(gain, 6) DESC, f, v) = 1)"""
+
+
+def _whole_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = audit_events(spark, sf_dir).selectExpr(
+        "event_id", "threat_category", *[f"CAST({sql} AS DOUBLE) AS {name}" for name, (sql, _) in _WHOLE.items()]
+    )
+    indexed = StringIndexer(inputCol="threat_category", outputCol="label", stringOrderType="alphabetAsc").fit(ev).transform(ev)
+    weighted = classifier.balanced_weights(indexed, "threat_category")
+    return cut_lineage(VectorAssembler(inputCols=list(_WHOLE), outputCol="features").transform(weighted))
+
+
+def _classes(table: DataFrame) -> int:
+    return table.select("label").distinct().count()
+
+
+@query("boosted_root_gains", f"{_ROOTS} SELECT class, f AS feature, round(max(gain), 4) AS gain FROM gains GROUP BY 1, 2")
+def boosted_root_gains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best gain of each column for the first split of each class."""
+    table = _whole_numbers(spark, sf_dir)
+    gains = boosting.root_gains(table, "label", classes=_classes(table), weight="weight", bins=128)
+    return gains.select(F.col("class").cast("long").alias("class"), F.col("feature").cast("long").alias("feature"), F.round("gain", 4).alias("gain"))
+
+
+@query(
+    "boosted_stumps",
+    f"""{_ROOTS} SELECT class, f AS feature, v AS threshold, round(low, 5) AS low, round(high, 5) AS high FROM stumps""",
+)
+def boosted_stumps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first split of each class and the votes of its sides."""
+    table = _whole_numbers(spark, sf_dir)
+    model = boosting.fit(table, "label", classes=_classes(table), weight="weight", rounds=1, depth=1, bins=128)
+    rows = [
+        (c, int(model.feature[c, 1]), float(model.threshold[c, 1]), float(model.value[c, 2]), float(model.value[c, 3]))
+        for c in range(model.classes)
+    ]
+    found = spark.createDataFrame(rows, "class long, feature long, threshold double, low double, high double")
+    return found.withColumns({"low": F.round("low", 5), "high": F.round("high", 5)})
+
+
+@query(
+    "stump_attributions",
+    f"""{_ROOTS}, a AS (SELECT event_id, class, stumps.f AS feature,
+      CASE WHEN rows.v <= stumps.v THEN low ELSE high END - (share * low + (1 - share) * high) AS impact
+      FROM rows JOIN stumps ON rows.f = stumps.f AND stumps.class = rows.event_id % rows.classes)
+    SELECT event_id, class, feature, round(impact, 5) AS impact FROM a""",
+)
+def stump_attributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the split column adds to the margin of a class, for a class in turn per event."""
+    table = _whole_numbers(spark, sf_dir)
+    n = _classes(table)
+    trees = boosting.fit(table, "label", classes=n, weight="weight", rounds=1, depth=1, bins=128)
+    model = classifier.PhaseModel(None, trees, [str(c) for c in range(n)], list(_WHOLE))
+    turns = table.withColumn("predicted_phase_index", (F.col("event_id") % n).cast("int"))
+    impacts = explain.exact_shapley(turns, model).join(turns.select("event_id", F.col("predicted_phase_index").cast("long").alias("class")), "event_id")
+    used = F.array(*[F.lit(int(f)).cast("long") for f in trees.feature[:, 1]])
+    return impacts.withColumn("feature", F.get(used, F.col("class").cast("int"))).select(
+        "event_id", "class", "feature", F.round(F.get("impacts", F.col("feature").cast("int")), 5).alias("impact")
+    )
+
+
 def _explained(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, classifier.PhaseModel]:
     table = feature_table(spark, sf_dir)
     model = _phase_model(table)

@@ -175,21 +175,74 @@ def daily_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("fuzzy_stitching")
+# SQL: identity by identity inside a family, in the order of their first events. ``active`` lists the
+# earlier identities seen in the lookback, ``scores`` the likeness to every earlier one, and
+# ``owners`` grows by one decision a step.
+_LIKENESS = """CASE WHEN {a}.ua_family = {b}.ua_family THEN 0.315e0 + CASE WHEN {a}.ua_version = {b}.ua_version
+      AND {a}.ua_version NOT IN ('Unknown', 'Other', '') THEN 0.135e0 ELSE 0e0 END ELSE 0e0 END AS ua,
+    CASE WHEN {a}.proxy AND {b}.proxy THEN 0.25e0 ELSE 0e0 END AS proxy,
+    CASE WHEN NOT {a}.proxy AND NOT {b}.proxy AND {a}.source_ip = {b}.source_ip THEN 0.1e0 ELSE 0e0 END AS ip,
+    CASE WHEN {a}.kind = {b}.kind THEN 0.2e0 ELSE 0e0 END AS type"""
+FUZZY = f"""WITH RECURSIVE {EV}, de AS (SELECT event_id, t, principal AS actor, concat(principal, '_', {_DAY}) AS node,
+    ua_family, ua_version, is_known_proxy_or_tor AS proxy, {_KIND.format('principal_type')} AS kind, source_ip FROM ev),
+  firsts AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY ua_family ORDER BY t, event_id) AS i FROM (
+    SELECT * FROM de QUALIFY row_number() OVER (PARTITION BY node ORDER BY t, event_id) = 1)),
+  seen AS (SELECT f.ua_family, f.i, list(DISTINCT m.i) AS active
+    FROM firsts f JOIN firsts m ON m.ua_family = f.ua_family AND m.i < f.i JOIN de e ON e.node = m.node
+      AND e.t >= f.t - 10800000000 AND (e.t, e.event_id) < (f.t, f.event_id) GROUP BY 1, 2),
+  likeness AS (SELECT f.ua_family, f.i, m.i AS j, {_LIKENESS.format(a='f', b='m')}
+    FROM firsts f JOIN firsts m ON m.ua_family = f.ua_family AND m.i < f.i),
+  steps AS MATERIALIZED (SELECT firsts.ua_family, firsts.i, coalesce(active, []) AS active, scores FROM firsts
+    LEFT JOIN seen USING (ua_family, i) LEFT JOIN (SELECT ua_family, i, list(round(ua + proxy + ip + type, 4) ORDER BY j) AS scores
+      FROM likeness GROUP BY 1, 2) USING (ua_family, i) WHERE firsts.ua_family NOT IN ('Unknown', 'Other', '')),
+  walk AS (SELECT ua_family, i, [i] AS owners, CAST(NULL AS DOUBLE) AS best, 'new_entity' AS method FROM steps WHERE i = 1
+    UNION ALL
+    SELECT ua_family, i, list_append(owners, CASE WHEN method = 'fuzzy_merge' THEN list_filter(options, lambda j: scores[j] = best)[1] ELSE i END),
+      best, method FROM (
+        SELECT *, ranked[1] AS best, CASE WHEN len(ranked) = 0 THEN 'new_entity' WHEN ranked[1] - ranked[2] < 0.05e0
+          THEN 'new_entity_ambiguous' ELSE 'fuzzy_merge' END AS method FROM (
+            SELECT *, list_reverse_sort(list_transform(options, lambda j: scores[j])) AS ranked FROM (
+              SELECT s.ua_family, s.i, s.scores, w.owners, list_filter(list_distinct(list_transform(s.active, lambda m: w.owners[m])),
+                lambda j: s.scores[j] >= 0.65e0) AS options
+              FROM walk w JOIN steps s ON s.ua_family = w.ua_family AND s.i = w.i + 1)))),
+  decided AS (SELECT f.node, f.event_id AS first_id, coalesce(w.method, 'new_entity') AS method, w.best,
+      coalesce(w.owners[f.i], f.i) AS owner, f.ua_family FROM firsts f LEFT JOIN walk w ON w.ua_family = f.ua_family AND w.i = f.i),
+  named AS (SELECT d.*, 'entity_' || substr(sha256(o.node || '|' || o.t || '|' || o.event_id), 1, 32) AS entity_id,
+      o.ua_version, o.proxy, o.kind, o.source_ip
+    FROM decided d JOIN firsts o ON o.ua_family = d.ua_family AND o.i = d.owner),
+  fz AS (SELECT de.event_id, de.t, n.entity_id, de.actor, CASE WHEN de.event_id = n.first_id THEN n.method ELSE 'fast_path' END AS method,
+      CASE WHEN de.event_id = n.first_id THEN n.best END AS similarity FROM de JOIN named n USING (node)),
+  wrong AS (SELECT z.event_id, z.entity_id, z.actor AS merged_actor, z.similarity, p.* EXCLUDE (event_id) FROM (
+      SELECT *, row_number() OVER (PARTITION BY entity_id, actor ORDER BY t, event_id) AS nth FROM fz) z
+    JOIN (SELECT de.event_id, {_LIKENESS.format(a='de', b='n')} FROM de JOIN named n USING (node)) p USING (event_id)
+    WHERE z.method = 'fuzzy_merge' AND z.nth = 1)"""
+
+
+@query(
+    "fuzzy_stitching",
+    f"""{FUZZY} SELECT event_id, entity_id, method, method LIKE 'new_entity%' AS is_new, similarity FROM fz""",
+)
 def fuzzy_stitching(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sequential by nature; tests compare it with a brute-force replay."""
     return identity.resolve_entities(daily_identities(spark, sf_dir)).events.select(
         "event_id", "entity_id", "method", "is_new", "similarity"
     )
 
 
-@query("fuzzy_wrong_merges")
+@query(
+    "fuzzy_wrong_merges",
+    f"""{FUZZY} SELECT event_id, entity_id, merged_actor, similarity, round(ua, 4) AS ua, round(proxy, 4) AS proxy,
+      round(ip, 4) AS ip, round(type, 4) AS type, round(ua + proxy + ip + type, 4) AS total FROM wrong""",
+)
 def fuzzy_wrong_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
     resolved = identity.resolve_entities(daily_identities(spark, sf_dir))
     return purity.wrong_merges(resolved)
 
 
-@query("fuzzy_signal_blame")
+@query(
+    "fuzzy_signal_blame",
+    f"""{FUZZY} SELECT count(*) AS wrong_merges, round(coalesce(sum(ua), 0), 3) AS ua, round(coalesce(sum(proxy), 0), 3) AS proxy,
+      round(coalesce(sum(ip), 0), 3) AS ip, round(coalesce(sum(type), 0), 3) AS type FROM wrong""",
+)
 def fuzzy_signal_blame(spark: SparkSession, sf_dir: str) -> DataFrame:
     resolved = identity.resolve_entities(daily_identities(spark, sf_dir))
     return purity.signal_blame(purity.wrong_merges(resolved))
@@ -215,6 +268,18 @@ def merge_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "entity_members",
+    f"""WITH {FED_EV} SELECT min(founder) AS founder, key, min(t) AS joined_us, arg_min(event_id, struct_pack(t := t, e := event_id)) AS joined_id
+      FROM (SELECT node, founder, t, event_id, unnest([principal, fed]) AS key FROM st) WHERE key IS NOT NULL GROUP BY node, key""",
+)
+def entity_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The keys of each entity with the event by which they joined."""
+    stitched = federated(spark, sf_dir).events
+    founders = stitched.where("is_new").select("entity_id", F.col("event_id").alias("founder"))
+    return identity.entity_members(stitched).join(founders, "entity_id").drop("entity_id")
+
+
 @query(
     "entity_statistics",
     f"""WITH {FED_EV} SELECT min(founder) AS founder, count(*) AS n_events,

@@ -2,10 +2,11 @@
 
 import random
 
+import pytest
 from helpers import at, by, rows
 from pyspark.sql import functions as F
 
-from auditweave.operators import identity, purity
+from auditweave.operators import identity, purity, segments
 from auditweave.plans.stitching import daily_identities
 
 SCHEMA = (
@@ -151,6 +152,53 @@ def test_hot_principals_are_sliced_without_effect(spark):
     compare(resolve(spark, data, hot_rows=3, slice_us=600_000_000), replay(data))
 
 
+def test_blocks_in_segments_equal_one_replay(spark):
+    methods = set()
+    for seed, proxies, segment_rows in ((1, 0.3, 3), (3, 0.6, 20)):
+        data = random_events(seed, n=400, proxies=proxies)
+        expected = replay(data)
+        methods |= {m for _, m, _ in expected.values()}
+        compare(resolve(spark, data, segment_rows=segment_rows), expected)
+    assert {"fuzzy_merge", "new_entity_ambiguous", "new_entity"} <= methods
+
+
+def test_segments_with_every_tier_and_state(spark):
+    data = sorted(random_events(12, n=200, people=90, fed=0.05, made=0.15), key=lambda e: (e[1], e[0]))
+    expected = replay(data)
+    state, got = None, {}
+    for part in (data[:100], data[100:]):
+        resolved = resolve(spark, part, state=state, segment_rows=4)
+        got |= by(resolved.events)
+        state = identity.next_state(resolved, state, in_time_order=True)
+    founders = {r["entity_id"]: r["event_id"] for r in got.values() if r["is_new"]}
+    for i, (entity, method, _) in expected.items():
+        assert (founders[got[i]["entity_id"]], got[i]["method"]) == (entity, method)
+
+
+def hot_profile(n, ips):
+    """One agent and type for everybody: long lives, short ones, pauses beyond the lookback."""
+    random.seed(5)
+    data, now = [], 0.0
+    for i in range(n):
+        now += 4 * 3600 if i % 97 == 96 else random.random() * 900
+        ip = f"10.0.0.{random.randrange(ips)}"
+        data.append(event(3 * i, now, f"p{i}", ip=ip))
+        if i % 3 == 0:
+            data.append(event(3 * i + 1, now + random.random() * 9_000, f"p{i}", ip=ip))
+        if i % 20 == 0:
+            data.append(event(3 * i + 2, now + 7 * 3600, f"p{i}", ip=ip))
+    return data
+
+
+@pytest.mark.parametrize("ips", [1, 8])
+def test_a_hot_profile_uses_several_segments(spark, ips):
+    data = hot_profile(500, ips)
+    compare(resolve(spark, data, segment_rows=60), replay(data))
+    frame = spark.createDataFrame([("b", float(e[1].timestamp())) for e in data], "block string, s double")
+    placed = segments.place(frame.select("block", (F.col("s") * 1e6).cast("long").alias("at")), 60)
+    assert placed.select("seg").distinct().count() > 5 and placed.where("not hot").isEmpty()
+
+
 def test_batches_with_state_equal_one_pass(spark):
     data = sorted(random_events(31, fed=0.04, made=0.1), key=lambda e: (e[1], e[0]))
     expected = replay(data)
@@ -198,7 +246,5 @@ def test_purge_forgets_idle_entities(spark):
 
 
 def test_weights_that_break_blocking_are_refused():
-    import pytest
-
     with pytest.raises(ValueError):
         identity.StitchParams(similarity_threshold=0.5)
