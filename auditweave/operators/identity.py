@@ -582,15 +582,16 @@ def _newer(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return old.join(new.select(key), key, "left_anti").unionByName(new)
 
 
+def idle_entities(activity: DataFrame, now_us: int, max_idle_seconds: float) -> DataFrame:
+    """(entity_id) of those whose last session ended longer ago."""
+    limit = now_us - int(max_idle_seconds * events.MICROS)
+    last = activity.groupBy("entity_id").agg(F.max("end_us").alias("last_seen_us"))
+    return last.where(F.col("last_seen_us") < limit).select("entity_id")
+
+
 def purge(state: StitchState, now_us: int, max_idle_seconds: float) -> tuple[StitchState, DataFrame]:
     """Forget entities idle for longer; returns the kept state and the purged ids."""
-    limit = now_us - int(max_idle_seconds * events.MICROS)
-    stale = (
-        state.activity.groupBy("entity_id")
-        .agg(F.max("end_us").alias("last_seen_us"))
-        .where(F.col("last_seen_us") < limit)
-        .select("entity_id")
-    )
+    stale = idle_entities(state.activity, now_us, max_idle_seconds)
 
     def keep(table: DataFrame) -> DataFrame:
         return table.join(stale, "entity_id", "left_anti")

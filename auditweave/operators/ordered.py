@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 from pyspark.sql import types as T
 
 from auditweave.session import broadcast_if_small, cut_lineage
@@ -348,30 +348,38 @@ def trailing(
 
 @dataclass(frozen=True)
 class Recent:
-    """Aggregate over a short closed window; ``merge`` joins its two halves."""
+    """Aggregate over a short closed window.
+
+    ``merge`` joins two parts of a window, ``fold`` the aggregates of many parts.
+    """
 
     local: Callable[[Column], Column]
     value: Column
     merge: Callable[[Column, Column], Column]
+    fold: Callable[[Column, WindowSpec], Column]
     others_only: bool = False
 
 
 def recent_sum(value: Column, others_only: bool = False) -> Recent:
     """Sum over the window, without the row itself if ``others_only``."""
     zero = F.lit(0)
-    return Recent(F.sum, value, lambda a, b: F.coalesce(a, zero) + F.coalesce(b, zero), others_only)
+    return Recent(
+        F.sum, value, lambda a, b: F.coalesce(a, zero) + F.coalesce(b, zero), lambda c, w: F.sum(c).over(w), others_only
+    )
 
 
 def recent_min(value: Column) -> Recent:
-    return Recent(F.min, value, F.least)
+    return Recent(F.min, value, F.least, lambda c, w: F.min(c).over(w))
 
 
 def recent_max(value: Column) -> Recent:
-    return Recent(F.max, value, F.greatest)
+    return Recent(F.max, value, F.greatest, lambda c, w: F.max(c).over(w))
 
 
 def recent_set(value: Column) -> Recent:
-    return Recent(F.collect_set, value, F.array_union)
+    return Recent(
+        F.collect_set, value, F.array_union, lambda c, w: F.array_distinct(F.flatten(F.collect_list(c).over(w)))
+    )
 
 
 def recent(
@@ -381,6 +389,9 @@ def recent(
     order: Sequence[str],
     window_us: int,
     folds: Callable[[Column], dict[str, Recent]],
+    *,
+    crowded_rows: int | None = None,
+    parts: int = 64,
 ) -> DataFrame:
     """Aggregate the rows of the closed window [t - window_us, t], ties by ``order``.
 
@@ -389,6 +400,10 @@ def recent(
     copied one: two one-directional running aggregates, nothing is subtracted, and a
     task never holds more than one key for two window lengths.
 
+    With ``crowded_rows``, slices of a key with more rows are cut into ``parts``: each part
+    runs on its own, and what the parts before it (of the slice) and after it (of the copied
+    one) add comes from their totals, a few rows per slice.
+
     ``folds`` receives the slice start, so values can be scaled to a nearby origin.
     """
     width = window_us + 1
@@ -402,12 +417,22 @@ def recent(
     )
     rows = df.select("*", F.explode(copies).alias("__copy")).select(*df.columns, "__copy.*")
     specs = folds(F.col(SLICE) * width)
+    crowded = None if crowded_rows is None else _crowded(df, keys, number, crowded_rows)
+    group = [*keys, SLICE]
+    if crowded is not None:
+        part = F.least(F.floor((F.col("__at") - F.col(SLICE) * width) * parts / width), F.lit(parts - 1))
+        rows = (
+            rows.withColumn(KEY, _key_column(df, keys))
+            .join(crowded, [KEY, SLICE], "left")
+            .withColumn("__part", F.when(F.col("__crowded"), part).otherwise(0).cast("int"))
+        )
+        group = [KEY, SLICE, "__part"]
     ascending = (
-        Window.partitionBy(*keys, SLICE)
+        Window.partitionBy(*group)
         .orderBy(F.col("__at"), F.col("__own"), *[F.col(c) for c in order])
     )
     descending = (
-        Window.partitionBy(*keys, SLICE)
+        Window.partitionBy(*group)
         .orderBy(F.col("__at").desc(), F.col("__own").desc(), *[F.col(c).desc() for c in order])
         .rowsBetween(_FIRST, Window.currentRow)
     )
@@ -421,14 +446,48 @@ def recent(
         halves.append(
             spec.local(F.when(~F.col("__own"), spec.value)).over(descending).alias(f"__b_{name}")
         )
+    halved = rows.select("*", *halves).where(F.col("__own"))
+    if crowded is not None:
+        halved = halved.join(_around(rows, specs), group, "left").withColumns(
+            {
+                f"__{half}_{name}": F.when(F.col("__known").isNull(), F.col(f"__{half}_{name}")).otherwise(
+                    spec.merge(F.col(f"__{half}_{name}"), F.col(f"__{half}_around_{name}"))
+                )
+                for name, spec in specs.items()
+                for half in "ab"
+            }
+        )
     merged = [
         spec.merge(F.col(f"__b_{name}"), F.col(f"__a_{name}")).alias(name)
         for name, spec in specs.items()
     ]
-    return (
-        rows.select("*", *halves)
-        .where(F.col("__own"))
-        .select(*df.columns, F.col(SLICE).alias("__window_slice"), *merged)
+    return halved.select(*df.columns, F.col(SLICE).alias("__window_slice"), *merged)
+
+
+def _crowded(df: DataFrame, keys: Sequence[str], number: Column, crowded_rows: int) -> DataFrame | None:
+    """(key, slice) of slices that hold too many rows as their own or as copies; None if there are none."""
+    full = (
+        df.groupBy(_key_column(df, keys).alias(KEY), number.alias("__n"))
+        .agg(F.count(F.lit(1)).alias("__rows"))
+        .where(F.col("__rows") > crowded_rows)
+    )
+    both = full.select(KEY, F.explode(F.array("__n", F.col("__n") + 1)).alias(SLICE)).distinct()
+    both = cut_lineage(both.withColumn("__crowded", F.lit(True)))
+    return None if both.isEmpty() else broadcast_if_small(both)
+
+
+def _around(rows: DataFrame, specs: dict[str, Recent]) -> DataFrame:
+    """For each part of a crowded slice, what earlier own and later copied parts add."""
+    totals = rows.where(F.col("__crowded")).groupBy(KEY, SLICE, "__part").agg(
+        *[spec.local(F.when(F.col("__own"), spec.value)).alias(f"__a_{n}") for n, spec in specs.items()],
+        *[spec.local(F.when(~F.col("__own"), spec.value)).alias(f"__b_{n}") for n, spec in specs.items()],
+    )
+    along = Window.partitionBy(KEY, SLICE).orderBy("__part")
+    earlier, later = along.rowsBetween(_FIRST, -1), along.rowsBetween(1, Window.unboundedFollowing)
+    return totals.select(
+        KEY, SLICE, "__part", F.lit(True).alias("__known"),
+        *[spec.fold(F.col(f"__a_{n}"), earlier).alias(f"__a_around_{n}") for n, spec in specs.items()],
+        *[spec.fold(F.col(f"__b_{n}"), later).alias(f"__b_around_{n}") for n, spec in specs.items()],
     )
 
 

@@ -8,13 +8,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from auditweave.functions import agents, events
-from auditweave.operators import ordered
+from auditweave.operators import ordered, window_mode
 from auditweave.operators.ordered import Recent, recent_max, recent_min, recent_set, recent_sum
 from auditweave.session import cut_lineage
 
 LN2 = 0.6931471805599453
-# Principal types are a vocabulary of the clouds; more than this many are an error in the column.
-MAX_PRINCIPAL_TYPES = 500
 
 
 @dataclass(frozen=True)
@@ -75,6 +73,11 @@ def lifetime_clouds(
 
     ``prior`` (entity, clouds) holds footprints from before the table, such as a warm-up.
     """
+    return _lifetime(df, entity, ts, order, prior, hot_rows, slice_us)[0]
+
+
+def _lifetime(df, entity, ts, order, prior, hot_rows, slice_us) -> tuple[DataFrame, bool]:
+    """``lifetime_clouds``, and whether some entity has more than ``hot_rows`` events."""
     kept = [c for c in df.columns if c != "lifetime_clouds"]
     base = df.select(*kept, events.micros(F.col(ts)).alias("__t"), _known_cloud().alias("__cloud"))
     sliced = ordered.with_slices(base, [entity], "__t", hot_rows, slice_us)
@@ -88,7 +91,7 @@ def lifetime_clouds(
         )
         out = out.join(earlier, F.col(entity) == F.col("__entity"), "left")
         seen = F.array_union(seen, F.coalesce(F.col("__prior"), F.array().cast("array<string>")))
-    return out.select(*kept, F.array_sort(seen).alias("lifetime_clouds"))
+    return out.select(*kept, F.array_sort(seen).alias("lifetime_clouds")), sliced.any_hot
 
 
 def footprints(df: DataFrame, entity: str = "entity_id") -> DataFrame:
@@ -106,8 +109,12 @@ def active_window(
     ts: str = "timestamp",
     order: str = "event_id",
     window_seconds: float = 60.0,
+    hot_rows: int | None = ordered.HOT_ROWS,
 ) -> DataFrame:
-    """Add the size and the oldest time of the closed trailing window of each event."""
+    """Add the size and the oldest time of the closed trailing window of each event.
+
+    Windows with more than ``hot_rows`` events are spread over several tasks.
+    """
     kept = df.columns
     base = df.withColumn("__t", events.micros(F.col(ts)))
     out = ordered.recent(
@@ -116,6 +123,7 @@ def active_window(
             "active_events": recent_sum(F.lit(1)),
             "__oldest": recent_min(F.col("__t")),
         },
+        crowded_rows=hot_rows,
     )
     return out.select(
         *kept,
@@ -124,19 +132,6 @@ def active_window(
     )
 
 
-def _types_of(df: DataFrame, name: Column) -> list[str]:
-    """The types that occur, each of which gets counters of its own."""
-    found = df.select(name.alias("type")).where(F.col("type").isNotNull()).distinct()
-    types = sorted(r["type"] for r in found.limit(MAX_PRINCIPAL_TYPES + 1).collect())
-    if len(types) > MAX_PRINCIPAL_TYPES:
-        raise ValueError(f"more than {MAX_PRINCIPAL_TYPES} principal types; use class_from='event'")
-    return types
-
-
-def _least(columns: list[Column]) -> Column:
-    return F.least(*columns) if len(columns) > 1 else columns[0]
-
-
 def score(
     df: DataFrame,
     baselines: DataFrame | None = None,
@@ -155,10 +150,10 @@ def score(
     ``baselines`` (entity, clouds) lists the clouds that are normal per entity.
     ``class_from="event"`` classifies by the event's own principal type,
     ``"window"`` by the most frequent type among the active events (ties: earliest by time
-    and ``order``); it reads the distinct types of the table first.
+    and ``order``), whatever the number of types.
     """
     skew = {"hot_rows": hot_rows, "slice_us": slice_us}
-    traced = lifetime_clouds(df, entity, ts, order, prior, **skew)
+    traced, any_hot = _lifetime(df, entity, ts, order, prior, **skew)
     kept = [c for c in df.columns if c != "lifetime_clouds"]
     ptype = F.col("principal_type") if "principal_type" in df.columns else F.lit(None).cast("string")
     kind = F.nullif(F.upper(ptype), F.lit(""))
@@ -172,10 +167,9 @@ def score(
         kind.alias("__type"),
     )
     rate = LN2 / params.half_life_seconds / events.MICROS
-    slots = _types_of(df, kind) if class_from == "window" else []
 
     def folds(origin: Column) -> dict[str, Recent]:
-        specs = {
+        return {
             "__sum": recent_sum(
                 F.col("__a") * F.exp((F.col("__t") - origin) * F.lit(rate)), others_only=True
             ),
@@ -183,32 +177,23 @@ def score(
             "__clouds": recent_set(F.col("__cloud")),
             "__hinted": recent_max(F.col("__hint").cast("int")),
         }
-        for i, slot in enumerate(slots):
-            mine = F.col("__type") == slot
-            place = F.struct(F.col("__t").alias("t"), F.col(order).alias("o"))
-            specs[f"__n{i}"] = recent_sum(F.when(mine, 1))
-            specs[f"__f{i}"] = recent_min(F.when(mine, place))
-        return specs
-
-    out = ordered.recent(base, [entity], "__t", [order], params.window_us, folds)
+
+    # A window can only be crowded where an entity is hot, which was counted above.
+    out = ordered.recent(
+        base, [entity], "__t", [order], params.window_us, folds, crowded_rows=hot_rows if any_hot else None
+    )
     origin = F.col("__window_slice") * (params.window_us + 1)
     # The event itself has weight 1 exactly; the others are scaled from the slice start.
     decayed = F.col("__a") + F.col("__sum") * F.exp(-(F.col("__t") - origin) * F.lit(rate))
 
-    if slots:
-        most = F.greatest(F.lit(0).cast("long"), *[F.col(f"__n{i}") for i in range(len(slots))])
-        first = _least(
-            [
-                F.when(
-                    (most > 0) & (F.col(f"__n{i}") == most),
-                    F.struct(F.col(f"__f{i}").alias("first"), F.lit(slot).alias("type")),
-                )
-                for i, slot in enumerate(slots)
-            ]
-        )
-        deciding = first["type"]
-    elif class_from == "window":
-        deciding = F.lit(None).cast("string")
+    if class_from == "window":
+        modes = window_mode.running_mode(
+            base.select(entity, "__t", order, "__type"), entity, "__t", order, F.col("__type"), params.window_us, "__mode"
+        ).dropDuplicates([entity, "__t", order])
+        right = modes.withColumnsRenamed({entity: "__m_entity", "__t": "__m_t", order: "__m_order"})
+        same = F.col(entity).eqNullSafe(F.col("__m_entity")) & (F.col("__t") == F.col("__m_t"))
+        out = out.join(right, same & F.col(order).eqNullSafe(F.col("__m_order")), "left")
+        deciding = F.col("__mode")
     else:
         deciding = F.upper(ptype)
     automated = F.coalesce(deciding.isin(*agents.RISK_AUTOMATION_TYPES), F.lit(False))

@@ -9,7 +9,7 @@ from auditweave.functions import events
 from auditweave.operators import features, identity, monitor, normalize, risk
 from auditweave.session import ship_by_value
 from auditweave.sources import sinks
-from auditweave.streaming import user_state
+from auditweave.streaming import state_log, user_state
 
 ship_by_value(user_state)
 
@@ -126,21 +126,12 @@ def new_alert_groups(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
 
 # ------------------------------------------------------------------ stitching
 
-_STATE_SCHEMAS = {
-    "identity": "key string, entity_id string",
-    "provenance": "created string, entity_id string",
-    "anchors": "entity_id string, ua_family string, ua_version string, proxy boolean, kind string, "
-    "source_ip string, founded_us long",
-    "activity": "entity_id string, start_us long, end_us long",
-    "clouds": "entity_id string, clouds array<string>",
-}
-
-
 class IdentityStream:
-    """Stitches and scores micro-batches; the state tables live in a shared folder.
+    """Stitches and scores micro-batches; the state is a log in a shared folder.
 
-    Version n of the state is what batch n read and version n + 1 what it wrote, so a
-    retried batch starts from the same tables and overwrites its own result.
+    Batch n reads the state before n and writes what it changed (``state_log``), so the
+    bytes written follow the batch, and a retried batch starts from the same tables and
+    overwrites its own result.
     """
 
     def __init__(
@@ -149,36 +140,28 @@ class IdentityStream:
         params: identity.StitchParams = identity.StitchParams(),
         risk_params: risk.RiskParams = risk.RiskParams(),
         max_idle_seconds: float | None = None,
+        fan: int = 4,
     ):
         self.path, self.params, self.risk_params = path, params, risk_params
         self.max_idle_seconds = max_idle_seconds
+        self.log = state_log.StateLog(f"{path}/state", state_log.IDENTITY_TABLES, fan)
 
     def state(self, spark: SparkSession, version: int) -> identity.StitchState | None:
-        if version <= 0:
-            return None
-        return identity.StitchState(
-            **{
-                name: spark.read.schema(schema).parquet(f"{self.path}/state/v={version}/{name}")
-                for name, schema in _STATE_SCHEMAS.items()
-            }
-        )
-
-    def save_state(self, state: identity.StitchState, version: int) -> None:
-        for name in _STATE_SCHEMAS:
-            getattr(state, name).write.mode("overwrite").parquet(
-                f"{self.path}/state/v={version}/{name}"
-            )
+        tables = self.log.read(spark, version)
+        return None if tables is None else identity.StitchState(**tables)
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
         """Function for ``foreachBatch``."""
         spark = batch.sparkSession
+        self.log.forget(spark, batch_id)
         state = self.state(spark, batch_id)
         resolved = identity.resolve_entities(batch, state, self.params)
         stitched = resolved.events
         prior = state.clouds if state is not None else None
         # Events of the last window before this batch still count into its risk.
         fresh = stitched.withColumn("__fresh", F.lit(True))
-        tail = f"{self.path}/state/v={batch_id}/tail"
+        tail = f"{self.path}/tail/v={batch_id}"
+        earlier = None
         if state is not None:
             earlier = spark.read.schema(stitched.schema).parquet(tail)
             fresh = fresh.unionByName(earlier.withColumn("__fresh", F.lit(False)))
@@ -192,16 +175,21 @@ class IdentityStream:
                         "cloud_span_count", "is_critical"),
             "entity_id", ["timestamp", "event_id"], f"{self.path}/risk_state", batch_id,
         )
-        newest = done.agg(F.max(events.micros(F.col("timestamp")))).scalar()
-        done.select(*stitched.columns).where(
-            events.micros(F.col("timestamp")) >= newest - self.risk_params.window_us
-        ).write.mode("overwrite").parquet(f"{self.path}/state/v={batch_id + 1}/tail")
-        after = identity.next_state(resolved, state, in_time_order=True)
-        if self.max_idle_seconds is not None:
-            now = done.agg(F.max(events.micros(F.col("timestamp")))).first()[0]
-            if now is not None:
-                after, _ = identity.purge(after, now, self.max_idle_seconds)
-        self.save_state(after, batch_id + 1)
+        recent = done.select(*stitched.columns)
+        if earlier is not None:  # a batch may be shorter than the window
+            recent = recent.unionByName(earlier)
+        at = events.micros(F.col("timestamp"))
+        newest = recent.agg(F.max(at)).first()[0]
+        window = F.lit(True) if newest is None else at >= newest - self.risk_params.window_us
+        recent.where(window).write.mode("overwrite").parquet(f"{self.path}/tail/v={batch_id + 1}")
+
+        written = identity.Resolution(done.select(*stitched.columns), resolved.nodes)
+        changes = identity.next_state(written, in_time_order=True)
+        gone = None
+        if self.max_idle_seconds is not None and newest is not None:
+            activity = changes.activity if state is None else changes.activity.unionByName(state.activity)
+            gone = identity.idle_entities(activity, newest, self.max_idle_seconds)
+        self.log.write(spark, batch_id, {name: getattr(changes, name) for name in state_log.IDENTITY_TABLES}, gone)
 
     def start(self, stream: DataFrame, checkpoint: str, **trigger):
         return stream.writeStream.foreachBatch(self.process).option(

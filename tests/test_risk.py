@@ -125,3 +125,66 @@ def test_window_class_counts_unlisted_types(spark):
     assert got[1]["principal_class"] == "human"
     got = run(spark, [event(0, 0, kind=None), event(1, 100, kind="")], class_from="window")
     assert [got[i]["principal_class"] for i in (0, 1)] == ["human", "human"]
+
+
+def crowd(seed, n=600):
+    rng = random.Random(seed)
+    data = []
+    for i in range(n):
+        entity = "hot" if rng.random() < 0.8 else f"e{rng.randrange(4)}"
+        data.append(event(i, round(rng.random() * 130, 1), rng.choice(["AWS", "AZURE", "GCP", None]), rng.random(),
+                          kind=rng.choice([f"T{rng.randrange(300)}", "IAMUser", "Role", None, ""]), ua=rng.choice(["Chrome", "curl"]), entity=entity))
+    return data
+
+
+def test_crowded_windows_in_parts_change_nothing(spark):
+    data = crowd(1)
+    plain, split = run(spark, data), run(spark, data, hot_rows=20, slice_us=7_000_000)
+    assert len(plain) == len(split) == len(data)
+    for i, row in plain.items():
+        for name in ("risk_intensity", "scaled_score", "window_events", "window_cloud_span_count", "cloud_span_count", "principal_class"):
+            assert split[i][name] == pytest.approx(row[name]) if isinstance(row[name], float) else split[i][name] == row[name]
+    frame = spark.createDataFrame(data, SCHEMA)
+    a, b = by(risk.active_window(frame, hot_rows=None)), by(risk.active_window(frame, hot_rows=20))
+    assert {i: (r["active_events"], r["window_start"]) for i, r in a.items()} == {i: (r["active_events"], r["window_start"]) for i, r in b.items()}
+
+
+def test_one_entity_in_one_minute_is_many_tasks(spark):
+    frame = spark.range(20_000).select(
+        F.col("id").cast("int").alias("event_id"), F.timestamp_micros(F.lit(1_780_000_000_000_000) + F.col("id") * 2_900).alias("timestamp"),
+        F.lit("hot").alias("entity_id"))
+    out = risk.active_window(frame, hot_rows=1_000)
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [r["n"] for r in out.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+        assert len(sizes) >= 8 and max(sizes) < 8_000
+        assert out.where(F.col("active_events") != F.least(F.col("event_id") + 1, F.lit(20_690))).isEmpty()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_class_from_window_equals_brute_force_for_many_types(spark):
+    for seed, hot_rows in ((2, 2_000_000), (3, 25)):
+        data = crowd(seed)
+        got = run(spark, data, class_from="window", hot_rows=hot_rows)
+        from auditweave.functions.agents import RISK_AUTOMATION_TYPES, RISK_AUTOMATION_HINTS
+
+        for e in data:
+            window = [o for o in data if o[2] == e[2] and (o[1], o[0]) <= (e[1], e[0]) and (e[1] - o[1]).total_seconds() <= 60]
+            first, counts = {}, {}
+            for o in sorted(window, key=lambda o: (o[1], o[0])):
+                if o[5]:
+                    kind = o[5].upper()
+                    counts[kind] = counts.get(kind, 0) + 1
+                    first.setdefault(kind, (o[1], o[0]))
+            deciding = min(counts, key=lambda k: (-counts[k], first[k])) if counts else None
+            hinted = any(h in o[6].lower() for o in window for h in RISK_AUTOMATION_HINTS)
+            assert got[e[0]]["principal_class"] == ("automation" if deciding in RISK_AUTOMATION_TYPES or hinted else "human"), e
+
+
+def test_thousands_of_types(spark):
+    data = [event(i, i * 0.01, kind=f"type{i}") for i in range(5_000)] + [event(9_000, 49.9, kind="Role"), event(9_001, 49.95, kind="Role")]
+    got = run(spark, data, class_from="window")
+    assert got[9_001]["principal_class"] == "automation" and got[4_989]["principal_class"] == "human" and len(got) == 5_002
