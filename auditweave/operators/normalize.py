@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import cache, lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame, Observation, functions as F
 
@@ -62,11 +62,21 @@ def detect_source(raw: Column) -> Column:
 class Record:
     """Reads one parsed record; tells missing, null and wrongly typed fields apart."""
 
-    def __init__(self, column: str = "__v"):
+    def __init__(self, column: Column):
         self.column = column
+        self.made: dict[tuple[str, str], Column] = {}
+
+    def get(self, path: str, kind: str) -> Column:
+        """The field as a value of a kind; asked for again, the same expression."""
+        if (path, kind) not in self.made:
+            self.made[path, kind] = self.find(path, kind)
+        return self.made[path, kind]
+
+    def find(self, path: str, kind: str) -> Column:
+        return F.try_variant_get(self.column, path, kind)
 
     def piece(self, path: str) -> Column:
-        return F.expr(f"try_variant_get({self.column}, '{path}', 'variant')")
+        return self.get(path, "variant")
 
     def missing(self, path: str) -> Column:
         return self.piece(path).isNull()
@@ -76,8 +86,9 @@ class Record:
 
     def text(self, path: str) -> Column:
         """Any scalar as text."""
-        return F.expr(f"try_variant_get({self.column}, '{path}', 'string')")
+        return self.get(path, "string")
 
+    @cache
     def string(self, path: str) -> Column:
         """Text only if the field holds a string."""
         return F.when(self.schema(path) == "STRING", self.text(path))
@@ -86,7 +97,7 @@ class Record:
         return F.when(self.missing(path), default).otherwise(self.string(path))
 
     def number(self, path: str) -> Column:
-        return F.expr(f"try_variant_get({self.column}, '{path}', 'double')")
+        return self.get(path, "double")
 
     def truthy(self, path: str, likely: str | None = None) -> Column:
         """Present and neither null, false, zero, nor empty.
@@ -102,8 +113,7 @@ class Record:
 
     def boolean(self, path: str) -> Column:
         """The value of a real JSON boolean, NULL for anything else."""
-        value = F.expr(f"try_variant_get({self.column}, '{path}', 'boolean')")
-        return F.when(self.schema(path) == "BOOLEAN", value)
+        return F.when(self.schema(path) == "BOOLEAN", self.get(path, "boolean"))
 
     def not_object(self, path: str, likely: str) -> Column:
         """Present but not an object; an existing ``likely`` member settles it early."""
@@ -112,6 +122,89 @@ class Record:
         )
 
 
+# Every field that the parsers read. Leaves keep their JSON type, so that text, number and null
+# stay apart; ``operationName`` and ``mfaDetail`` may be objects or not.
+TYPED = {
+    "eventID": None, "eventTime": None, "eventType": None, "eventName": None, "errorCode": None,
+    "errorMessage": None, "sourceIPAddress": None, "userAgent": None,
+    "userIdentity": {"type": None, "arn": None, "principalId": None, "userName": None},
+    "resources": [{"ARN": None}],
+    "additionalEventData": {"MFAUsed": None},
+    "requestParameters": {"userName": None},
+    "ml_labels": {"severity_score": None, "threat_category": None, "anomaly_flag": None},
+    "time": None, "category": None, "operationName": None, "resultType": None,
+    "properties": {
+        "id": None, "userPrincipalName": None, "servicePrincipalName": None, "appId": None, "userId": None,
+        "ipAddress": None, "userAgent": None, "mfaDetail": None, "deviceDetail": {"isCompliant": None},
+        "targetResources": [{"displayName": None, "id": None}],
+    },
+    "insertId": None, "timestamp": None,
+    "protoPayload": {
+        "methodName": None, "resourceName": None, "status": {"code": None}, "request": {"accountId": None},
+        "authenticationInfo": {"principalEmail": None, "principalSubject": None},
+        "requestMetadata": {"callerIp": None, "callerSuppliedUserAgent": None},
+    },
+}
+# Objects whose absence is fine but whose null is a wrong type; typed parsing does not tell these apart.
+_NULL_IS_WRONG = (
+    "userIdentity", "ml_labels", "properties", "protoPayload", "protoPayload.status",
+    "protoPayload.authenticationInfo", "protoPayload.requestMetadata",
+)
+
+
+def _ddl(fields) -> str:
+    if fields is None:
+        return "variant"
+    if isinstance(fields, list):
+        return f"array<{_ddl(fields[0])}>"
+    return "struct<" + ", ".join(f"`{name}`: {_ddl(inner)}" for name, inner in fields.items()) + ">"
+
+
+class TypedRecord(Record):
+    """The same questions to a record parsed with ``TYPED``: fields are looked up by position."""
+
+    def _at(self, path: str) -> tuple[Column, str, object]:
+        """(column, rest of the path, what the schema has there)."""
+        column, fields = self.column, TYPED
+        steps = path.removeprefix("$").replace("[", ".[").split(".")[1:]
+        for i, step in enumerate(steps):
+            if fields is None:
+                return column, "$" + "".join(s if s[0] == "[" else f".{s}" for s in steps[i:]), None
+            if step[0] == "[":
+                column, fields = F.get(column, F.lit(int(step[1:-1]))), fields[0]
+            else:
+                column, fields = column[step], fields[step]
+        return column, "$", fields
+
+    def find(self, path: str, kind: str) -> Column:
+        column, rest, fields = self._at(path)
+        if kind == "variant" and (fields is not None or rest == "$"):
+            return column
+        if fields is not None:
+            raise ValueError(f"{path} is not a leaf")
+        return F.try_variant_get(column, rest, kind)
+
+    def truthy(self, path: str, likely: str | None = None) -> Column:
+        column, _, fields = self._at(path)
+        if isinstance(fields, list):
+            return F.coalesce(F.size(column) > 0, F.lit(False))
+        return super().truthy(path, likely)
+
+    def not_object(self, path: str, likely: str) -> Column:
+        return F.lit(False)
+
+    @staticmethod
+    def unsure(typed: Column, raw: Column) -> Column:
+        """Records that the schema does not fit, or where a null object may be meant."""
+        odd = typed["_corrupt_record"].isNotNull()
+        for path in _NULL_IS_WRONG:
+            column = typed
+            for step in path.split("."):
+                column = column[step]
+            odd = odd | (column.isNull() & raw.contains(f'"{path.split(".")[-1]}"'))
+        return odd
+
+
 def _literal(text: str | None, kind: str = "string") -> Column:
     return F.lit(text).cast(kind)
 
@@ -268,35 +361,49 @@ def actor_name(r: Record, cloud: Column) -> Column:
 
 # -------------------------------------------------------------- the operators
 
+@lru_cache(maxsize=2)
+def _record(_jvm: int) -> tuple[Column, list[str]]:
+    """What is read of a record, and the names of the parsed fields.
+
+    Works on ``__s`` (typed), ``__v`` (variant), ``__raw`` and ``__cloud``. Some thousand
+    expressions, so a driver builds them once and not for every batch of a stream.
+    """
+    fields = []
+
+    def of(r: Record, cloud: Column) -> Column:
+        parsed = {"AWS": parse_aws(r), "AZURE": parse_azure(r), "GCP": parse_gcp(r)}
+        fields[:] = parsed["AWS"]
+        known = [(cloud == name, values) for name, values in parsed.items()]
+
+        def by_cloud(name: str) -> Column:
+            return reduce(lambda acc, item: acc.when(item[0], item[1][name]), known, F.when(F.lit(False), F.lit(None)))
+
+        return F.struct(
+            *[by_cloud(n).alias(n) for n in fields],
+            r.text("$.ml_labels.threat_category").alias("threat_category"),
+            r.missing("$.ml_labels.threat_category").alias("__no_category"),
+            r.number("$.ml_labels.severity_score").alias("severity_score"),
+            r.boolean("$.ml_labels.anomaly_flag").alias("anomaly_flag"),
+            actor_name(r, cloud).alias("gt_principal"),
+        )
+
+    # Records of the usual types are read from the typed parse, all others field by field. The
+    # rare branch is a lambda, which keeps it out of the generated code.
+    odd = F.col("__v").isNull() | TypedRecord.unsure(F.col("__s"), F.col("__raw"))
+    rare = events.let(F.struct("__v", "__cloud"), lambda x: of(Record(x["__v"]), x["__cloud"]))
+    return F.when(odd, rare).otherwise(of(TypedRecord(F.col("__s")), F.col("__cloud"))), fields
+
+
 def parse(df: DataFrame, raw_col: str = "raw", cloud_col: str | None = None) -> DataFrame:
     """One row per record: unified columns, labels, ground truth and ``error`` (NULL if good)."""
     cloud = F.upper(F.col(cloud_col)) if cloud_col else detect_source(F.col(raw_col))
-    base = df.withColumn("__cloud", cloud).withColumn("__v", F.try_parse_json(raw_col))
-    r = Record()
-    parsed = {"AWS": parse_aws(r), "AZURE": parse_azure(r), "GCP": parse_gcp(r)}
-
-    def by_cloud(name: str) -> Column:
-        return reduce(
-            lambda acc, item: acc.when(F.col("__cloud") == item[0], item[1][name]),
-            parsed.items(),
-            F.when(F.lit(False), F.lit(None)),
-        )
-
-    fields = list(parsed["AWS"])
+    typed = F.from_json(raw_col, _ddl(TYPED | {"_corrupt_record": None}).replace("`_corrupt_record`: variant", "`_corrupt_record`: string"))
+    base = df.select("*", cloud.alias("__cloud"), F.try_parse_json(raw_col).alias("__v"), typed.alias("__s"), F.col(raw_col).alias("__raw"))
     # Generated rows keep filters on the results from being rewritten into the parsing
     # expressions, which would then run once per reference.
-    record = F.struct(
-        *[by_cloud(n).alias(n) for n in fields],
-        r.text("$.ml_labels.threat_category").alias("threat_category"),
-        r.missing("$.ml_labels.threat_category").alias("__no_category"),
-        r.number("$.ml_labels.severity_score").alias("severity_score"),
-        r.boolean("$.ml_labels.anomaly_flag").alias("anomaly_flag"),
-        actor_name(r, F.col("__cloud")).alias("gt_principal"),
-        F.col("__v"),
-        F.col("__cloud"),
-    )
-    wide = base.select(*df.columns, F.explode(F.array(record)).alias("__r")).select(
-        *df.columns, "__r.*"
+    record, fields = _record(id(df.sparkSession._jvm))
+    wide = base.select(*df.columns, "__v", "__cloud", F.explode(F.array(record)).alias("__r")).select(
+        *df.columns, "__v", "__cloud", "__r.*"
     )
     ua = F.col("user_agent")
     wide = wide.select(
@@ -339,8 +446,15 @@ def parse(df: DataFrame, raw_col: str = "raw", cloud_col: str | None = None) ->
 def normalize(
     df: DataFrame, raw_col: str = "raw", cloud_col: str | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """(good events, dead letters). Dead letters are ``(error, raw_log)`` as text."""
-    parsed = parse(df, raw_col, cloud_col)
+    """(good events, dead letters). Dead letters are ``(error, raw_log)`` as text.
+
+    Each of the two runs the parse; keep ``parse`` and ``split`` it where both are written.
+    """
+    return split(parse(df, raw_col, cloud_col), raw_col)
+
+
+def split(parsed: DataFrame, raw_col: str = "raw") -> tuple[DataFrame, DataFrame]:
+    """Good events and dead letters of parsed records."""
     good = parsed.where(F.col("error").isNull()).drop("error", raw_col)
     dead = parsed.where(F.col("error").isNotNull()).select(
         "error", F.col(raw_col).alias("raw_log")

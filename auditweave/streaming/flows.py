@@ -47,13 +47,18 @@ def event_stream(spark: SparkSession, path: str, schema: str, max_files: int | N
 def write_normalized(stream: DataFrame, good_path: str, dead_path: str, checkpoint: str, **trigger):
     """Normalize with the batch operator and split good rows from dead letters per batch.
 
-    Both outputs carry the batch id and are overwritten by a retried batch.
+    A batch is parsed once and kept while both outputs are written; they carry the batch id
+    and are overwritten by a retried batch.
     """
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        good, dead = normalize.normalize(batch)
-        good.drop("raw_log").write.mode("overwrite").parquet(f"{good_path}/batch_id={batch_id}")
-        dead.write.mode("overwrite").json(f"{dead_path}/batch_id={batch_id}")
+        parsed = normalize.parse(batch).persist()
+        try:
+            good, dead = normalize.split(parsed)
+            good.drop("raw_log").write.mode("overwrite").parquet(f"{good_path}/batch_id={batch_id}")
+            dead.write.mode("overwrite").json(f"{dead_path}/batch_id={batch_id}")
+        finally:
+            parsed.unpersist()
 
     return stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(
         **(trigger or {"availableNow": True})

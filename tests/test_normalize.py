@@ -189,3 +189,35 @@ def test_nested_ranges_keep_one_row_per_event(spark):
         out = enrich.join_ip_ranges(frame, "ip", ranges, ["country"], max_broadcast=limit).collect()
         assert sorted((r["event_id"], r["country"]) for r in out) == [
             (0, "A"), (1, "B"), (2, "C"), (3, "C"), (4, None), (5, None)]
+
+
+def test_typed_parse_equals_field_by_field(spark, monkeypatch):
+    """Odd types, nulls, duplicates and trailing text must not depend on which way a record is read."""
+    import json
+
+    odd = [
+        AWS | {"userIdentity": None}, AWS | {"userIdentity": "x"}, AWS | {"userIdentity": {"type": 5, "arn": None}}, AWS | {"eventName": 7},
+        AWS | {"resources": []}, AWS | {"resources": {"ARN": "x"}}, AWS | {"resources": [None]}, AWS | {"resources": [{"ARN": 3}]},
+        AWS | {"errorCode": ""}, AWS | {"errorCode": {"a": 1}}, AWS | {"ml_labels": None}, AWS | {"ml_labels": {"severity_score": "3.5"}},
+        AWS | {"additionalEventData": None}, AWS | {"note": "\"properties\" and \"status\""}, AWS | {"sourceIPAddress": 12},
+        AZURE | {"properties": None}, AZURE | {"operationName": {"value": "Add user"}}, AZURE | {"operationName": {"other": 1}}, AZURE | {"operationName": None},
+        AZURE | {"properties": AZURE["properties"] | {"mfaDetail": {}}}, AZURE | {"properties": AZURE["properties"] | {"mfaDetail": {"x": 0}}},
+        AZURE | {"properties": AZURE["properties"] | {"targetResources": [{"displayName": "", "id": 4}]}},
+        AZURE | {"properties": AZURE["properties"] | {"deviceDetail": {"isCompliant": "true"}}},
+        GCP | {"protoPayload": GCP["protoPayload"] | {"status": None}}, GCP | {"protoPayload": GCP["protoPayload"] | {"status": {"code": "0"}}},
+        GCP | {"protoPayload": GCP["protoPayload"] | {"requestMetadata": [1]}}, GCP | {"protoPayload": None}, GCP | {"ml_labels": {"severity_score": None}},
+    ]
+    texts = [json.dumps(r) for r in odd] + [json.dumps(AWS) + " tail", json.dumps(AWS)[:-1] + ', "eventID": "twice"}', "[]", "", "null"]
+    frame = spark.createDataFrame([(t,) for t in texts], "raw string")
+    shown = [c for c in normalize.parse(frame).columns if c not in ("raw_log",)]
+
+    def run():
+        normalize._record.cache_clear()
+        return sorted(map(str, normalize.parse(frame).select(*shown).collect()))
+
+    typed = run()
+    monkeypatch.setattr(normalize.TypedRecord, "unsure", staticmethod(lambda t, raw: F.lit(True)))
+    try:
+        assert typed == run()
+    finally:
+        normalize._record.cache_clear()
