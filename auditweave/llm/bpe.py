@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import string
 import unicodedata
 from collections.abc import Iterator
 
@@ -23,7 +24,8 @@ from pyspark.sql import DataFrame, functions as F
 from auditweave.llm.common import BATCH_BYTES, free_name
 
 _BLANKS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-CACHE_ENTRIES = 150_000  # chunks, and as many words, of a task; about 250 bytes each
+# Entries that a task remembers, at about 250 bytes: chunks, and the words of mixed chunks.
+CHUNK_ENTRIES, WORD_ENTRIES = 230_000, 70_000
 _PLACE_BITS = 32  # of a queue entry; the rank is above
 _PLACE = (1 << _PLACE_BITS) - 1
 
@@ -38,7 +40,7 @@ def byte_symbols() -> list[str]:
 class WordBpe:
     """Encoder and decoder of one tokenizer file."""
 
-    def __init__(self, source: str, cache_entries: int = CACHE_ENTRIES) -> None:
+    def __init__(self, source: str) -> None:
         spec = json.loads(source)
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
@@ -50,7 +52,9 @@ class WordBpe:
         self.pattern = regex.compile(split["pattern"]["Regex"].replace(r"\s", _BLANKS))
         self.blank = regex.compile(f"[{_BLANKS}]+")
         self.marks = regex.compile("|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)))
-        self.symbols = str.maketrans({i: c for i, c in enumerate(byte_symbols())})
+        # the id of each byte inside a word, and at its end
+        self.inner = [self.vocab.get(c) for c in byte_symbols()]
+        self.last = [self.vocab.get(c + self.suffix) for c in byte_symbols()]
         self.merges: dict[tuple[int, int], tuple[int, int]] = {}
         for rank, pair in enumerate(model["merges"]):
             left, right = pair.split(" ") if isinstance(pair, str) else pair
@@ -61,55 +65,88 @@ class WordBpe:
             self.strings[i] = token
         self.words: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
-        self.cache_entries = cache_entries
+        # plain letters are one pre-token, so such a chunk is a word and needs no search
+        self.letters = self.pattern.findall(string.ascii_letters) == [string.ascii_letters]
 
     def merge(self, word: str) -> list[int]:
         """Ids of one pre-token: always merge the pair of lowest rank, leftmost first.
 
-        The queue holds rank and position as one number; an entry whose pair has changed
-        since it was queued is stale and skipped.
+        The queue holds rank and position as one number; an entry that is no longer the one
+        of its position is stale and skipped.
         """
-        symbols = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.symbols)
-        ids = [i for i in map(self.vocab.get, [*symbols[:-1], symbols[-1] + self.suffix]) if i is not None]
+        data = word.encode("utf-8", "surrogatepass")
+        inner = self.inner
+        ids = [inner[b] for b in data[:-1]]
+        ids.append(self.last[data[-1]])
+        if None in ids:
+            ids = [i for i in ids if i is not None]
         n, ranked = len(ids), self.merges.get
-        queue = [found[0] | at for at, pair in enumerate(zip(ids, ids[1:])) if (found := ranked(pair))]
+        pairs = list(map(ranked, zip(ids, ids[1:])))
+        queue = [found[0] | at for at, found in enumerate(pairs) if found]
         if not queue:
             return ids
-        heapq.heapify(queue)
+        if len(queue) == 1:
+            at = queue[0] & _PLACE
+            ids[at : at + 2] = [pairs[at][1]]
+            if n == 2 or not (at and ranked((ids[at - 1], ids[at])) or at < n - 2 and ranked((ids[at], ids[at + 1]))):
+                return ids
+            return self._merged(ids)
+        return self._run(ids, pairs, queue)
+
+    def _merged(self, ids: list[int]) -> list[int]:
+        pairs = list(map(self.merges.get, zip(ids, ids[1:])))
+        return self._run(ids, pairs, [found[0] | at for at, found in enumerate(pairs) if found])
+
+    def _run(self, ids: list[int], pairs: list, queue: list[int]) -> list[int]:
+        """Merge until the queue is empty; ``pairs`` has the rank and result of each position's pair."""
+        n, ranked, push, pop = len(ids), self.merges.get, heapq.heappush, heapq.heappop
+        pairs.append(None)
         after, before = [*range(1, n), -1], [*range(-1, n - 1)]
+        heapq.heapify(queue)
         while queue:
-            entry = heapq.heappop(queue)
+            entry = pop(queue)
             at = entry & _PLACE
-            right = after[at]
-            if right < 0:
-                continue
-            found = ranked((ids[at], ids[right]))
+            found = pairs[at]
             if not found or found[0] != entry - at:
                 continue
+            right = after[at]
             ids[at] = merged = found[1]
             ids[right] = -1
-            following, previous = after[right], before[at]
-            after[at], after[right] = following, -1
+            pairs[right] = None
+            after[at] = following = after[right]
             if following >= 0:
                 before[following] = at
-                if found := ranked((merged, ids[following])):
-                    heapq.heappush(queue, found[0] | at)
-            if previous >= 0 and (found := ranked((ids[previous], merged))):
-                heapq.heappush(queue, found[0] | previous)
+                pairs[at] = found = ranked((merged, ids[following]))
+                if found:
+                    push(queue, found[0] | at)
+            else:
+                pairs[at] = None
+            previous = before[at]
+            if previous >= 0:
+                pairs[previous] = found = ranked((ids[previous], merged))
+                if found:
+                    push(queue, found[0] | previous)
         return [i for i in ids if i >= 0]
 
     def word(self, word: str) -> bytes:
         """Ids of a pre-token as little-endian int32, remembered while there is room."""
+        if self.letters and word.isascii() and word.isalpha():
+            return self.chunks.get(word) or self.remembered(self.chunks, CHUNK_ENTRIES, word)
+        return self.remembered(self.words, WORD_ENTRIES, word)
+
+    def remembered(self, cache: dict[str, bytes], entries: int, word: str) -> bytes:
         found = np.array(self.merge(word), dtype="<i4").tobytes()
-        if len(self.words) < self.cache_entries and len(word) < 64:
-            self.words[word] = found
+        if len(cache) < entries and len(word) < 64:
+            cache[word] = found
         return found
 
     def chunk(self, piece: str) -> bytes:
         """Ids of a stretch without white space, which no pre-token crosses."""
+        if self.letters and piece.isascii() and piece.isalpha():
+            return self.remembered(self.chunks, CHUNK_ENTRIES, piece)
         get, word = self.words.get, self.word
         found = b"".join([get(w) or word(w) for w in self.pattern.findall(piece)])
-        if len(self.chunks) < self.cache_entries and len(piece) < 64:
+        if len(self.chunks) < CHUNK_ENTRIES and len(piece) < 64:
             self.chunks[piece] = found
         return found
 
