@@ -71,7 +71,7 @@ def balanced_weights(df: DataFrame, label: str) -> DataFrame:
 
 def background_sample(df: DataFrame, n: int = 100, seed: int = 42, row_id: str = "event_id") -> DataFrame:
     """n rows chosen by hash; a top-n, not a sort."""
-    return df.orderBy(F.xxhash64(row_id, F.lit(seed)), row_id).limit(n)
+    return df.orderBy(F.md5(F.concat_ws(":", F.col(row_id).cast("string"), F.lit(str(seed)))), row_id).limit(n)
 
 
 def background_medians(background: DataFrame, vector: str = "features") -> list[float]:

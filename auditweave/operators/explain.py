@@ -223,7 +223,10 @@ def faithfulness(
         shuffled = F.array_sort(
             F.transform(
                 "__others",
-                lambda i: F.struct(F.xxhash64(F.col(row_id), t, i, F.lit(seed)).alias("h"), i.alias("i")),
+                lambda i: F.struct(
+                    F.md5(F.concat_ws(":", *[c.cast("string") for c in (F.col(row_id), t, i, F.lit(seed))])).alias("h"),
+                    i.alias("i"),
+                ),
             )
         )
         return F.transform(F.slice(shuffled, F.lit(1), F.col("__k")), lambda s: s["i"])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from math import exp, lgamma, log, log1p
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql import types as T
@@ -13,7 +14,7 @@ from auditweave.session import cut_lineage, ship_by_value
 
 ship_by_value(forest_kernel)
 
-_SPACE = 2**31 - 1
+_SPACE = 2**53
 
 
 @dataclass
@@ -44,6 +45,20 @@ def _draw(*parts: Column) -> Column:
     return F.pmod(F.xxhash64(*parts), F.lit(_SPACE)) / float(_SPACE)
 
 
+def _number_of_trees(draw: Column, trees: int, chance: float) -> Column:
+    """How many of the trees take a row, if each does with ``chance``: binomial by inversion."""
+    if chance >= 1.0:
+        return F.lit(trees)
+    steps, total = [], 0.0
+    for k in range(trees):
+        ways = lgamma(trees + 1) - lgamma(k + 1) - lgamma(trees - k + 1)
+        total += exp(ways + k * log(chance) + (trees - k) * log1p(-chance))
+        steps.append(total)
+        if total >= 1.0 - 1e-15:
+            break
+    return F.size(F.filter(F.array(*[F.lit(s) for s in steps]), lambda s: s <= draw))
+
+
 def fit(
     df: DataFrame,
     columns: Sequence[str],
@@ -55,8 +70,9 @@ def fit(
 ) -> IsolationForest:
     """Each tree sees ``psi`` rows drawn by hash from the whole table.
 
-    The table is scanned twice (count, draw) and never shuffled; only drawn rows are. A tree
-    that got too few rows, which is unlikely, makes the draw start again with twice the chance.
+    The table is scanned twice (count, draw) and never shuffled; only drawn rows are. One hash
+    per row says how many trees take it; only rows that some tree takes are hashed per tree. A
+    tree that got too few rows, which is unlikely, makes the draw start again with twice the chance.
     """
     n = df.count()
     if n == 0:
@@ -65,15 +81,17 @@ def fit(
     rows = df.select(
         F.col(row_id).alias("row_id"), F.array(*[F.col(c).cast("double") for c in columns]).alias("x")
     )
-    draws = F.transform(
-        F.sequence(F.lit(0), F.lit(trees - 1)),
-        lambda tree: F.struct(tree.alias("tree"), _draw(F.col("row_id"), tree, F.lit(seed + 1)).alias("draw")),
+    draws = F.array_sort(
+        F.transform(
+            F.sequence(F.lit(0), F.lit(trees - 1)),
+            lambda tree: F.struct(F.xxhash64(F.col("row_id"), tree, F.lit(seed + 2)).alias("draw"), tree.alias("tree")),
+        )
     )
     ranked = Window.partitionBy("tree").orderBy("draw", "row_id")
     chance = 1.6 * psi / n + 30.0 / n
     while True:
-        taken = F.inline(F.filter(draws, lambda d: d["draw"] < chance))  # noqa: B023 (used at once)
-        drawn = rows.select("row_id", "x", taken)
+        counted = rows.withColumn("k", _number_of_trees(_draw(F.col("row_id"), F.lit(seed + 1)), trees, chance))
+        drawn = counted.where("k > 0").select("row_id", "x", F.inline(F.slice(draws, F.lit(1), F.col("k"))))
         samples = cut_lineage(drawn.withColumn("__r", F.row_number().over(ranked)).where(F.col("__r") <= psi))
         if chance >= 1.0 or samples.count() == psi * trees:
             break

@@ -91,7 +91,7 @@ _WINDOWED = (
 )
 
 
-def _matrix_sql(labeled: bool) -> str:
+def matrix_sql(labeled: bool) -> str:
     """The feature columns by name, from the row columns, the windows and the event itself."""
     wanted = ", ".join(
         {"action": "ev.action", "source_cloud": "ev.source_cloud"}.get(c, f"w.{c}" if c in _WINDOWED else f"r.{c}")
@@ -108,13 +108,13 @@ def _matrix(spark: SparkSession, sf_dir: str, labeled: bool) -> DataFrame:
     return x.withColumns({c: F.round(c, 6) for c in ("error_rate_5m", "read_vs_write_ratio")})
 
 
-@query("feature_matrix", _matrix_sql(labeled=False))
+@query("feature_matrix", matrix_sql(labeled=False))
 def feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X of unlabeled operation, 24 columns."""
     return _matrix(spark, sf_dir, labeled=False)
 
 
-@query("feature_matrix_labeled", _matrix_sql(labeled=True))
+@query("feature_matrix_labeled", matrix_sql(labeled=True))
 def feature_matrix_labeled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X with the four columns that only vary on labeled data, 28 columns."""
     return _matrix(spark, sf_dir, labeled=True)

@@ -5,11 +5,13 @@ Forests and attributions have no SQL counterpart; tests compare them with brute
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from auditweave.operators import boosting, classifier, explain, features, iforest, monitor
 from auditweave.plans.adapter import EV, audit_events
+from auditweave.plans.behaviour import matrix_sql
 from auditweave.plans.registry import query
 from auditweave.session import cut_lineage, spread
 
@@ -185,6 +187,82 @@ def stump_attributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_VOTES = f"""{_ROOTS}, med AS (SELECT f, median(v) AS m FROM rows WHERE event_id IN (
+      SELECT event_id FROM ev ORDER BY md5(event_id || ':42'), event_id LIMIT 100) GROUP BY f),
+  votes AS (SELECT event_id, class, stumps.f, CASE WHEN rows.v <= stumps.v THEN low ELSE high END AS m,
+      CASE WHEN med.m <= stumps.v THEN low ELSE high END AS without
+    FROM rows JOIN stumps ON rows.f = stumps.f JOIN med ON med.f = stumps.f),
+  probs AS (SELECT *, exp(m) / sum(exp(m)) OVER (PARTITION BY event_id) AS p FROM votes),
+  best AS (SELECT * FROM probs QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY p DESC, class) = 1)"""
+_GATE = f"""{_VOTES}, tries AS (SELECT event_id, class, round(p, 4) AS conf, 0 AS trial, f AS gone FROM best
+    UNION ALL (SELECT event_id, class, round(p, 4), t.trial, o.f FROM best, (SELECT unnest([1, 2, 3]) AS trial) t,
+      (SELECT unnest(range({len(_WHOLE)})) AS f) o WHERE o.f <> best.f
+      QUALIFY row_number() OVER (PARTITION BY event_id, t.trial ORDER BY md5(concat_ws(':', event_id, t.trial, o.f, 1337)), o.f) = 1)),
+  drops AS (SELECT t.event_id, any_value(t.class) AS class, t.trial, any_value(t.conf) - sum(CASE WHEN v.class = t.class
+        THEN exp(CASE WHEN v.f = t.gone THEN without ELSE m END) ELSE 0 END)
+      / sum(exp(CASE WHEN v.f = t.gone THEN without ELSE m END)) AS lost
+    FROM tries t JOIN votes v ON v.event_id = t.event_id GROUP BY t.event_id, t.trial),
+  gate AS (SELECT event_id, any_value(class) AS predicted_phase_index, max(lost) FILTER (WHERE trial = 0) AS attributed_drop,
+      avg(lost) FILTER (WHERE trial > 0) AS control_drop FROM drops GROUP BY event_id),
+  passed AS (SELECT *, attributed_drop >= 0.01 AND attributed_drop > control_drop AS passed_gate FROM gate)"""
+
+
+def _stump_model(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, classifier.PhaseModel]:
+    table = _whole_numbers(spark, sf_dir)
+    names = [r[0] for r in table.select("threat_category").distinct().orderBy("threat_category").collect()]
+    trees = boosting.fit(table, "label", classes=len(names), weight="weight", rounds=1, depth=1, bins=128)
+    encoder = PipelineModel([VectorAssembler(inputCols=list(_WHOLE), outputCol="features")])
+    background = cut_lineage(classifier.background_sample(table.select("event_id", "features")))
+    return table.drop("features"), classifier.PhaseModel(encoder, trees, names, list(_WHOLE), background)
+
+
+@query(
+    "stump_phase_scores",
+    f"""{_VOTES} SELECT b.event_id, c.threat_category AS predicted_phase, b.class AS predicted_phase_index,
+      round(b.p, 4) AS phase_confidence, round(1 - n.p, 4) AS anomaly_score
+    FROM best b JOIN c ON c.y = b.class JOIN probs n ON n.event_id = b.event_id
+      JOIN c normal ON normal.y = n.class AND normal.threat_category = 'Normal'""",
+)
+def stump_phase_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phase, confidence and attack score under trees that SQL can fit as well."""
+    table, model = _stump_model(spark, sf_dir)
+    return classifier.score_phase(table, model).select(
+        "event_id", "predicted_phase", "predicted_phase_index", "phase_confidence", "anomaly_score"
+    )
+
+
+def _stump_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table, model = _stump_model(spark, sf_dir)
+    alerts = cut_lineage(explain.attribute(classifier.score_phase(table, model), model, k=1))
+    return explain.faithfulness(alerts, model, delta=0.01)
+
+
+@query(
+    "stump_faithfulness",
+    f"""{_GATE} SELECT event_id, predicted_phase_index, round(attributed_drop, 5) AS attributed_drop,
+      round(control_drop, 5) AS control_drop, passed_gate FROM passed""",
+)
+def stump_faithfulness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The deletion test with its seeded control sets."""
+    return _stump_gate(spark, sf_dir).select(
+        "event_id", "predicted_phase_index", F.round("attributed_drop", 5).alias("attributed_drop"),
+        F.round("control_drop", 5).alias("control_drop"), "passed_gate",
+    )
+
+
+@query(
+    "stump_routing",
+    f"""{_GATE} SELECT event_id, CASE WHEN passed_gate THEN 'ledger' ELSE 'review' END AS target,
+      CASE WHEN passed_gate THEN 'explained' ELSE '{explain.MANUAL_REVIEW}' END AS narrative FROM passed""",
+)
+def stump_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each alert goes after the gate."""
+    ledger, review = explain.route(_stump_gate(spark, sf_dir), F.lit("explained"))
+    return ledger.select("event_id", F.lit("ledger").alias("target"), "narrative").unionByName(
+        review.select("event_id", F.lit("review").alias("target"), "narrative")
+    )
+
+
 def _explained(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, classifier.PhaseModel]:
     table = feature_table(spark, sf_dir)
     model = _phase_model(table)
@@ -224,12 +302,27 @@ def gate_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("background_medians")
+def _medians_sql() -> str:
+    columns = features.feature_columns(True)
+    codes = ", ".join(
+        f"dense_rank() OVER (ORDER BY {c}) - 1 AS {c}" if c in features.CATEGORICAL else c for c in columns
+    )
+    parts = " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, round(CAST(median({c}) AS DOUBLE), 4) AS median FROM s" for c in columns
+    )
+    return (
+        f"WITH m AS ({matrix_sql(labeled=True)}), e AS (SELECT event_id, {codes} FROM m), "
+        f"s AS (SELECT * FROM e ORDER BY md5(event_id || ':42'), event_id LIMIT 100) {parts}"
+    )
+
+
+@query("background_medians", _medians_sql())
 def background_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Median of every encoded feature over the background rows."""
     table = feature_table(spark, sf_dir)
     encoder = features.fit_encoder(table, labeled=True)
     encoded = features.encode(encoder, table).select("event_id", "features")
     medians = classifier.background_medians(classifier.background_sample(encoded))
     return spark.createDataFrame(
         list(zip(features.feature_columns(True), medians, strict=True)), "feature string, median double"
-    )
+    ).withColumn("median", F.round("median", 4))
