@@ -2,18 +2,20 @@
 
 1. Of every 25 consecutive positions the one whose next 26 words hash lowest is kept, so
    any 50 words that two texts share hold a common kept position.
-2. Kept suffixes are sorted by their first 26 words, then their first 50, then by document
-   and position (a range sort, so a passage in a third of all documents spreads over many
-   tasks). Neighbours with equal beginnings are compared: each links to the first of its
-   run, the first of each run to the first suffix that begins with the same 26 words. Where
-   three or more suffixes begin alike, every stretch of 50 words around each of them links
-   to the first document that has it.
-3. Links on one diagonal merge to stretches; both texts are read again around a stretch,
-   it is checked and extended word by word to the left and to the right.
+2. Kept suffixes are sorted by their first 26 words, then by document and position (a range
+   sort, so a passage in a third of all documents spreads over many tasks), and neighbours
+   are compared.
+3. Where two suffixes begin alike, the later is linked to the earlier. Links on one diagonal
+   merge to stretches; both texts are read again around a stretch, it is checked and
+   extended word by word to the left and to the right.
+4. Where three or more begin alike (a crowd), pairs would grow with the square. All stretches
+   of 50 words around each of them, which reach as far as a match could be extended, are
+   compared with the first document that has the same; repeated ones that follow each other
+   and go on in the same source are one passage. That is linear in the crowd.
 
 A result row says that words [start_word, end_word) of a document repeat those of an
 earlier one (smaller ``doc_id``); the earliest copy is not reported. A text that equals an
-earlier document's is one row over all its words.
+earlier document's is one row over all its words. No row lies inside another of its document.
 
 Words are runs without white space, compared exactly. Defined cases: texts under
 ``min_words`` words, null texts, rows without ``doc_id`` and rows whose id stands for
@@ -30,11 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from auditweave.llm.common import batches_of, probably_listed, rows_of, slim, stored, without
-from auditweave.llm.words import Reader
+from auditweave.llm.words import Reader, mix
 
 MIN_WORDS = 50
 _WORD = r"[^\x20\x09-\x0D]+"
-_LINK, _HEAD, _EDGE, _CROWD = 0, 1, 2, 3
+_SECOND = np.uint64(0x9E3779B97F4A7C15)  # makes another hash of the same words
+# A stretch of words is common if more rows than this, and than this share of all, have it.
+COMMON_ROWS, COMMON_SHARE = 1_000, 50_000
 
 
 def _widths(min_words: int) -> tuple[int, int]:
@@ -66,9 +70,9 @@ def _identities(docs: DataFrame, min_words: int) -> DataFrame:
 
 
 def _suffixes(docs: DataFrame, min_words: int) -> DataFrame:
-    """(beginning, more, doc, pos): hashes of the first words of each kept suffix."""
+    """(beginning, doc, pos): hash of the first words of each kept suffix."""
     gram, window = _widths(min_words)
-    names = ["beginning", "more", "doc", "pos"]
+    names = ["beginning", "doc", "pos"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(lower=False)
@@ -84,11 +88,7 @@ def _suffixes(docs: DataFrame, min_words: int) -> DataFrame:
             at = kept_positions(hashes, window)
             if not len(at):
                 continue
-            long = reader.stretches(words, min_words)
-            more = np.zeros(len(at), dtype=np.int32)
-            whole = at < len(long)
-            more[whole] = (long[at[whole]] >> np.uint64(33)).astype(np.int32) + 1
-            held.append((hashes[at].view(np.int64), more, np.full(len(at), doc, dtype=np.int64), at.astype(np.int32)))
+            held.append((hashes[at].view(np.int64), np.full(len(at), doc, dtype=np.int64), at.astype(np.int32)))
             size += len(at)
             if size > 50_000:
                 yield batch()
@@ -96,149 +96,143 @@ def _suffixes(docs: DataFrame, min_words: int) -> DataFrame:
         if held:
             yield batch()
 
-    return docs.mapInArrow(run, "beginning long, more int, doc long, pos int")
+    return docs.mapInArrow(run, "beginning long, doc long, pos int")
 
 
-class _Crowds:
-    """Rows of one partition, sorted by beginning, that are in a crowd; ``held`` are undecided."""
+class _Sorted:
+    """Sorted suffixes of one partition, told apart into pairs and crowds of equal beginning.
+
+    ``held`` are the rows of the last beginning while they are fewer than three. The first
+    and the last beginning of a partition may go on in others, so they count as crowds.
+    """
 
     def __init__(self) -> None:
         self.held: list[np.ndarray] = []
-        self.last: int | None = None  # the last beginning, if its rows are given out at once
+        self.last: int | None = None  # the last beginning, if it is a crowd already
         self.begun = False
 
-    def of(self, *columns: np.ndarray) -> list[np.ndarray]:
+    def of(self, *columns: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """(doc, pos, to_doc, to_pos) of pairs, and (doc, pos) of crowds."""
         if self.held:
             columns = tuple(np.concatenate(c) for c in zip(self.held, columns))
-        begin = columns[0]
+        begin, doc, pos = columns
         starts = np.flatnonzero(np.append(True, begin[1:] != begin[:-1]))
-        sizes = np.diff(np.append(starts, len(begin)))
-        crowd = sizes >= 3
-        crowd[0] |= not self.begun or (self.last is not None and begin[0] == self.last)
+        ends = np.append(starts[1:], len(begin))
+        sizes = ends - starts
+        open_ = np.zeros(len(starts), dtype=bool)
+        open_[0] = not self.begun or begin[0] == self.last
+        crowd = (sizes >= 3) | open_
+        open_[-1] = True
+        # a beginning of one document alone repeats nothing
+        alone = ~open_ & (doc[starts] == doc[ends - 1])
         self.begun = True
         self.last = int(begin[-1]) if crowd[-1] else None
         self.held = [] if crowd[-1] else [c[starts[-1] :] for c in columns]
-        rows = np.repeat(crowd, sizes)
-        return [c[rows] for c in columns]
+        first = starts[(sizes == 2) & ~crowd & ~alone & ~open_]
+        rows = np.repeat(crowd & ~alone, sizes)
+        return [doc[first + 1], pos[first + 1], doc[first], pos[first]], [doc[rows], pos[rows]]
 
 
 def _neighbours(suffixes: DataFrame) -> DataFrame:
-    """Compare sorted suffixes: links to the first of a run, the runs' first rows, and crowds.
-
-    The first run of a partition may have begun in the one before and its last may go on,
-    so their first rows are marked as edges. A crowd is three or more suffixes that begin
-    alike; for the same reason the first and the last beginning of a partition count as one.
-    """
-    names = ["kind", "beginning", "more", "doc", "pos", "to_doc", "to_pos"]
-    order = ["beginning", "more", "doc", "pos"]
+    """Compare sorted suffixes: links of pairs, and rows of crowds, which have no ``to_doc``."""
+    names = ["doc", "pos", "to_doc", "to_pos"]
+    order = ["beginning", "doc", "pos"]
     ranged = suffixes.repartitionByRange(*order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting = None  # the first row of the last run and whether it is wanted already
-        opened = False
-        crowd = _Crowds()
+        seen = _Sorted()
 
-        kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32()]
-
-        def batch(rows):
-            columns = list(zip(*rows)) if rows else [[] for _ in names]
-            return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, kinds)], names=names)
-
-        def crowded(rows):
-            n = len(rows[0]) if rows else 0
-            if n:
-                own = [pa.array(c, type=t) for c, t in zip((np.full(n, _CROWD), *rows), kinds)]
-                yield pa.RecordBatch.from_arrays([*own, *[pa.nulls(n, t) for t in kinds[5:]]], names=names)
+        def crowded(doc, pos):
+            n = len(doc)
+            return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(pos), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())], names=names)
 
         for part in batches:
-            if not part.num_rows:
-                continue
-            begin, more, doc, pos = (c.to_numpy(zero_copy_only=False) for c in part.columns)
-            yield from crowded(crowd.of(begin, more, doc, pos))
-            n = len(begin)
-            starts = np.ones(n, dtype=bool)
-            starts[1:] = (begin[1:] != begin[:-1]) | (more[1:] != more[:-1])
-            if waiting:
-                starts[0] = begin[0] != waiting[0] or more[0] != waiting[1]
-            at = np.flatnonzero(starts)
-            heads = []
-            if waiting and len(at):
-                same = begin[at[0]] == waiting[0]
-                if waiting[4] or same:
-                    heads.append((_EDGE if waiting[5] else _HEAD, *waiting[:4], None, None))
-            first = np.maximum.accumulate(np.where(starts, np.arange(n), -1))
-            to_doc = np.where(first >= 0, doc[first], waiting[2] if waiting else 0)
-            to_pos = np.where(first >= 0, pos[first], waiting[3] if waiting else 0)
-            linked = np.flatnonzero(~starts & (doc > to_doc))
-            if len(linked):
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(len(linked), _LINK, dtype=np.int32)),
-                        *[pa.array(c[linked]) for c in (begin, more, doc, pos)],
-                        pa.array(to_doc[linked]), pa.array(to_pos[linked].astype(np.int32)),
-                    ],
-                    names=names,
-                )
-            if len(at):
-                own = begin[at]
-                before = np.empty(len(at), dtype=bool)
-                before[1:] = own[1:] == own[:-1]
-                before[0] = bool(waiting) and waiting[0] == own[0]
-                after = np.zeros(len(at), dtype=bool)
-                after[:-1] = before[1:]
-                wanted = before | after
-                edge = not opened
-                opened = True
-                for x in np.flatnonzero(wanted[:-1] | (np.arange(len(at) - 1) == 0) & edge):
-                    i = at[x]
-                    heads.append((_EDGE if edge and x == 0 else _HEAD, int(begin[i]), int(more[i]), int(doc[i]), int(pos[i]), None, None))
-                i = at[-1]
-                only = edge and len(at) == 1
-                waiting = (int(begin[i]), int(more[i]), int(doc[i]), int(pos[i]), bool(before[-1]) or only, only)
-            if heads:
-                yield batch(heads)
-        if waiting:
-            yield batch([(_EDGE, *waiting[:4], None, None)])
-        yield from crowded(crowd.held)
-
-    return ranged.mapInArrow(run, "kind int, beginning long, more int, doc long, pos int, to_doc long, to_pos int")
-
-
-def _to_first(heads: DataFrame, by: list[str]) -> DataFrame:
-    """Links from run heads to the earliest head with the same ``by``; minima are aggregated first."""
-    least = heads.groupBy(*by).agg(F.min(F.struct("doc", "pos")).alias("least"))
-    return (
-        heads.select(*by, "doc", "pos").join(least, by).where(F.col("doc") > F.col("least.doc"))
-        .select("doc", "pos", F.col("least.doc").alias("to_doc"), F.col("least.pos").alias("to_pos"))
-    )
+            if part.num_rows:
+                pairs, crowds = seen.of(*[c.to_numpy(zero_copy_only=False) for c in part.columns])
+                if len(pairs[0]):
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in pairs], names=names)
+                if len(crowds[0]):
+                    yield crowded(*crowds)
+        if seen.held:
+            yield crowded(*seen.held[1:])
 
+    return ranged.mapInArrow(run, "doc long, pos int, to_doc long, to_pos int")
 
-def _by_window(docs: DataFrame, crowd: DataFrame, min_words: int) -> DataFrame:
-    """Links for suffixes of which three or more begin alike; the earliest may not share most.
 
-    Every stretch of ``min_words`` words around each of them is hashed and linked to the
-    earliest document that has it. Of two suffixes alike one links to the other already.
-    """
+def _windows(docs: DataFrame, crowd: DataFrame, min_words: int) -> DataFrame:
+    """(around, check, doc, pos): every stretch of ``min_words`` words around the crowds' suffixes."""
     gram, _ = _widths(min_words)
     asked = stored(crowd.groupBy("doc").agg(F.collect_list("pos").alias("asked")), "crowded")
     texts = probably_listed(docs, F.col("doc_id"), asked, "doc").dropDuplicates(["doc_id"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(lower=False)
-        names = ["around", "doc", "pos"]
+        names = ["around", "check", "doc", "pos"]
         for doc, text, places in rows_of(batches, ["doc_id", "text", "asked"]):
             words = reader.words((text or "").encode("utf-8", "surrogatepass"))[2]
             hashes = reader.stretches(words, min_words)
             near = np.array(places)[:, None] - np.arange(min_words - gram + 1)
             at = np.unique(near[(near >= 0) & (near < len(hashes))])
             if len(at):
+                check = reader.stretches(mix(words ^ _SECOND), min_words)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(hashes[at].view(np.int64)), pa.array(np.full(len(at), doc, dtype=np.int64)), pa.array(at.astype(np.int32))],
+                    [
+                        pa.array(hashes[at].view(np.int64)), pa.array(check[at].view(np.int64)),
+                        pa.array(np.full(len(at), doc, dtype=np.int64)), pa.array(at.astype(np.int32)),
+                    ],
                     names=names,
                 )
 
     found = texts.join(asked, texts["doc_id"] == asked["doc"]).select("doc_id", "text", "asked")
-    return _to_first(stored(found.mapInArrow(run, "around long, doc long, pos int"), "windows"), ["around"])
+    return found.mapInArrow(run, "around long, check long, doc long, pos int")
+
+
+def _crowd_passages(windows: DataFrame, min_words: int) -> DataFrame:
+    """Passages from stored windows: each repeated one goes to the first document that has it.
+
+    The first places of common windows, at most ``COMMON_SHARE`` of them, are broadcast;
+    those of the others are joined by a shuffle in which no key has many rows.
+    """
+    key = ["around", "check"]
+    common = max(COMMON_ROWS, windows.count() // COMMON_SHARE)
+    places = windows.groupBy(*key).agg(
+        F.min(F.struct("doc", "pos")).alias("least"), F.max("doc").alias("last"), F.count(F.lit(1)).alias("n")
+    )
+    repeated = stored(
+        places.where(F.col("last") > F.col("least.doc"))
+        .select(*key, F.col("least.doc").alias("to_doc"), F.col("least.pos").alias("to_pos"), "n"),
+        "repeated",
+    )
+    often = F.broadcast(repeated.where(F.col("n") > common).drop("n"))
+    others = windows.join(often.select(*key), key, "left_anti").join(repeated.where(F.col("n") <= common).drop("n"), key)
+    found = (
+        windows.join(often, key).unionByName(others).where(F.col("doc") > F.col("to_doc"))
+        .select("doc", "pos", "to_doc", (F.col("pos") - F.col("to_pos")).alias("shift"))
+    )
+    order = Window.partitionBy("doc").orderBy("pos")
+    follows = (
+        (F.lag("pos").over(order) == F.col("pos") - 1)
+        & (F.lag("to_doc").over(order) == F.col("to_doc"))
+        & (F.lag("shift").over(order) == F.col("shift"))
+    )
+    numbered = found.withColumn("new", (~F.coalesce(follows, F.lit(False))).cast("int")).withColumn("run", F.sum("new").over(order))
+    runs = numbered.groupBy("doc", "run").agg(
+        F.min("pos").cast("long").alias("start_word"), (F.max("pos") + min_words).cast("long").alias("end_word"),
+        F.min("to_doc").alias("source_doc_id"), F.min("shift").alias("shift"),
+    )
+    return runs.select(
+        F.col("doc").alias("doc_id"), "start_word", "end_word", "source_doc_id",
+        (F.col("start_word") - F.col("shift")).alias("source_word"),
+    )
+
+
+def _outermost(passages: DataFrame) -> DataFrame:
+    """Rows that lie in no other row of their document; of equal stretches the earliest source."""
+    order = Window.partitionBy("doc_id").orderBy("start_word", F.desc("end_word"), "source_doc_id", "source_word")
+    reached = F.max("end_word").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    return passages.withColumn("__reached", reached).where(
+        F.col("__reached").isNull() | (F.col("end_word") > F.col("__reached"))
+    ).drop("__reached")
 
 
 def _stretches(links: DataFrame, gram: int) -> DataFrame:
@@ -327,13 +321,8 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     others = source.select("doc_id").where(F.col("doc_id").isNotNull()).join(leading, "doc_id", "left_anti").distinct()
     unique = without(source.where(F.col("doc_id").isNotNull()), F.col("doc_id"), stored(others, "others"), "doc_id")
     seen = stored(_neighbours(stored(_suffixes(unique, min_words), "suffixes")), "neighbours")
-    heads, edges = seen.where(F.col("kind").isin(_HEAD, _EDGE)), seen.where(F.col("kind") == _EDGE)
-    links = (
-        seen.where(F.col("kind") == _LINK).select("doc", "pos", "to_doc", "to_pos")
-        .union(_to_first(heads, ["beginning"])).union(_to_first(edges, ["beginning", "more"]))
-        .union(_by_window(unique, seen.where(F.col("kind") == _CROWD), min_words))
-        .distinct()
-    )
+    links = seen.where(F.col("to_doc").isNotNull())
+    windows = stored(_windows(unique, seen.where(F.col("to_doc").isNull()), min_words), "windows")
     stretches = stored(_stretches(links, gram), "stretches")
     wanted = stored(
         stretches.select("doc", "start", "end")
@@ -342,12 +331,12 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
         "wanted",
     )
     contexts = stored(_contexts(unique, wanted, min_words + 1), "contexts")
-    found = _extended(stretches, contexts, min_words)
+    found = _outermost(_extended(stretches, contexts, min_words).union(_crowd_passages(windows, min_words)))
     whole = copies.select(
         "doc_id", F.lit(0).cast("long").alias("start_word"), F.col("n_words").cast("long").alias("end_word"),
         F.col("first").alias("source_doc_id"), F.lit(0).cast("long").alias("source_word"),
     )
-    return found.union(whole).distinct()
+    return found.union(whole)
 
 
 def remove_passages(docs: DataFrame, passages: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str | None = None) -> DataFrame:

@@ -123,6 +123,25 @@ def test_passages_of_edited_copies(spark):
     assert got == wanted
 
 
+def test_a_passage_in_many_documents(spark, monkeypatch):
+    # 2,000 documents share 60 words between four left and four right contexts and words of their own
+    monkeypatch.setattr(suffixes, "COMMON_ROWS", 100)
+    shared, rows = [f"p{i}" for i in range(60)], []
+    for at in range(2_000):
+        left, right = [f"l{at % 4}x{i}" for i in range(20)], [f"r{at // 4 % 4}x{i}" for i in range(20)]
+        own = [f"own{at}x{i}" for i in range(5)]
+        rows.append((at, " ".join([*own, *left, *shared, *right, *own])))
+    found = suffixes.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(found) <= 3 * len(rows)
+    texts, got = {i: t.split() for i, t in rows}, defaultdict(set)
+    for r in found:
+        n = r.end_word - r.start_word
+        assert n >= 50 and r.source_doc_id < r.doc_id
+        assert texts[r.doc_id][r.start_word : r.end_word] == texts[r.source_doc_id][r.source_word : r.source_word + n]
+        got[r.doc_id].update(range(r.start_word, r.end_word))
+    assert 0 not in got and got[1] == set(range(25, 105)) and all(got[at] == set(range(5, 105)) for at in range(16, 2_000))
+
+
 def test_encoding_equals_the_library(stages):
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     library.no_truncation()
