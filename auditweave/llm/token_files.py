@@ -29,15 +29,19 @@ STRIPE_BYTES = 64 << 20
 ROW_GROUP = 10_000
 CACHE_ENTRIES = 800_000  # of a Python worker, at about 250 bytes
 _SPACE = "\u0120"  # how byte-level vocabularies write the space
+_MARKS = ".,;:!?%$"  # marks that end words
+_LETTERS = r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+"  # letters in every version of the character tables
 _SCHEMA = "doc_id long, part int, before long, ids array<int>"
 
 
 class ChunkEncoder:
-    """Encodes with the tokenizers library, each distinct chunk of a task once.
+    """Encodes with the tokenizers library, each distinct word of a task once.
 
     A byte-level pre-token never reaches past the boundary between a character and a
     single space after it, so a text may be cut there: every chunk but the first begins
-    with its space. Chunks are encoded by the library in batches and remembered.
+    with its space. Where a chunk is words with marks, on one line or two, those are
+    pre-tokens of their own (tried on the tokenizer first). What is left is encoded by the
+    library, many at once, and remembered.
     """
 
     def __init__(self, source: str, cache_entries: int = CACHE_ENTRIES) -> None:
@@ -51,46 +55,75 @@ class ChunkEncoder:
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.opens = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.opens[[i for token, i in vocab.items() if token.startswith(_SPACE)]] = True
-        self.cache: dict[str, bytes] = {}
         self.cache_entries = cache_entries
         self.loose = re.compile(r"\s ")
         self.cut = re.compile(r"(?<=\S) ")
+        self.parts = re.compile(rf"({_LETTERS})([{_MARKS}]*)(?:(\n)({_LETTERS})([{_MARKS}]*))?").fullmatch
+        parts = [piece for piece, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(f" ab{_MARKS}\ncd")]
+        self.units = parts == [f"{_SPACE}ab", _MARKS, "\u010a", "cd"]
+        self.forget()
+
+    def forget(self) -> None:
+        self.cache: dict[str, bytes] = {}  # ids of chunks, named without their space
+        self.bare: dict[str, bytes] = {"": b""}  # ids of marks, and of words that begin a line
 
     def library(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<i4").tobytes() for e in found]
 
-    def learn(self, chunks: list[str]) -> None:
+    def spaced(self, chunks: list[str]) -> None:
         """Encode chunks side by side; a token that begins with the space begins a chunk."""
-        for at in range(0, len(chunks), 8_192):
-            new = chunks[at : at + 8_192]
+        for at in range(0, len(chunks), 256):
+            new = chunks[at : at + 256]
             ids = np.frombuffer(self.library([" " + " ".join(new)])[0], dtype="<i4")
-            data, starts = ids.tobytes(), np.flatnonzero(self.opens[ids]) * 4
+            data, starts = ids.tobytes(), (np.flatnonzero(self.opens[ids]) * 4).tolist()
             if len(starts) != len(new):
                 raise ValueError("the vocabulary lets a token reach past a space")
-            ends = [*starts[1:].tolist(), len(data)]
-            self.cache.update((c, data[a:b]) for c, a, b in zip(new, starts.tolist(), ends))
+            self.cache.update((c, data[a:b]) for c, a, b in zip(new, starts, [*starts[1:], len(data)]))
+
+    def learn(self, chunks: list[str]) -> None:
+        """Encode chunks without spaces, word by word where a chunk has several."""
+        cache, bare, parts = self.cache, self.bare, self.parts
+        composed, words, others = [], set(), set()
+        for chunk in chunks:
+            found = None if chunk.isalpha() or not self.units else parts(chunk)
+            if found:
+                composed.append(chunk)
+                words.add(found[1])
+                others.update(found.groups("")[1:])
+            else:
+                words.add(chunk)
+        self.spaced(list(words.difference(cache)))
+        others = list(others.difference(bare))
+        bare.update(zip(others, self.library(others)))
+        for chunk in composed:
+            first, marks, feed, second, more = parts(chunk).groups("")
+            cache[chunk] = cache[first] + bare[marks] + bare[feed] + bare[second] + bare[more]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts as little-endian int32."""
-        if len(self.cache) > self.cache_entries:
-            self.cache.clear()
-        split, whole = [], []
+        if len(self.cache) + len(self.bare) > self.cache_entries:
+            self.forget()
+        heads, chunks, ends, whole = [], [], [0], []
         for at, text in enumerate(texts):
+            pieces = [""]
             if any(token in text for token in self.special):
                 whole.append(at)
-                split.append([])
             elif self.loose.search(text) or text[:1].isspace():
-                split.append(self.cut.split(text))
+                pieces = self.cut.split(text)
             else:
-                split.append(text.split(" "))
-        cache, get = self.cache, self.cache.get
-        missing = set().union(*[pieces[1:] for pieces in split]).difference(cache)
-        several = [c for c in missing if " " in c or not c]
-        cache.update(zip(several, self.library([f" {c}" for c in several])))
-        self.learn([c for c in missing if c and " " not in c])
-        heads = self.library([pieces[0] if pieces else "" for pieces in split])
-        out = [head + b"".join(map(get, pieces[1:])) for head, pieces in zip(heads, split)]
+                pieces = text.split(" ")
+            heads.append(pieces[0])
+            chunks += pieces[1:]
+            ends.append(len(chunks))
+        found = list(map(self.cache.get, chunks))
+        missing = {c for c, ids in zip(chunks, found) if ids is None}
+        if missing:
+            several = [c for c in missing if " " in c or not c]
+            self.cache.update(zip(several, self.library([f" {c}" for c in several])))
+            self.learn([c for c in missing if c and " " not in c])
+            found = [self.cache[c] if ids is None else ids for c, ids in zip(chunks, found)]
+        out = [head + b"".join(found[a:b]) for head, a, b in zip(self.library(heads), ends, ends[1:])]
         if whole:
             for at, ids in zip(whole, self.library([texts[at] for at in whole])):
                 out[at] = ids
