@@ -18,7 +18,8 @@ never a row per pair.
 Defined cases: null and empty texts have no shingles and are linked with nothing; a text
 with fewer words than a shingle is one shingle. Rows without ``doc_id`` are linked and
 never become the id of a component (a component of only such rows has none and keeps all).
-Rows that repeat an id are separate texts under that id.
+Rows that repeat an id are separate texts under that id. Texts are told apart by 128 bits of
+hash: where two share the first 64, both get new keys from all of them.
 """
 
 from __future__ import annotations
@@ -47,6 +48,13 @@ def text_key(text: Column, seed: int) -> Column:
     return F.xxhash64(F.lit(seed), text)
 
 
+def _told_apart(rows: DataFrame, clash: DataFrame, level: int) -> DataFrame:
+    """Rows whose ``key`` is listed get another, from both of their hashes."""
+    listed = clash.select("key", F.lit(True).alias("__clash"))
+    other = F.when(F.col("__clash"), F.xxhash64(F.lit(level), "key", "check")).otherwise(F.col("key"))
+    return rows.join(listed, "key", "left").withColumn("key", other).select(*rows.columns)
+
+
 def band_rows(similarity: float, registers: int = REGISTERS) -> int:
     """Most registers per band with which a pair at the threshold is missed with at most ``MISSED``."""
     fits = [r for r in range(1, 33) if (1.0 - similarity**r) ** (registers // r) <= MISSED]
@@ -221,15 +229,20 @@ def near_duplicates(
 ) -> DataFrame:
     """Components of texts with ``denominator * |A & B| >= numerator * |A | B|``.
 
-    One row per input row: ``doc_id``, ``key`` (hash of the text), ``n_shingles``,
+    One row per input row: ``doc_id``, ``check`` (hash of the text), ``n_shingles``,
     ``component_id`` (smallest id reachable) and ``kept``.
     """
     similarity = numerator / denominator
     source = slim(docs, doc_id=doc_id, text=text)
     signed = stored(sketches(source, words, seed, numerator, denominator), "sketches")
-    clash = signed.groupBy("key").agg(F.min("check").alias("lo"), F.max("check").alias("hi")).where("lo != hi")
-    if not clash.isEmpty():
-        raise ValueError("two texts share a 64-bit hash; call again with another seed")
+    clashes: list[DataFrame] = []
+    while True:
+        clash = signed.groupBy("key").agg(F.min("check").alias("lo"), F.max("check").alias("hi")).where("lo != hi")
+        if clash.isEmpty():
+            break
+        # some texts in 10^10 share a 64-bit hash; the second hash makes their keys differ
+        clashes.append(stored(clash.select("key"), "clashes"))
+        signed = stored(_told_apart(signed, clashes[-1], len(clashes)), "sketches")
 
     rows = buckets(signed, band_rows(similarity))
     several = rows.groupBy("bucket").agg(F.min("key").alias("pivot"), F.max("key").alias("__hi")).where("pivot != __hi")
@@ -239,7 +252,9 @@ def near_duplicates(
         probably_listed(signed.select("key", F.col("n_shingles").alias("n"), "registers"), F.col("key"), wanted, "key")
         .groupBy("key").agg(F.first("n").alias("n"), F.first("registers").alias("registers"))
     )
-    keyed = source.select(text_key(F.col("text"), seed).alias("key"), "text")
+    keyed = source.select(text_key(F.col("text"), seed).alias("key"), text_key(F.col("text"), seed + 1).alias("check"), "text")
+    for level, clash in enumerate(clashes, 1):
+        keyed = _told_apart(keyed, clash, level)
     texts = stored(
         probably_listed(keyed, F.col("key"), wanted, "key")
         .groupBy("key").agg(F.first("text").alias("text"))
@@ -262,11 +277,11 @@ def near_duplicates(
 
     group = F.when(F.col("n_shingles") > 0, F.coalesce("label", "key"))
     placed = signed.join(labels.withColumnRenamed("node", "key"), "key", "left").select(
-        "doc_id", "key", "n_shingles", group.alias("group")
+        "doc_id", "check", "n_shingles", group.alias("group")
     )
     first = placed.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("least"))
     return placed.join(first, "group", "left").select(
-        "doc_id", "key", "n_shingles",
+        "doc_id", "check", "n_shingles",
         F.when(F.col("group").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"),
     ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
@@ -277,6 +292,6 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     The rows to drop are known by id and text; only rows that may be among them move.
     """
     found = near_duplicates(docs, doc_id, text, seed=seed, **settings)
-    mark = lambda key: F.xxhash64(F.col(f"`{doc_id}`"), key)
-    gone = found.where(~F.col("kept")).select(F.xxhash64("doc_id", "key").alias("gone"))
-    return without(docs, mark(text_key(F.col(f"`{text}`"), seed)), stored(gone, "gone"), "gone")
+    check = text_key(F.col(f"`{text}`"), seed + 1)
+    gone = found.where(~F.col("kept")).select(F.struct("doc_id", "check").alias("gone"))
+    return without(docs, F.struct(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), check.alias("check")), stored(gone, "gone"), "gone")
