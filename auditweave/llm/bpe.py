@@ -5,7 +5,8 @@ normalizers NFC, white-space replacement and lower case, and a split by pattern.
 text travels with the tasks (its size is that of the vocabulary).
 
 Defined cases: null and empty texts have no ids and decode to "". Special tokens written
-out in a text become their ids, as in the library's default.
+out in a text become their ids, as in the library's default. A column of ``df`` with the name
+of an output is replaced by it (names are compared as Spark does, without case).
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import heapq
 import json
 import string
 import unicodedata
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from auditweave.llm.common import BATCH_BYTES, free_name
+from auditweave.llm.common import BATCH_BYTES, free_name, kept_beside, kept_in_worker
 
 _BLANKS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 # Entries that a task remembers, at about 250 bytes: chunks, and the words of mixed chunks.
@@ -195,15 +197,16 @@ def encode(
     second Python worker beside the one that encodes.
     """
     source = _source(path)
-    kept = df.columns if keep is None else keep
-    names = [*kept, output, *([decoded] if decoded else [])]
+    outputs = [output, *([decoded] if decoded else [])]
+    kept = kept_beside(df.columns if keep is None else keep, *outputs)
+    names = [*kept, *outputs]
     body = free_name(names, "__text")
     rows = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias(body))
     added = [F.array(F.lit(0)).alias(output), *([F.lit("").alias(decoded)] if decoded else [])]
     schema = df.select(*[F.col(f"`{c}`") for c in kept], *added).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = WordBpe(source)
+        bpe = kept_in_worker(f"bpe_{zlib.crc32(source.encode())}", lambda: WordBpe(source))
         for whole in batches:
             for batch in _pieces(whole):
                 found = [bpe.encode(t or "") for t in batch.column(len(kept)).to_pylist()]
@@ -220,13 +223,13 @@ def encode(
 def decode(df: DataFrame, path: str, ids: str = "ids", output: str = "decoded", keep: list[str] | None = None) -> DataFrame:
     """Add the text that the ids of each row stand for; null ids give an empty text."""
     source = _source(path)
-    kept = df.columns if keep is None else keep
+    kept = kept_beside(df.columns if keep is None else keep, output)
     body = free_name([*kept, output], "__ids")
     rows = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{ids}`").cast("array<int>").alias(body))
     schema = df.select(*[F.col(f"`{c}`") for c in kept], F.lit("").alias(output)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = WordBpe(source)
+        bpe = kept_in_worker(f"bpe_{zlib.crc32(source.encode())}", lambda: WordBpe(source))
         for whole in batches:
             for batch in _pieces(whole):
                 lists = batch.column(len(kept))

@@ -54,6 +54,12 @@ def free_name(taken: Iterable[str], wanted: str) -> str:
     return wanted
 
 
+def kept_beside(columns: Iterable[str], *outputs: str) -> list[str]:
+    """The columns that stay when columns of these names are added: an output replaces its namesake."""
+    added = {c.lower() for c in outputs}
+    return [c for c in columns if c.lower() not in added]
+
+
 def slim(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, under fixed names; other columns cannot clash."""
     return df.select(*[F.col(f"`{source}`").alias(name) for name, source in columns.items()])

@@ -23,7 +23,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from auditweave.llm.common import free_name, slim, stored
+from auditweave.llm.common import free_name, kept_beside, slim, stored
 from auditweave.session import broadcast_if_small
 
 WEIGHTS = (1.0, 2.0, 3.0)
@@ -198,7 +198,11 @@ class Mix:
         self.goals, self.blocks, self.shards, self.seed = goals, blocks, shards, seed
 
     def copies(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", shard: str = "shard") -> DataFrame:
-        """One row of ``docs`` per taken copy, with its ``shard``; sources are joined, texts dealt once."""
+        """One row of ``docs`` per taken copy, with its ``shard``; sources are joined, texts dealt once.
+
+        A column that is named like ``shard`` is replaced by it.
+        """
+        kept = kept_beside(docs.columns, shard)
         goal = self.goals.select(*[F.col(c).alias(f"__{c}") for c in ("source", "number", "full_epochs", "upto", "bits")])
         place = _order(F.col(f"`{doc_id}`"), F.col(f"`{source}`"), F.col(f"`{text}`"), self.seed)
         placed = docs.join(broadcast_if_small(goal), F.col(f"`{source}`").eqNullSafe(F.col("__source")))
@@ -209,8 +213,10 @@ class Mix:
         rows = placed.withColumn("__epoch", F.explode(epochs)).withColumn(
             "__copy", F.expr("shiftleft(cast(__epoch as bigint), __bits)") + block
         )
-        dealt = self.blocks.select(F.col("number").alias("__number"), F.col("copy").alias("__copy"), F.col("shard").alias(shard))
-        return rows.join(broadcast_if_small(dealt), ["__number", "__copy"]).select(*[f"`{c}`" for c in docs.columns], shard, "__epoch", "__place")
+        dealt = self.blocks.select(F.col("number").alias("__number"), F.col("copy").alias("__copy"), F.col("shard").alias("__dealt"))
+        return rows.join(broadcast_if_small(dealt), ["__number", "__copy"]).select(
+            *[f"`{c}`" for c in kept], F.col("__dealt").alias(shard), "__epoch", "__place"
+        )
 
     def write_order(self, copies: DataFrame, shard: str = "shard") -> DataFrame:
         """Copies by shard, shuffled inside each: one shard lies in one partition."""

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from auditweave.llm.common import BATCH_BYTES, free_name, slim
+from auditweave.llm.common import BATCH_BYTES, free_name, kept_beside, slim
 from auditweave.llm.words import Reader
 
 PASSAGE_WORDS, SAMPLE, SAMPLE_PASSAGES, CUT = 128, 6_000, 64, 0.3
@@ -202,8 +202,11 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
 
 def score(docs: DataFrame, net: AttentionNet, text: str = "text", output: str = "score", keep: list[str] | None = None) -> DataFrame:
-    """``docs`` (or the columns in ``keep``) with the score of each whole text."""
-    kept = docs.columns if keep is None else keep
+    """``docs`` (or the columns in ``keep``) with the score of each whole text.
+
+    A column that is named like ``output`` is replaced by it.
+    """
+    kept = kept_beside(docs.columns if keep is None else keep, output)
     body = free_name([*kept, output], "__text")
     rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias(body))
     schema = docs.select(*[F.col(f"`{c}`") for c in kept], F.lit(0.0).alias(output)).schema

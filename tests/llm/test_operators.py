@@ -144,3 +144,30 @@ def test_near_duplicates_of_few_shingles(spark):
                 both = len(np.intersect1d(a, b))
                 if len(b) and 100 * both >= share * (len(a) + len(b) - both):
                     assert np.intersect1d(near_dedup.exact_keys(a, share, 100), near_dedup.exact_keys(b, share, 100)).size
+
+
+def test_texts_of_equal_hash(spark, docs, monkeypatch):
+    wanted = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in near_dedup.near_duplicates(docs, words=3).collect())
+    kept = sorted(r.doc_id or 0 for r in near_dedup.drop_near_duplicates(docs).collect())
+    real = near_dedup.text_key
+    monkeypatch.setattr(near_dedup, "text_key", lambda text, seed: F.lit(7).cast("long") if seed == 1 else real(text, seed))
+    got = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in near_dedup.near_duplicates(docs, words=3).collect())
+    assert got == wanted
+    assert sorted(r.doc_id or 0 for r in near_dedup.drop_near_duplicates(docs).collect()) == kept
+
+
+def test_outputs_replace_their_namesakes(docs):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain = {(r.doc_id, r.text): (r.ids, r.decoded) for r in bpe.encode(docs, path, decoded="decoded").collect()}
+    taken = docs.withColumnsRenamed({"key": "IDS", "size": "decoded"})
+    again = bpe.encode(taken, path, decoded="decoded")
+    assert [c.lower() for c in again.columns].count("ids") == 1 and again.columns.count("decoded") == 1
+    assert {(r.doc_id, r.text): (r.ids, r.decoded) for r in again.collect()} == plain
+    back = bpe.decode(again, path)
+    assert {(r.doc_id, r.text): r.decoded for r in back.collect()} == {k: v[1] for k, v in plain.items()}
+    net = quality.AttentionNet(20)
+    scored = quality.score(docs.withColumnRenamed("key", "Score"), net)
+    assert {(r.doc_id, r.score) for r in scored.collect()} == {(r.doc_id, r.score) for r in quality.score(docs, net).collect()}
+    plan = mixing.plan_mix(mixing.sizes_of(docs))
+    copies = plan.copies(docs.withColumnRenamed("key", "shard"))
+    assert copies.columns.count("shard") == 1 and copies.count() == plan.copies(docs).count()
