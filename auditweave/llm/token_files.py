@@ -2,8 +2,8 @@
 
 Documents are dealt out by ranges of ``doc_id`` and written in ascending order, so a file
 holds one range, a stripe or row group can be skipped by its statistics, and the Bloom
-filter answers point lookups. Stripes are read in parallel. Each row carries the number of
-ids before it within its file's range; the offset of a range is the sum of those before.
+filter answers point lookups. Stripes are read in parallel. Each row carries its number of
+ids and that of those before it within its file's range; the offset of a range is the sum of those before.
 
 Defined cases: null and empty texts have the end id alone; rows without ``doc_id`` come
 first; rows of equal id are ordered by text. Special tokens written out in a text become
@@ -31,7 +31,7 @@ CACHE_ENTRIES = 800_000  # of a Python worker, at about 250 bytes
 _SPACE = "\u0120"  # how byte-level vocabularies write the space
 _MARKS = ".,;:!?%$"  # marks that end words
 _LETTERS = r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+"  # letters in every version of the character tables
-_SCHEMA = "doc_id long, part int, before long, ids array<int>"
+_SCHEMA = "doc_id long, part int, before long, n int, ids array<int>"
 
 
 class ChunkEncoder:
@@ -56,7 +56,8 @@ class ChunkEncoder:
         self.opens = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.opens[[i for token, i in vocab.items() if token.startswith(_SPACE)]] = True
         self.cache_entries = cache_entries
-        self.loose = re.compile(r"\s ")
+        self.loose = re.compile(r"\s ").search
+        self.blanks = [f"{c} " for c in map(chr, range(128)) if c.isspace()]
         self.cut = re.compile(r"(?<=\S) ")
         self.parts = re.compile(rf"({_LETTERS})([{_MARKS}]*)(?:(\n)({_LETTERS})([{_MARKS}]*))?").fullmatch
         parts = [piece for piece, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(f" ab{_MARKS}\ncd")]
@@ -109,7 +110,7 @@ class ChunkEncoder:
             pieces = [""]
             if any(token in text for token in self.special):
                 whole.append(at)
-            elif self.loose.search(text) or text[:1].isspace():
+            elif text[:1].isspace() or (any(b in text for b in self.blanks) if text.isascii() else self.loose(text)):
                 pieces = self.cut.split(text)
             else:
                 pieces = text.split(" ")
@@ -117,12 +118,14 @@ class ChunkEncoder:
             chunks += pieces[1:]
             ends.append(len(chunks))
         found = list(map(self.cache.get, chunks))
-        missing = {c for c, ids in zip(chunks, found) if ids is None}
-        if missing:
+        unknown = [i for i, ids in enumerate(found) if ids is None]
+        if unknown:
+            missing = {chunks[i] for i in unknown}
             several = [c for c in missing if " " in c or not c]
             self.cache.update(zip(several, self.library([f" {c}" for c in several])))
             self.learn([c for c in missing if c and " " not in c])
-            found = [self.cache[c] if ids is None else ids for c, ids in zip(chunks, found)]
+            for i in unknown:
+                found[i] = self.cache[chunks[i]]
         out = [head + b"".join(found[a:b]) for head, a, b in zip(self.library(heads), ends, ends[1:])]
         if whole:
             for at, ids in zip(whole, self.library([texts[at] for at in whole])):
@@ -152,9 +155,10 @@ def write(
                 )
                 parts = pa.array(np.full(len(found), part, dtype=np.int32))
                 starts = pa.array(ends[:-1].astype(np.int64) + before)
+                counts = pa.array(np.diff(ends).astype(np.int32))
                 before += int(ends[-1])
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), parts, starts, ids], names=["doc_id", "part", "before", "ids"]
+                    [rows.column(0), parts, starts, counts, ids], names=["doc_id", "part", "before", "n", "ids"]
                 )
 
     ranged = slim(docs, doc_id=doc_id, text=text).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
@@ -177,7 +181,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     one number per range of the writer.
     """
     files = spark.read.schema(_SCHEMA).orc(path)
-    totals = files.groupBy("part").agg(F.max(F.col("before") + F.size("ids")).alias("n"))
+    totals = files.groupBy("part").agg(F.max(F.col("before") + F.col("n")).alias("n"))
     order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("part", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("offset"))
     return files.join(F.broadcast(offsets), "part").select(
