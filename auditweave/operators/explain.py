@@ -231,10 +231,11 @@ def faithfulness(
         )
         return F.transform(F.slice(shuffled, F.lit(1), F.col("__k")), lambda s: s["i"])
 
-    variants = ready.withColumn(
-        "__trial", F.explode(F.sequence(F.lit(0), F.lit(trials)))
-    ).withColumn(
-        "__gone", F.when(F.col("__trial") == 0, F.col("__named")).otherwise(control(F.col("__trial")))
+    # The sets leave a generator, which evaluates them once: as a plain column they would move
+    # into the lambda below and be drawn again for every feature.
+    sets = F.array("__named", *[control(F.lit(t)) for t in range(1, trials + 1)])
+    variants = ready.select(
+        row_id, "__class", "__conf", "__k", "__x", F.posexplode(sets).alias("__trial", "__gone")
     )
     kept = F.transform(
         "__x",

@@ -131,6 +131,12 @@ def test_gate_passes_for_drivers_and_fails_closed(alerts, model):
     assert {r["narrative"] for r in review.collect()} <= {explain.MANUAL_REVIEW}
 
 
+def test_control_sets_are_drawn_once_per_trial(alerts, model):
+    plan = explain.faithfulness(alerts, model)._jdf.queryExecution().optimizedPlan().toString()
+    drawing = [line for line in plan.splitlines() if "md5(" in line]
+    assert drawing and all("Generate" in line for line in drawing)
+
+
 def test_signature_ignores_order_and_buckets_confidence(spark):
     frame = spark.sql(
         """SELECT 'P' AS predicted_phase, map('a', 1, 'b', 2) AS attributions, 0.94D AS phase_confidence
