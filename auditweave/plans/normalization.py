@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from auditweave.functions import events, net
 from auditweave.operators import enrich, normalize
@@ -346,7 +346,7 @@ _AFTER_ALL = 4_000_000_000_000_000  # microseconds, later than any event; exact
 def merge_sources_by_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three providers' records in one event-time order; positions show that order.
 
-    Records whose time cannot be read come last, by their ids.
+    Records of one time follow by their ids, and so do those whose time cannot be read, at the end.
     """
     from auditweave.operators import ordered
 
@@ -362,4 +362,7 @@ def merge_sources_by_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     per_time = at.groupBy("at").agg(F.sum("one").alias("n"))
     before = ordered.global_prefix(per_time, "at", {"upto": "n"})
     placed = at.join(before.withColumnRenamed("at", "__at"), F.col("at") == F.col("__at"))
-    return placed.select("event_id", F.col("upto").cast("long").alias("position"))
+    among_ties = F.row_number().over(Window.partitionBy("at").orderBy("event_id"))
+    return placed.select(
+        "event_id", (F.col("upto") - F.col("n") + among_ties).cast("long").alias("position")
+    )

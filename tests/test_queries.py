@@ -35,3 +35,12 @@ def test_rows_match(spark, db, sf_dir, name):
 def test_entry(spark):
     assert entry_module.entry(spark).count() > 0
     assert set(ORACLES) <= set(QUERIES)
+
+
+def test_merged_sources_keep_the_order_of_ids_within_a_time(spark, tmp_path, sf_dir):
+    once = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id < 50")
+    once.unionByName(once.withColumn("event_id", once["event_id"] + 1000)).write.parquet(f"{tmp_path}/events.parquet")
+    events = duckdb.connect()
+    events.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    got = QUERIES["merge_sources_by_time"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(events.execute(ORACLES["merge_sources_by_time"]).fetchall())
