@@ -21,7 +21,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 from pyspark.sql import types as T
 
-from auditweave.session import broadcast_if_small, cut_lineage
+from auditweave.session import broadcast_if_small, cut_lineage, tasks_for
 
 HOT_ROWS = 2_000_000
 SLICE_US = 60 * 1_000_000
@@ -34,14 +34,18 @@ _FIRST = Window.unboundedPreceding
 
 @dataclass(frozen=True)
 class Sliced:
-    """Rows with key, hot flag and slice number; ``any_hot`` tells if slicing happened."""
+    """Rows with key, hot flag and slice number; ``any_hot`` tells if slicing happened.
+
+    ``n_rows`` is how many there are, or None if they were not counted.
+    """
 
     df: DataFrame
     any_hot: bool
     slice_us: int
+    n_rows: int | None = None
 
     def with_rows(self, df: DataFrame) -> Sliced:
-        return Sliced(df, self.any_hot, self.slice_us)
+        return Sliced(df, self.any_hot, self.slice_us, self.n_rows)
 
     def plain(self) -> DataFrame:
         return self.df.drop(KEY, HOT, SLICE)
@@ -66,33 +70,46 @@ def with_slices(
     ``hot_rows=None`` skips the count for input known to have no hot key.
     """
     keyed = df.withColumn(KEY, _key_column(df, keys))
-    hot = None if hot_rows is None else _hot_keys(keyed, hot_rows)
+    n_rows, hot = (None, None) if hot_rows is None else _hot_keys(keyed, hot_rows)
     if hot is None:
         return Sliced(
-            keyed.withColumns({HOT: F.lit(False), SLICE: F.lit(0).cast("long")}), False, slice_us
+            keyed.withColumns({HOT: F.lit(False), SLICE: F.lit(0).cast("long")}), False, slice_us, n_rows
         )
     flagged = (
         keyed.join(hot, KEY, "left")
         .withColumn(HOT, F.coalesce(F.col(HOT), F.lit(False)))
         .withColumn(SLICE, slice_of(F.col(at), slice_us))
     )
-    return Sliced(flagged, True, slice_us)
+    return Sliced(flagged, True, slice_us, n_rows)
 
 
-def _hot_keys(keyed: DataFrame, hot_rows: int) -> DataFrame | None:
-    """Keys with more rows than ``hot_rows``, or None. A short list becomes a literal table."""
-    hot = (
-        keyed.groupBy(KEY)
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .where(F.col("__n") > hot_rows)
-        .select(KEY, F.lit(True).alias(HOT))
-    )
-    found = hot.limit(SHORT_LIST + 1).collect()
-    if not found:
-        return None
-    if len(found) <= SHORT_LIST:
-        return F.broadcast(keyed.sparkSession.createDataFrame(found, hot.schema))
-    return broadcast_if_small(cut_lineage(hot))
+def _hot_keys(keyed: DataFrame, hot_rows: int) -> tuple[int, DataFrame | None]:
+    """Number of rows, and the keys with more rows than ``hot_rows`` or None.
+
+    A short list becomes a literal table.
+    """
+    counted = keyed.groupBy(KEY).agg(F.count(F.lit(1)).alias("__n"))
+    is_hot = F.col("__n") > hot_rows
+    n_rows, n_hot = counted.agg(F.coalesce(F.sum("__n"), F.lit(0)), F.count_if(is_hot)).first()
+    hot = counted.where(is_hot).select(KEY, F.lit(True).alias(HOT))
+    if not n_hot:
+        return n_rows, None
+    if n_hot <= SHORT_LIST:
+        return n_rows, F.broadcast(keyed.sparkSession.createDataFrame(hot.collect(), hot.schema))
+    return n_rows, broadcast_if_small(cut_lineage(hot))
+
+
+def by_key(sliced: Sliced, rows: DataFrame) -> DataFrame:
+    """Shuffle by key (and slice) into as many tasks as the rows need.
+
+    Partitions of a fixed number, or of a fixed size in compressed bytes, would let the
+    sorts of a task grow with the table.
+    """
+    keys = [KEY, SLICE] if sliced.any_hot else [KEY]
+    tasks = tasks_for(sliced.n_rows or 0, rows.sparkSession)
+    if tasks > rows.sparkSession.sparkContext.defaultParallelism:
+        return rows.repartition(tasks, *keys)
+    return rows.repartition(*keys)
 
 
 def slice_of(at: Column, slice_us: int) -> Column:
@@ -236,7 +253,7 @@ def mark_first(
             ),
             allowMissingColumns=True,
         )
-    rows = rows.repartition(KEY, SLICE) if sliced.any_hot else rows.repartition(KEY)
+    rows = by_key(sliced, rows)
     for name, columns in flags.items():
         window = (
             Window.partitionBy(KEY, SLICE, *columns)

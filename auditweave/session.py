@@ -11,6 +11,7 @@ from pyspark import cloudpickle, inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 BROADCAST_ROWS = 1_000_000
+TASK_ROWS = 50_000
 
 
 def build_session(app: str = "auditweave", master: str | None = None, **conf) -> SparkSession:
@@ -69,13 +70,19 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     return df
 
 
+def tasks_for(n_rows: int, spark: SparkSession) -> int:
+    """Every core, and so many tasks that none has more than ``TASK_ROWS`` rows on average."""
+    return max(spark.sparkContext.defaultParallelism, -(-n_rows // TASK_ROWS))
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores when a stored table has fewer partitions than there are.
+    """Use all cores, and tasks that do not grow with the table, for costly work on each row.
 
-    Only for tables that are read or checkpointed: asking a planned query for its
-    partitions would run its shuffles. Large tables pass through unchanged.
+    Parts of a stored file follow its size and its row groups, so a few of them can hold
+    all rows. Only for tables that are read or checkpointed: they are counted, and asking a
+    planned query for its partitions would run its shuffles.
     """
-    wanted = df.sparkSession.sparkContext.defaultParallelism
+    wanted = tasks_for(df.count(), df.sparkSession)
     if df.rdd.getNumPartitions() < wanted:
         return df.repartition(wanted)
     return df

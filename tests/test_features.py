@@ -6,6 +6,7 @@ import pytest
 from helpers import at, by, rows
 from pyspark.sql import functions as F
 
+from auditweave import session
 from auditweave.operators import features, ordered
 from auditweave.plans.adapter import audit_events
 
@@ -137,3 +138,14 @@ def test_export(spark, tmp_path):
                              str(tmp_path / "x"), str(tmp_path / "y"))
     assert spark.read.option("header", True).csv(str(tmp_path / "x")).count() == 10
     assert rows(spark.read.option("header", True).csv(str(tmp_path / "y")))[0]["severity"] == "1"
+
+
+def test_tasks_of_a_large_table_keep_their_size(spark, monkeypatch):
+    frame = spark.range(900).selectExpr("id AS event_id", "concat('u', id % 40) AS user_id", "id * 1000000 AS at", "id % 7 AS v")
+    def marked():
+        return ordered.mark_first(ordered.with_slices(frame, ["user_id"], "at"), "at", ["event_id"], {"new": ["v"]}).df
+    small = {r["event_id"]: r["new"] for r in marked().collect()}
+    monkeypatch.setattr(session, "TASK_ROWS", 30)
+    assert marked().rdd.getNumPartitions() == 30
+    assert {r["event_id"]: r["new"] for r in marked().collect()} == small
+    assert session.spread(frame).rdd.getNumPartitions() == 30
