@@ -141,21 +141,20 @@ def attribute(
 
     ``orders`` asks for sampled impacts along so many orders instead of exact ones.
     """
+    def entry(impact: Column, i: Column) -> Column:
+        return F.struct((-F.abs(impact)).alias("o"), i.alias("i"), impact.alias("impact"))
+
     if orders is None:
+        # the impacts of an event are one array already: nothing is exploded or shuffled to rank them
         impacts = exact_shapley(alerts, model, row_id=row_id).select(
-            row_id, F.posexplode("impacts").alias("feature", "impact")
+            row_id, F.transform("impacts", entry).alias("__all")
         )
     else:
-        impacts = shapley(alerts, model, orders=orders, seed=seed, row_id=row_id)
-    names = F.array(*[F.lit(c) for c in model.feature_columns])
-    ranked = F.array_sort(
-        F.collect_list(
-            F.struct(
-                (-F.abs(F.col("impact"))).alias("o"), F.col("feature").alias("i"), F.col("impact")
-            )
+        impacts = shapley(alerts, model, orders=orders, seed=seed, row_id=row_id).groupBy(row_id).agg(
+            F.collect_list(entry(F.col("impact"), F.col("feature"))).alias("__all")
         )
-    )
-    top = impacts.groupBy(row_id).agg(F.slice(ranked, 1, k).alias("__top"))
+    names = F.array(*[F.lit(c) for c in model.feature_columns])
+    top = impacts.select(row_id, F.slice(F.sort_array("__all"), 1, k).alias("__top"))
     present = [c for c in model.feature_columns if c in alerts.columns]
     raw = F.create_map(
         *[v for c in present for v in (F.lit(c), F.col(c).cast("string"))]
@@ -200,7 +199,7 @@ def faithfulness(
             {"attributed_drop": F.lit(None).cast("double"), "control_drop": F.lit(None).cast("double"),
              "passed_gate": F.lit(False)}
         )
-    medians = _doubles(background_medians(model.background))
+    medians = background_medians(model.background)
     names = F.array(*[F.lit(c) for c in model.feature_columns])
     n = len(model.feature_columns)
     indices = F.sequence(F.lit(0), F.lit(n - 1))
@@ -214,32 +213,32 @@ def faithfulness(
         F.col("phase_confidence").alias("__conf"),
         vector_to_array("features").alias("__x"), named.alias("__named"),
     ).where(F.size("__named") > 0)
-    others = F.array_except(indices, F.col("__named"))
-    ready = ready.withColumn("__others", others).withColumn(
-        "__k", F.least(F.size("__named"), F.size("__others"))
-    )
-
-    def control(t: Column) -> Column:
-        shuffled = F.array_sort(
-            F.transform(
-                "__others",
-                lambda i: F.struct(
-                    F.md5(F.concat_ws(":", *[c.cast("string") for c in (F.col(row_id), t, i, F.lit(seed))])).alias("h"),
-                    i.alias("i"),
-                ),
-            )
+    tried = ready.withColumns(
+        {"__k": F.least(F.size("__named"), n - F.size("__named")),
+         "__trial": F.explode(F.sequence(F.lit(0), F.lit(trials)))}
+    ).withColumn("__draw", F.concat_ws(":", F.col(row_id).cast("string"), F.col("__trial").cast("string")))
+    # One expression per feature, which Spark compiles; a lambda over the features would be interpreted.
+    others = F.array_compact(
+        F.array(
+            *[
+                F.when(
+                    ~F.array_contains("__named", F.lit(i)),
+                    F.struct(F.md5(F.concat("__draw", F.lit(f":{i}:{seed}"))).alias("h"), F.lit(i).alias("i")),
+                )
+                for i in range(n)
+            ]
         )
-        return F.transform(F.slice(shuffled, F.lit(1), F.col("__k")), lambda s: s["i"])
-
-    # The sets leave a generator, which evaluates them once: as a plain column they would move
-    # into the lambda below and be drawn again for every feature.
-    sets = F.array("__named", *[control(F.lit(t)) for t in range(1, trials + 1)])
-    variants = ready.select(
-        row_id, "__class", "__conf", "__k", "__x", F.posexplode(sets).alias("__trial", "__gone")
     )
-    kept = F.transform(
-        "__x",
-        lambda v, i: F.when(F.array_contains(F.col("__gone"), i), F.get(medians, i)).otherwise(v),
+    control = F.transform(F.slice(F.sort_array(others), F.lit(1), F.col("__k")), lambda s: s["i"])
+    gone = F.when(F.col("__trial") == 0, F.col("__named")).otherwise(control)
+    # A set leaves a generator, which evaluates it once: as a plain column it could move into
+    # the columns below and be drawn again for every feature.
+    variants = tried.select("*", F.explode(F.array(gone)).alias("__gone"))
+    kept = F.array(
+        *[
+            F.when(F.array_contains("__gone", F.lit(i)), F.lit(medians[i])).otherwise(F.get("__x", F.lit(i)))
+            for i in range(n)
+        ]
     )
     scored = probabilities(
         model,

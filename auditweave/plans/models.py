@@ -296,7 +296,8 @@ def gate_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
         {"dominant_signal": F.lit("model"), "active_clouds": F.array("source_cloud"),
          "scaled_score": F.col("anomaly_score")}
     )
-    ledger, review = explain.route(gated, monitor.alert_text())
+    # cut: both sides of the routing read the gate's verdicts, which are computed once
+    ledger, review = explain.route(cut_lineage(gated), monitor.alert_text())
     return ledger.select("event_id", "narrative", F.lit("ledger").alias("target")).unionByName(
         review.select("event_id", "narrative", F.lit("review").alias("target"))
     )

@@ -137,6 +137,24 @@ def test_control_sets_are_drawn_once_per_trial(alerts, model):
     assert drawing and all("Generate" in line for line in drawing)
 
 
+def test_gate_compiles_its_draws(alerts, model):
+    plan = explain.faithfulness(alerts, model)._jdf.queryExecution().optimizedPlan().toString()
+    drawing = "".join(line for line in plan.splitlines() if "md5(" in line)
+    assert "lambdafunction(named_struct(h, md5" not in drawing and "array_sort" not in drawing
+
+
+def test_exact_attributions_rank_without_a_shuffle(table, model):
+    scored = classifier.score_phase(table, model).where("predicted_phase <> 'Normal'").limit(40).persist()
+    got = explain.attribute(scored, model)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode(" not in plan and "collect_list(" not in plan
+    impacts = by(explain.exact_shapley(scored, model))
+    for r in rows(got.select("event_id", "attributions")):
+        values = impacts[r["event_id"]]["impacts"]
+        first = sorted(range(len(values)), key=lambda i: (-abs(values[i]), i))[:3]
+        assert set(r["attributions"]) == {model.feature_columns[i] for i in first}
+
+
 def test_signature_ignores_order_and_buckets_confidence(spark):
     frame = spark.sql(
         """SELECT 'P' AS predicted_phase, map('a', 1, 'b', 2) AS attributions, 0.94D AS phase_confidence
