@@ -238,3 +238,16 @@ def test_operators_take_empty_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     assert near_dedup.drop_near_duplicates(empty).count() == 0
     assert suffixes.remove_passages(empty, suffixes.repeated_passages(empty), n_chars="n_chars").count() == 0
+
+
+def test_rows_of_a_crowd_grow_in_proportion(spark):
+    shared = " ".join(f"shared{i}" for i in range(60))
+
+    def made(n):
+        rows = [(i, " ".join(f"own{i}x{j}" for j in range(40)) + " " + shared) for i in range(n)]
+        found = suffixes._suffixes(spark.createDataFrame(rows, "doc_id long, text string"), 50)
+        return found.count(), suffixes._neighbours(found).count()
+
+    (few, crowd), (many, larger) = made(100), made(200)
+    assert 100 <= crowd <= few and larger <= many
+    assert larger <= 2.1 * crowd
