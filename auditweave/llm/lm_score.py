@@ -74,6 +74,10 @@ class Vocabulary:
         self.words, self.rank = words[by_hash], rank[by_hash]
         n = len(words)
         self.pad = n + GROUPS
+        # where the words of each leading 16 bits begin, and the most of them that share these bits
+        begin = np.searchsorted(self.words, np.arange(1 << 16, dtype=np.uint64) << np.uint64(48))
+        self.begin, self.probes = begin, int(np.diff(begin, append=n).max())
+        self.guarded = np.append(self.words, np.uint64(2**64 - 1))
         rest = CLASSES - OWN_CLASSES
         self.classes = np.concatenate([
             np.where(np.arange(n) < OWN_CLASSES, np.arange(n), OWN_CLASSES + mix(words[order]) % np.uint64(rest)).astype(np.int64),
@@ -93,7 +97,10 @@ class Vocabulary:
         group = (len(self.words) + (mix(hashes) % np.uint64(GROUPS)).astype(np.int64))
         if not len(self.words):
             return group
-        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
+        at = self.begin[hashes >> np.uint64(48)]
+        for _ in range(self.probes):
+            at += self.guarded[at] < hashes
+        at = np.minimum(at, len(self.words) - 1)
         return np.where(self.words[at] == hashes, self.rank[at], group)
 
 
@@ -177,6 +184,37 @@ class WindowNet:
         self.places -= rate * d_places
 
 
+class WindowScorer:
+    """Log probabilities of a trained network: each place's share of the hidden layer is a table of its own."""
+
+    def __init__(self, net: WindowNet, vocab: Vocabulary) -> None:
+        self.net, self.vocab = net, vocab
+        self.places = [(net.table * net.places[p]) @ net.hidden for p in range(2 * REACH)]
+        # no score is further from 0 than this; beyond it exponentials of single floats could overflow
+        self.wide = float((np.abs(net.out).sum(axis=0) + np.abs(net.out_b)).max()) > 80.0
+
+    def totals(self, texts: list[np.ndarray]) -> np.ndarray:
+        """Sum over the words of each text, given by their ids."""
+        net, vocab, sizes = self.net, self.vocab, np.array([len(t) for t in texts])
+        owner = np.repeat(np.arange(len(texts)), sizes)
+        places = np.arange(len(owner)) + REACH * (2 * owner + 1)
+        padded = np.full(len(owner) + 2 * REACH * len(texts), vocab.pad)
+        own = np.concatenate(texts)
+        padded[places] = own
+        found = np.empty(len(own))
+        for begin in range(0, len(own), 4_096):
+            at, words = places[begin : begin + 4_096], own[begin : begin + 4_096]
+            h = net.hidden_b + sum(
+                table[padded[at + step]] for table, step in zip(self.places, [*range(-REACH, 0), *range(1, REACH + 1)])
+            )
+            scores = np.tanh(h, out=h) @ net.out + net.out_b
+            if self.wide:
+                scores -= scores.max(axis=1, keepdims=True)
+            wanted = scores[np.arange(len(at)), vocab.classes[words]]
+            found[begin : begin + len(at)] = wanted - np.log(np.exp(scores, out=scores).sum(axis=1)) + vocab.share[words]
+        return np.bincount(owner, weights=found, minlength=len(texts))
+
+
 def contexts(ids: np.ndarray, pad: int, at: np.ndarray) -> np.ndarray:
     """The words on both sides of the positions ``at``."""
     padded = np.concatenate([np.full(REACH, pad), ids, np.full(REACH, pad)])
@@ -255,25 +293,23 @@ def score(docs: DataFrame, vocab: Vocabulary, net: WindowNet) -> DataFrame:
     """``doc_id``, ``n_words``, ``log_likelihood`` (natural logarithm) and its mean per word."""
     names = ["doc_id", "n_words", "total", "rare", "times"]
 
-    def of(reader: Reader, text: bytes) -> tuple[int, float, np.ndarray, np.ndarray]:
-        hashes = reader.words(text)[2]
-        ids, total = vocab.ids(hashes), 0.0
-        for begin in range(0, len(ids), 4_096):
-            at = np.arange(begin, min(begin + 4_096, len(ids)))
-            scores = net.forward(contexts(ids, vocab.pad, at))[3]
-            own = ids[at]
-            total += float(scores[np.arange(len(at)), vocab.classes[own]].sum(dtype=np.float64) + vocab.share[own].sum())
-        rare, times = np.unique(hashes[ids >= len(vocab.words)], return_counts=True)
-        return len(ids), total, rare.view(np.int64), times
+    def of(reader: Reader, scorer: WindowScorer, texts: list[bytes]) -> Iterator[tuple[int, float, np.ndarray, np.ndarray]]:
+        hashes = [reader.words(t)[2] for t in texts]
+        every = np.concatenate(hashes)
+        ends = np.cumsum([len(h) for h in hashes])
+        ids = np.split(vocab.ids(every), ends[:-1])
+        for own, numbers, total in zip(hashes, ids, scorer.totals(ids).tolist()):
+            rare, times = np.unique(own[numbers >= len(vocab.words)], return_counts=True)
+            yield len(numbers), total, rare.view(np.int64), times
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader()
+        reader, scorer = Reader(), WindowScorer(net, vocab)
         for batch in batches:
             step = max(1, int(batch.num_rows * BATCH_BYTES / max(batch.nbytes, 1)))
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
-                found = [of(reader, (t or "").encode("utf-8", "surrogatepass")) for t in part.column(1).to_pylist()]
-                sizes, totals, rare, times = zip(*found)
+                texts = [(t or "").encode("utf-8", "surrogatepass") for t in part.column(1).to_pylist()]
+                sizes, totals, rare, times = zip(*(row for i in range(0, len(texts), 32) for row in of(reader, scorer, texts[i : i + 32])))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(sizes, type=pa.int64()), pa.array(totals, type=pa.float64()),
                      pa.array(rare, type=pa.list_(pa.int64())), pa.array(times, type=pa.list_(pa.int64()))],
