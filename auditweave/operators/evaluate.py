@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -230,6 +231,24 @@ def run_mode(
     return risk.score(scored, baselines=clouds, params=params, prior=clouds)
 
 
+def run_signals(
+    stitched: DataFrame,
+    clouds: DataFrame | None,
+    mode: str,
+    signals: Sequence[str],
+    params: risk.RiskParams = risk.RiskParams(),
+) -> DataFrame:
+    """As ``run_mode`` for several signals at once, each in a column ``scaled_score_<column of the signal>``."""
+    columns = [SIGNALS[s] for s in signals]
+    if mode == "isolated":
+        return reduce(
+            lambda out, column: risk.isolated(out.withColumn("anomaly_score", F.col(column)), params)
+            .withColumnRenamed("scaled_score", f"scaled_score_{column}"),
+            columns, stitched,
+        )
+    return risk.score(stitched, baselines=clouds, params=params, prior=clouds, signals=columns)
+
+
 def require_disjoint(a: DataFrame, b: DataFrame, key: str, what: str) -> None:
     if not a.join(b, key, "left_semi").isEmpty():
         raise ValueError(f"{what} share {key} values")
@@ -249,7 +268,7 @@ def ablation(
 ) -> DataFrame:
     """One row per signal and mode: threshold swept on ``calibration``, applied to ``events``.
 
-    Stitching does not depend on the signal, so it runs once per mode and table.
+    Stitching and windows do not depend on the signal, so they run once per mode and table.
     """
     for other, what in (
         (warmup, "evaluation events and warm-up"),
@@ -271,11 +290,17 @@ def ablation(
     )
     tables |= dict(zip(wanted, stitched, strict=True))
 
+    def scores(key: tuple[str, int]) -> DataFrame:
+        return cut_lineage(
+            run_signals(*tables[key], key[0], signals).select(y, *[f"scaled_score_{SIGNALS[s]}" for s in signals])
+        )
+
+    keys = [(mode, side) for mode in modes for side in (0, 1)]
+    scored_tables = dict(zip(keys, run_together(partial(scores, key) for key in keys), strict=True))
+
     def row(mode: str, signal: str) -> DataFrame:
         scored, tuned = (
-            cut_lineage(
-                run_mode(*tables[(mode, side)], mode, signal).select("scaled_score", y)
-            )
+            scored_tables[(mode, side)].select(F.col(f"scaled_score_{SIGNALS[signal]}").alias("scaled_score"), y)
             for side in (0, 1)
         )
         point = cut_lineage(sweep(tuned, "scaled_score", y, metric))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -43,9 +44,9 @@ class RiskParams:
         return int(round(self.window_seconds * events.MICROS))
 
 
-def clean_anomaly(df: DataFrame) -> Column:
-    """anomaly_score, else phase_confidence, else 0.1; clamped to [0, 1]."""
-    options = [F.col(c) for c in ("anomaly_score", "phase_confidence") if c in df.columns]
+def clean_anomaly(df: DataFrame, signal: str = "anomaly_score") -> Column:
+    """The signal, else phase_confidence, else 0.1; clamped to [0, 1]."""
+    options = [F.col(c) for c in (signal, "phase_confidence") if c in df.columns]
     raw = F.coalesce(*options, F.lit(0.1)) if options else F.lit(0.1)
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), events.finite(raw, 0.1)))
 
@@ -142,17 +143,22 @@ def score(
     order: str = "event_id",
     prior: DataFrame | None = None,
     class_from: str = "event",
+    signals: Sequence[str] = (),
     hot_rows: int = ordered.HOT_ROWS,
     slice_us: int = ordered.SLICE_US,
 ) -> DataFrame:
     """Risk of the entity at each of its events.
 
+    With ``signals`` (columns that stand in for ``anomaly_score``) there is one decayed sum and one
+    ``scaled_score_<signal>`` for each of them, all from the same pass over the windows.
+
     ``baselines`` (entity, clouds) lists the clouds that are normal per entity.
     ``class_from="event"`` classifies by the event's own principal type,
     ``"window"`` by the most frequent type among the active events (ties: earliest by time
     and ``order``), whatever the number of types.
     """
     skew = {"hot_rows": hot_rows, "slice_us": slice_us}
+    anomalies = {f"_{s}": clean_anomaly(df, s) for s in signals} or {"": clean_anomaly(df)}
     traced, any_hot = _lifetime(df, entity, ts, order, prior, **skew)
     kept = [c for c in df.columns if c != "lifetime_clouds"]
     ptype = F.col("principal_type") if "principal_type" in df.columns else F.lit(None).cast("string")
@@ -162,7 +168,7 @@ def score(
         "*",
         events.micros(F.col(ts)).alias("__t"),
         _known_cloud().alias("__cloud"),
-        clean_anomaly(df).alias("__a"),
+        *[a.alias(f"__a{name}") for name, a in anomalies.items()],
         agents.automation_hint(F.coalesce(*agent) if agent else F.lit("")).alias("__hint"),
         kind.alias("__type"),
     )
@@ -170,9 +176,12 @@ def score(
 
     def folds(origin: Column) -> dict[str, Recent]:
         return {
-            "__sum": recent_sum(
-                F.col("__a") * F.exp((F.col("__t") - origin) * F.lit(rate)), others_only=True
-            ),
+            **{
+                f"__sum{name}": recent_sum(
+                    F.col(f"__a{name}") * F.exp((F.col("__t") - origin) * F.lit(rate)), others_only=True
+                )
+                for name in anomalies
+            },
             "__n": recent_sum(F.lit(1)),
             "__clouds": recent_set(F.col("__cloud")),
             "__hinted": recent_max(F.col("__hint").cast("int")),
@@ -184,7 +193,8 @@ def score(
     )
     origin = F.col("__window_slice") * (params.window_us + 1)
     # The event itself has weight 1 exactly; the others are scaled from the slice start.
-    decayed = F.col("__a") + F.col("__sum") * F.exp(-(F.col("__t") - origin) * F.lit(rate))
+    faded = F.exp(-(F.col("__t") - origin) * F.lit(rate))
+    decayed = {name: F.col(f"__a{name}") + F.col(f"__sum{name}") * faded for name in anomalies}
 
     if class_from == "window":
         modes = window_mode.running_mode(
@@ -224,12 +234,15 @@ def score(
         novel.alias("novel_cloud_span_count"),
         n_normal.alias("baseline_cloud_span_count"),
         F.when(automated, "automation").otherwise("human").alias("principal_class"),
-        decayed.alias("decayed_sum"),
+        *[total.alias(f"decayed_sum{name}") for name, total in decayed.items()],
     )
     per_cloud = F.when(F.col("principal_class") == "human", params.per_cloud_multiplier).otherwise(
         params.automation_cloud_multiplier
     )
     out = out.withColumn("__mult", F.pow(per_cloud, F.col("novel_cloud_span_count")))
+    if signals:
+        risks = {name: params.baseline + F.col("__mult") * F.col(f"decayed_sum{name}") for name in anomalies}
+        return out.withColumns({f"scaled_score{n}": F.round(r / (r + 1.0), 4) for n, r in risks.items()}).drop("__mult")
     out = out.withColumn("__risk", params.baseline + F.col("__mult") * F.col("decayed_sum"))
     out = out.withColumn("__scaled", F.col("__risk") / (F.col("__risk") + 1.0))
     return out.withColumns(
@@ -319,7 +332,7 @@ def contributions(
         entity, order,
         principal.alias("principal"),
         events.normalize_cloud(F.col("source_cloud")).alias("source_cloud"),
-        clean_anomaly(df).alias("__a"),
+        *[a.alias(f"__a{name}") for name, a in anomalies.items()],
         events.micros(F.col(ts)).alias("__t"),
     )
     last = base.groupBy(F.col(entity).alias("__entity")).agg(F.max("__t").alias("__now"))
