@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -82,54 +83,76 @@ class ChunkEncoder:
                 raise ValueError("the vocabulary lets a token reach past a space")
             self.cache.update((c, data[a:b]) for c, a, b in zip(new, starts, [*starts[1:], len(data)]))
 
-    def learn(self, chunks: list[str]) -> None:
-        """Encode chunks without spaces, word by word where a chunk has several."""
+    def learn(self, chunks: list[str]) -> list[bytes]:
+        """Ids of new chunks without spaces; of those with marks the words and the marks are kept, not the whole."""
         cache, bare, parts = self.cache, self.bare, self.parts
-        composed, words, others = [], set(), set()
+        split = []
         for chunk in chunks:
-            found = None if chunk.isalpha() or not self.units else parts(chunk)
-            if found:
-                composed.append(chunk)
-                words.add(found[1])
-                others.update(found.groups("")[1:])
+            word = chunk.rstrip(_MARKS)
+            if not self.units or len(word) == len(chunk) and word.isalpha():
+                split.append(None)
+            elif word.isascii() and word.isalpha():
+                split.append((word, chunk[len(word) :]))
             else:
-                words.add(chunk)
-        self.spaced(list(words.difference(cache)))
+                found = parts(chunk)
+                split.append(found and found.groups(""))
+        words = {found[0] if found else c for found, c in zip(split, chunks)}
+        others = {part for found in split if found for part in found[1:]}
+        self.spaced([w for w in words if w not in cache])
         others = list(others.difference(bare))
         bare.update(zip(others, self.library(others)))
-        for chunk in composed:
-            first, marks, feed, second, more = parts(chunk).groups("")
-            cache[chunk] = cache[first] + bare[marks] + bare[feed] + bare[second] + bare[more]
+        return [
+            cache[chunk] if found is None
+            else cache[found[0]] + bare[found[1]] if len(found) == 2
+            else cache[found[0]] + b"".join(map(bare.__getitem__, found[1:]))
+            for found, chunk in zip(split, chunks)
+        ]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts as little-endian int32."""
         if len(self.cache) + len(self.bare) > self.cache_entries:
             self.forget()
-        heads, chunks, ends, whole = [], [], [0], []
+        plain, others, pieces, whole = [], [], [], []
         for at, text in enumerate(texts):
-            pieces = [""]
             if any(token in text for token in self.special):
                 whole.append(at)
             elif text[:1].isspace() or (any(b in text for b in self.blanks) if text.isascii() else self.loose(text)):
-                pieces = self.cut.split(text)
+                others.append(at)
+                pieces.append(self.cut.split(text))
             else:
-                pieces = text.split(" ")
-            heads.append(pieces[0])
-            chunks += pieces[1:]
-            ends.append(len(chunks))
+                plain.append(at)
+        # words become numbers inside Arrow, so that Python sees each distinct word of a batch once
+        lists = pa.concat_arrays([
+            pc.split_pattern(pa.array([texts[at] for at in plain], type=pa.string()), " "),
+            pa.array(pieces, type=pa.list_(pa.string())),
+        ])
+        bounds = lists.offsets.to_numpy()
+        first = np.zeros(bounds[-1], dtype=bool)
+        first[bounds[:-1]] = True
+        words = lists.flatten()
+        heads = self.library(words.filter(pa.array(first)).to_pylist())
+        numbered = words.filter(pa.array(~first)).dictionary_encode()
+        chunks, codes = numbered.dictionary.to_numpy(zero_copy_only=False).tolist(), numbered.indices.to_numpy()
         found = list(map(self.cache.get, chunks))
         unknown = [i for i, ids in enumerate(found) if ids is None]
         if unknown:
-            missing = {chunks[i] for i in unknown}
-            several = [c for c in missing if " " in c or not c]
-            self.cache.update(zip(several, self.library([f" {c}" for c in several])))
-            self.learn([c for c in missing if c and " " not in c])
-            for i in unknown:
-                found[i] = self.cache[chunks[i]]
-        out = [head + b"".join(found[a:b]) for head, a, b in zip(self.library(heads), ends, ends[1:])]
-        if whole:
-            for at, ids in zip(whole, self.library([texts[at] for at in whole])):
-                out[at] = ids
+            several = [i for i in unknown if " " in chunks[i] or not chunks[i]]
+            single = [i for i in unknown if " " not in chunks[i] and chunks[i]]
+            for i, ids in zip(several, self.library([f" {chunks[i]}" for i in several])):
+                found[i] = self.cache[chunks[i]] = ids
+            for i, ids in zip(single, self.learn([chunks[i] for i in single])):
+                found[i] = ids
+        known = np.frombuffer(b"".join(found), dtype="<i4")
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+        starts, counts = (np.cumsum(sizes) - sizes)[codes], sizes[codes]
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        ids = known[np.repeat(starts - ends[:-1], counts) + np.arange(ends[-1])]
+        cuts = ends[bounds - np.arange(len(bounds))].tolist()
+        out = [b""] * len(texts)
+        for at, head, a, b in zip([*plain, *others], heads, cuts, cuts[1:]):
+            out[at] = head + ids[a:b].tobytes()
+        for at, coded in zip(whole, self.library([texts[at] for at in whole])):
+            out[at] = coded
         return out
 
 
