@@ -31,10 +31,23 @@ ROW_GROUP = 10_000
 CACHE_ENTRIES = 800_000  # of a Python worker, at about 250 bytes
 _SPACE = "\u0120"  # how byte-level vocabularies write the space
 _MARKS = ".,;:!?%$"  # marks that end words
-_LETTERS = r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+"  # letters in every version of the character tables
+_LETTERS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+"  # letters in every version of the character tables
 _SCHEMA = "doc_id long, part int, before long, n int, ids array<int>"
 
 
+def _joined(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all pieces one after the other, and where each begins and the last ends."""
+    sizes = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces)) // 4
+    return np.frombuffer(b"".join(pieces), dtype="<i4"), np.concatenate([[0], np.cumsum(sizes)])
+
+
+def _gathered(known: np.ndarray, starts: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the pieces with these numbers one after the other, and where each begins and the last ends."""
+    counts = np.diff(starts)[codes]
+    ends = np.concatenate([[0], np.cumsum(counts)])
+    return known[np.repeat(starts[codes] - ends[:-1], counts) + np.arange(ends[-1])], ends
+
+
 class ChunkEncoder:
     """Encodes with the tokenizers library, each distinct word of a task once.
 
@@ -60,7 +73,9 @@ class ChunkEncoder:
         self.loose = re.compile(r"\s ").search
         self.blanks = [f"{c} " for c in map(chr, range(128)) if c.isspace()]
         self.cut = re.compile(r"(?<=\S) ")
-        self.parts = re.compile(rf"({_LETTERS})([{_MARKS}]*)(?:(\n)({_LETTERS})([{_MARKS}]*))?").fullmatch
+        self.parts = (
+            rf"\A(?P<word>{_LETTERS})(?P<marks>[{_MARKS}]*)(?:(?P<line>\n)(?P<next>{_LETTERS})(?P<after>[{_MARKS}]*))?\z"
+        )
         parts = [piece for piece, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(f" ab{_MARKS}\ncd")]
         self.units = parts == [f"{_SPACE}ab", _MARKS, "\u010a", "cd"]
         self.forget()
@@ -83,30 +98,43 @@ class ChunkEncoder:
                 raise ValueError("the vocabulary lets a token reach past a space")
             self.cache.update((c, data[a:b]) for c, a, b in zip(new, starts, [*starts[1:], len(data)]))
 
-    def learn(self, chunks: list[str]) -> list[bytes]:
-        """Ids of new chunks without spaces; of those with marks the words and the marks are kept, not the whole."""
-        cache, bare, parts = self.cache, self.bare, self.parts
-        split = []
-        for chunk in chunks:
-            word = chunk.rstrip(_MARKS)
-            if not self.units or len(word) == len(chunk) and word.isalpha():
-                split.append(None)
-            elif word.isascii() and word.isalpha():
-                split.append((word, chunk[len(word) :]))
-            else:
-                found = parts(chunk)
-                split.append(found and found.groups(""))
-        words = {found[0] if found else c for found, c in zip(split, chunks)}
-        others = {part for found in split if found for part in found[1:]}
-        self.spaced([w for w in words if w not in cache])
-        others = list(others.difference(bare))
-        bare.update(zip(others, self.library(others)))
-        return [
-            cache[chunk] if found is None
-            else cache[found[0]] + bare[found[1]] if len(found) == 2
-            else cache[found[0]] + b"".join(map(bare.__getitem__, found[1:]))
-            for found, chunk in zip(split, chunks)
-        ]
+    def words(self, words: list[str]) -> list[bytes]:
+        """Ids of chunks, named without their space; new ones are remembered."""
+        found = list(map(self.cache.get, words))
+        unknown = [i for i, ids in enumerate(found) if ids is None]
+        several = [i for i in unknown if " " in words[i] or not words[i]]
+        self.cache.update(zip([words[i] for i in several], self.library([f" {words[i]}" for i in several])))
+        self.spaced([words[i] for i in unknown if words[i] and " " not in words[i]])
+        for i in unknown:
+            found[i] = self.cache[words[i]]
+        return found
+
+    def chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct chunks one after the other, and where each begins.
+
+        Words are told from their marks inside Arrow; Python sees each word and each kind of marks once.
+        """
+        parts = chunks.slice(0, 0)
+        marked = np.zeros(0, dtype=np.int64)
+        words = chunks
+        if self.units:
+            split = pc.extract_regex(chunks, self.parts)
+            fields = [pc.struct_field(split, i) for i in range(5)]
+            words = pc.coalesce(fields[0], chunks)
+            marked = np.flatnonzero(pc.not_equal(words, chunks).to_numpy(zero_copy_only=False))
+            parts = pa.concat_arrays([f.take(pa.array(marked)) for f in fields[1:]])
+        words, parts = words.dictionary_encode(), parts.dictionary_encode()
+        found = self.words(words.dictionary.to_numpy(zero_copy_only=False).tolist())
+        names = parts.dictionary.to_numpy(zero_copy_only=False).tolist()
+        others = [name for name in names if name not in self.bare]
+        self.bare.update(zip(others, self.library(others)))
+        # five places a chunk: the word, then marks, line end, word and marks, or the empty last piece
+        places = np.full((len(chunks), 5), len(found) + len(names), dtype=np.int32)
+        places[:, 0] = words.indices.to_numpy()
+        places[marked, 1:] = parts.indices.to_numpy().reshape(4, -1).T + len(found)
+        found += [*map(self.bare.__getitem__, names), b""]
+        ids, ends = _gathered(*_joined(found), places.ravel())
+        return ids, ends[::5]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts as little-endian int32."""
@@ -132,21 +160,8 @@ class ChunkEncoder:
         words = lists.flatten()
         heads = self.library(words.filter(pa.array(first)).to_pylist())
         numbered = words.filter(pa.array(~first)).dictionary_encode()
-        chunks, codes = numbered.dictionary.to_numpy(zero_copy_only=False).tolist(), numbered.indices.to_numpy()
-        found = list(map(self.cache.get, chunks))
-        unknown = [i for i, ids in enumerate(found) if ids is None]
-        if unknown:
-            several = [i for i in unknown if " " in chunks[i] or not chunks[i]]
-            single = [i for i in unknown if " " not in chunks[i] and chunks[i]]
-            for i, ids in zip(several, self.library([f" {chunks[i]}" for i in several])):
-                found[i] = self.cache[chunks[i]] = ids
-            for i, ids in zip(single, self.learn([chunks[i] for i in single])):
-                found[i] = ids
-        known = np.frombuffer(b"".join(found), dtype="<i4")
-        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
-        starts, counts = (np.cumsum(sizes) - sizes)[codes], sizes[codes]
-        ends = np.concatenate([[0], np.cumsum(counts)])
-        ids = known[np.repeat(starts - ends[:-1], counts) + np.arange(ends[-1])]
+        known, starts = self.chunks(numbered.dictionary)
+        ids, ends = _gathered(known, starts, numbered.indices.to_numpy())
         cuts = ends[bounds - np.arange(len(bounds))].tolist()
         out = [b""] * len(texts)
         for at, head, a, b in zip([*plain, *others], heads, cuts, cuts[1:]):

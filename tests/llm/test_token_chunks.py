@@ -1,6 +1,7 @@
 """The chunk encoder against the tokenizers library on odd and on marked texts."""
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from auditweave.llm.token_files import ChunkEncoder
@@ -28,3 +29,12 @@ def test_words_with_marks_are_kept_once(encoder):
     text = "first " + " ".join(f"alpha{m} beta{m}" for m in ["", ".", ",", ";", ":", "!", "?", ".,"])
     assert encoder.encode([text]) == encoder.library([text])
     assert set(encoder.cache) == {"alpha", "beta"}
+
+
+def test_each_word_of_a_batch_is_looked_up_once(encoder, monkeypatch):
+    asked, words = [], encoder.words
+    monkeypatch.setattr(encoder, "words", lambda found: asked.append(found) or words(found))
+    chunks = ["alpha", "alpha.", "alpha,\nbeta!", "alpha\n", "élan", "élan;", "αβγ.", "x1.", "a,b", ".", ".\n", "two  words", ""]
+    ids, starts = encoder.chunks(pa.array(chunks))
+    assert [ids[a:b].tobytes() for a, b in zip(starts, starts[1:])] == encoder.library([f" {c}" for c in chunks])
+    assert asked == [["alpha", "alpha\n", "élan", "αβγ.", "x1.", "a,b", ".", ".\n", "two  words", ""]]
