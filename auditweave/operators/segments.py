@@ -65,15 +65,36 @@ def _replayed(rows: DataFrame, settings) -> DataFrame:
     return placed.drop("oid").mapInPandas(replay.replay_blocks(settings), replay.RESULT_SCHEMA)
 
 
-def _crossing(sessions: DataFrame, anchors: DataFrame, owners: DataFrame, lookback_us: int, joined: int) -> DataFrame:
-    """What segments learn from earlier ones if identities belong to ``owners``.
+def _owned(crossers: DataFrame, labels: DataFrame, introduced: DataFrame, decisions: DataFrame | None) -> DataFrame:
+    """Sessions with the entity that they belong to by ``decisions``, and its profile; ``labels`` are theirs."""
+    if decisions is None:
+        entity = crossers.withColumn("entity", F.col("label"))
+    else:
+        owners = decisions.select("label", "owner").join(labels, "label", "left_semi")
+        entity = crossers.join(owners, "label", "left").withColumn("entity", F.coalesce("owner", "label")).drop("owner")
+    entity = cut_lineage(entity)
+    asked = broadcast_if_small(cut_lineage(entity.select("entity").distinct()))
+    anchors = introduced.select(F.col("label").alias("entity"), *_PROFILE, "source_ip").join(asked, "entity", "left_semi")
+    return cut_lineage(entity.join(anchors, "entity"))
+
+
+def _crosses(lookback_us: int):
+    """Whether a session is of an identity introduced in an earlier segment, or reaches a later one.
+
+    Joined segments begin where one of theirs does, so other sessions never cross.
+    """
+    earlier = F.col("introduced_at").isNull() | (_segment("introduced_at") < _segment("at"))
+    return earlier | (_segment(f"(until + {lookback_us}L)") > _segment("at"))
+
+
+def _crossing(owned: DataFrame, lookback_us: int, joined: int) -> DataFrame:
+    """What segments learn from earlier ones if sessions belong to the entities of ``owned``.
 
     Sessions of identities introduced earlier (step 1), and entities active at the
     beginning of a segment (step -1).
     """
-    owned = sessions.join(owners, "label").join(
-        anchors.select(F.col("label").alias("entity"), *_PROFILE, "source_ip"), "entity"
-    ).withColumn("seg", _segment("at", joined))
+    oid = dict(owned.dtypes)["oid"]
+    owned = owned.withColumn("seg", _segment("at", joined))
     earlier = F.col("introduced_at").isNull() | (_segment("introduced_at", joined) < F.col("seg"))
     later = owned.where(earlier).withColumn("step", F.lit(1))
     last = _segment(f"(until + {lookback_us}L)", joined)
@@ -82,8 +103,7 @@ def _crossing(sessions: DataFrame, anchors: DataFrame, owners: DataFrame, lookba
     address = F.when(~F.col("proxy"), F.col("source_ip"))
     longest = Window.partitionBy("block", "seg", *_PROFILE, address).orderBy(F.col("until").desc(), "entity")
     carried = active.withColumn("__rank", F.row_number().over(longest)).where("__rank <= 2").withColumns(
-        {"label": F.col("entity"), "at": F.lit(None).cast("long"), "step": F.lit(-1),
-         "oid": F.lit(None).cast(dict(sessions.dtypes)["oid"])}
+        {"label": F.col("entity"), "at": F.lit(None).cast("long"), "step": F.lit(-1), "oid": F.lit(None).cast(oid)}
     )
     return later.select(*_CROSS).unionByName(carried.select(*_CROSS))
 
@@ -125,29 +145,30 @@ def decide(rows: DataFrame, settings, segment_rows: int = SEGMENT_ROWS) -> DataF
             own.drop("introduced_at", "origin", "width").withColumn("step", F.lit(1)), allowMissingColumns=True
         )
 
-    def crossing(owners: DataFrame, joined: int) -> DataFrame:
-        return cut_lineage(_crossing(sessions, introduced, owners, settings.lookback_us, joined))
+    # few sessions tell a later segment anything, so what changes from round to round is small
+    crossers = cut_lineage(sessions.where(_crosses(settings.lookback_us)))
+    labels = broadcast_if_small(cut_lineage(crossers.select("label").distinct()))
+
+    def crossing(owned: DataFrame, joined: int) -> DataFrame:
+        return cut_lineage(_crossing(owned, settings.lookback_us, joined))
 
-    owners = introduced.select("label", F.col("label").alias("entity"))
     joined, todo, decisions = 1, None, None
+    known = crossing(_owned(crossers, labels, introduced, None), joined)
     while True:
-        known = crossing(owners, joined)
         work = inside(joined).unionByName(known, allowMissingColumns=True)
         if todo is not None:
             work = work.join(todo, ["block", "seg"], "left_semi")
         found = _replayed(work, settings)
         if decisions is not None:
-            again = F.struct("block", F.floor(F.col("seg") / 2).cast("long").alias("seg"))
-            kept = decisions.withColumn("__pair", again).join(
-                todo.select(F.struct("block", "seg").alias("__pair")), "__pair", "left_anti"
-            )
-            found = found.unionByName(kept.select("block", F.col("__pair.seg").alias("seg"), *result))
+            pairs = decisions.withColumn("seg", F.floor(F.col("seg") / 2).cast("long"))
+            found = found.unionByName(pairs.join(todo, ["block", "seg"], "left_anti").select("block", "seg", *result))
         decisions = cut_lineage(found)
-        owners = introduced.select("label").join(decisions.select("label", "owner"), "label", "left").select(
-            "label", F.coalesce("owner", "label").alias("entity")
-        )
-        changed = cut_lineage(_differing(known, crossing(owners, joined)))
+        owned = _owned(crossers, labels, introduced, decisions)
+        changed = cut_lineage(_differing(known, crossing(owned, joined)))
         if changed.isEmpty():
             return cold.unionByName(decisions.select(*result))
-        todo = changed.select("block", F.floor(F.col("seg") / 2).cast("long").alias("seg")).distinct()
+        # there are at most rows / segment_rows segments and as many blocks; still, the hint follows a count
+        pairs = changed.select("block", F.floor(F.col("seg") / 2).cast("long").alias("seg")).distinct()
+        todo = broadcast_if_small(cut_lineage(pairs))
         joined *= 2
+        known = crossing(owned, joined)

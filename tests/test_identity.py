@@ -199,6 +199,24 @@ def test_a_hot_profile_uses_several_segments(spark, ips):
     assert placed.select("seg").distinct().count() > 5 and placed.where("not hot").isEmpty()
 
 
+def test_sessions_inside_their_segment_tell_others_nothing(spark):
+    random.seed(8)
+    sessions = []
+    for i in range(400):
+        born = None if i % 40 == 0 else random.randrange(0, 6_400)
+        begins = (born or 0) + random.choice([0, 0, random.randrange(900)])
+        sessions.append(("b", f"n:{i}", begins, i, begins + random.choice([5, 300]), 0, 100, born, i % 3 == 0))
+    frame = spark.createDataFrame(
+        sessions, "block string, label string, at long, oid int, until long, origin long, width long, introduced_at long, proxy boolean"
+    ).withColumns({"entity": F.col("label"), "ua_family": F.lit("f"), "ua_version": F.lit("1"), "kind": F.lit("k"),
+                   "source_ip": F.concat(F.lit("10.0.0."), F.col("oid") % 5)})
+    crossers = frame.where(segments._crosses(20)).localCheckpoint()
+    assert 0 < crossers.count() < 350
+    for joined in (1, 2, 4, 8):
+        wanted = sorted(map(str, segments._crossing(frame, 20, joined).collect()))
+        assert wanted and sorted(map(str, segments._crossing(crossers, 20, joined).collect())) == wanted
+
+
 def test_batches_with_state_equal_one_pass(spark):
     data = sorted(random_events(31, fed=0.04, made=0.1), key=lambda e: (e[1], e[0]))
     expected = replay(data)
