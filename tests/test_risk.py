@@ -89,6 +89,20 @@ def test_contributions_and_struct(spark):
     assert set(packed) == set(risk.RESULT_FIELDS)
 
 
+def test_contributions_by_hand(spark):
+    data = [event(0, 0), event(1, 1, "aws", 0.8), event(2, 31, "Entra-ID", None, conf=0.4), event(3, 61, None, float("nan")),
+            event(4, 0, "GCP", 7.0, entity="f"), event(5, 0, "GCP", -1.0, entity="f")]
+    got = by(risk.contributions(spark.createDataFrame(data, SCHEMA), risk.RiskParams(half_life_seconds=30.0)))
+    columns = ("entity_id", "principal", "source_cloud", "anomaly_score", "age_seconds", "weight", "contribution")
+    assert {i: tuple(r[c] for c in columns) for i, r in got.items()} == {
+        1: ("e", "p", "AWS", 0.8, 60.0, 0.25, 0.2),
+        2: ("e", "p", "AZURE", 0.4, 30.0, 0.5, 0.2),
+        3: ("e", "p", "UNKNOWN", 0.1, 0.0, 1.0, 0.1),
+        4: ("f", "p", "GCP", 1.0, 0.0, 1.0, 1.0),
+        5: ("f", "p", "GCP", 0.0, 0.0, 1.0, 0.0),
+    }
+
+
 def test_isolated_equals_one_event_entities(spark):
     data = [event(i, i, anomaly=i / 10, entity=f"e{i}", kind=k) for i, k in enumerate(["IAMUser", "Role", None])]
     frame = spark.createDataFrame(data, SCHEMA)
